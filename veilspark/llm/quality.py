@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -74,11 +74,14 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Measurements and ``failure_bits`` of each document."""
+    """Measurements and ``failure_bits`` of each document, stored in the shared folder.
+
+    Stored, since a filter on the bits would otherwise be pushed into the measuring and repeat it for each word.
+    """
     bits = F.lit(0)
     for i, (_, rule) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)))
-    return measure(docs, keep).withColumn("failure_bits", bits)
+    return staged(measure(docs, keep).withColumn("failure_bits", bits), "quality-ledger")
 
 
 def apply_policy(rows: DataFrame, version: int = 2) -> DataFrame:
