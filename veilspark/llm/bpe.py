@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices
+from .common import map_arrow, table, text_slices
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -179,7 +179,7 @@ def bpe_encode(docs: DataFrame, ranks: RankTable) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return map_arrow(slim, run, "doc_id long, n_tokens long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks: RankTable) -> DataFrame:
@@ -197,7 +197,7 @@ def bpe_decode(encoded: DataFrame, ranks: RankTable) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(sha, pa.string()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids_sha256", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
+    return map_arrow(encoded.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,9 @@ def text_slices(batches: Iterable[pa.RecordBatch], most: int = 4_000_000) -> Ite
             held += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _mix
-from .common import ship, staged, table, text_slices
+from .common import map_arrow, ship, staged, table, text_slices
 from .components import components
 
 GRAM, PERCENT, ROUNDS, COUNTED = 4, 85, 3, 4
@@ -142,7 +142,7 @@ def document_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n", "node", "sigs"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n long, node long, sigs array<long>")
+    return map_arrow(slim, run, "doc_id long, n long, node long, sigs array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def node_fragments(docs: DataFrame, wanted: DataFrame, gram: int = GRAM) -> Data
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = slim.join(_small(wanted.select(F.col("rep").alias("doc_id"), "node")), "doc_id")
-    return slim.select("text", "node").mapInArrow(run, "node long, frag int, n long, grams array<long>").dropDuplicates(["node", "frag"])
+    return map_arrow(slim.select("text", "node"), run, "node long, frag int, n long, grams array<long>").dropDuplicates(["node", "frag"])
 
 
 def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int = PERCENT) -> DataFrame:

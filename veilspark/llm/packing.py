@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_slices
+from .common import map_arrow, staged, table, text_slices
 from .tokens import encoder
 
 PIECES = "task long, rank long, doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -102,7 +102,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 204
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], ["task", "rank", "doc_id", "start", "length", "doc_tokens", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(slim.mapInArrow(run, PIECES), "pieces")
+    return staged(map_arrow(slim, run, PIECES), "pieces")
 
 
 def pack(pieces: DataFrame, limit: int = 2048, carry: tuple = ("ids",)) -> DataFrame:
@@ -134,7 +134,7 @@ def pack(pieces: DataFrame, limit: int = 2048, carry: tuple = ("ids",)) -> DataF
             yield b
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields]
-    return ranked.mapInArrow(place, ", ".join([*kinds, "sequence_id long", "offset long"])).drop("rank")
+    return map_arrow(ranked, place, ", ".join([*kinds, "sequence_id long", "offset long"])).drop("rank")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

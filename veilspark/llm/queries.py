@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .chat import SQL as _OP9
+from .chat import op9_chat
+from .html import op1_html
 from .jaccard import op10_jaccard
+from .media import op7_media
 from .packing import op4_packing
 from .quality import op8_quality
 from .shards import op6_sharding
@@ -11,12 +15,15 @@ from .token_files import op2_token_file
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_token_file": op2_token_file,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_media": op7_media,
     "op8_quality": op8_quality,
+    "op9_chat": op9_chat,
     "op10_jaccard": op10_jaccard,
 }
 
@@ -47,4 +54,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_letters::BIGINT AS n_letters, n_exclaim::BIGINT AS n_exclaim FROM b
 """
 
-ORACLES = {"op8_quality": _OP8}
+ORACLES = {"op8_quality": _OP8, "op9_chat": _OP9}

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, table, text_slices
+from .common import map_arrow, partitions, shared_dir, table, text_slices
 from .tokens import encoder
 
 BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFR1"
@@ -162,7 +162,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int, path: str) ->
     """
     n = partitions(docs.sparkSession)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_writer(tokenizer, end_id), SEGMENTS).write.option("compression", "uncompressed").parquet(path)
+    map_arrow(ranged, _writer(tokenizer, end_id), SEGMENTS).write.option("compression", "uncompressed").parquet(path)
     return path
 
 
@@ -187,7 +187,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 begins = ends - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + (starts[part] + first), pa.int64()), pa.array(sizes, pa.int64()), pa.array([ids[4 * b : 4 * e] for b, e in zip(begins, ends)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.schema(SEGMENTS).parquet(path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return map_arrow(spark.read.schema(SEGMENTS).parquet(path), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table, text_slices
+from .common import map_arrow, ship, table, text_slices
 
 TRAIN_DOCUMENTS, LANDMARKS, DECAY, LONGEST = 4000, 96, 0.7, 20
 _WORD = re.compile(r"\w(?:[^\x20\x09-\x0D]*\w)?")
@@ -259,7 +259,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.scores([t or "" for t in b.column("text").to_pylist()]), pa.float64())], ["doc_id", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, score double")
+    return map_arrow(slim, run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -270,7 +270,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for b in text_slices(batches):
             yield b.filter(pa.array([s < 0.5 for s in shared.value.scores([t or "" for t in b.column("text").to_pylist()])], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
