@@ -140,7 +140,7 @@ def _writer(path: str, end_id: int):
             docs.clear(), sizes.clear(), held.clear()
             return out
 
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 12_000_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts)):
                 docs.append(doc)

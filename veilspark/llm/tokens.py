@@ -1,7 +1,7 @@
 """Exact, fast use of the ``tokenizers`` library on executors.
 
-Both public files split a text with a pattern and encode each match alone, so a batch sends each distinct match to
-the library once. Texts with characters outside the range in which Python's and the library's Unicode rules are known
+Both public files split a text with a pattern and encode each match alone, so each distinct match goes to the library
+once for as long as it is remembered. Texts with characters outside the range in which Python's and the library's Unicode rules are known
 to agree go to the library whole, as does every text when a file has another shape.
 """
 
@@ -12,17 +12,29 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Outside: other scripts, combining marks, separators on which the libraries may differ, and dotted capital I.
-PLAIN = "[^\x00-\x1b\x20-įı-ɏ]"
+PLAIN = "[^\x01-\x1b\x20-įı-ɏ]"
+
+
+#: A space between two white characters: only there can a match of the byte pattern span the start of a space.
+UNSAFE = r"\s \s"
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids. At most ``capacity`` matches are remembered between batches."""
+    """Texts to little-endian 32-bit ids. At most ``capacity`` chunks are remembered between batches.
+
+    A text is cut into chunks that no match crosses: at every space for the byte pattern, at white space for the word
+    pattern. Arrow finds the distinct chunks of a batch; new ones are cut into matches. Matches that are a space and
+    letters (byte pattern) or letters (word pattern) go to the library joined, as joining leaves their borders in place
+    and the ids show where each begins or ends; others go alone.
+    """
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -35,37 +47,111 @@ class Encoder:
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         byte_kind = kinds == ["ByteLevel"] and spec["normalizer"] is None and spec["pre_tokenizer"]["use_regex"] and not spec["pre_tokenizer"]["add_prefix_space"]
         word_kind = kinds == ["Split", "ByteLevel"] and steps == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == WORD_PATTERN
-        self.lower = word_kind
+        self.words = word_kind
         self.find = regex.compile(WORD_PATTERN if word_kind else BYTE_PATTERN).findall if byte_kind or word_kind else None
-        self.odd = regex.compile(PLAIN).search
+        self.odd, self.unsafe = regex.compile(PLAIN).search, regex.compile(UNSAFE).search
+        vocab = spec["model"]["vocab"]
+        self.border = np.zeros(max(vocab.values()) + 1, bool)
+        self.border[[i for t, i in vocab.items() if (t.endswith("</w>") if word_kind else t.startswith("\u0120"))]] = True
         self.capacity, self.memo = capacity, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str], size: int = 1000) -> list[bytes]:
+        """Ids of matches of letters; ``words`` are without their space."""
+        out: list[bytes] = []
+        for k in range(0, len(words), size):
+            part = words[k : k + size]
+            ids = np.asarray(self.library.encode_batch_fast([" ".join(part) if self.words else " " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.border[ids])
+            cuts = [0, *(4 * (at + 1)).tolist()] if self.words else [*(4 * at).tolist(), 4 * len(ids)]
+            if len(cuts) != len(part) + 1:
+                out += self._library(part if self.words else [f" {w}" for w in part])
+                continue
+            raw = ids.tobytes()
+            out += [raw[b:e] for b, e in zip(cuts, cuts[1:])]
+        return out
+
+    def _resolve(self, new: list[str], lead: str) -> list[bytes]:
+        """Ids of chunks; ``lead`` is the space before each, if any."""
+        memo = self.memo if lead or self.words else {}
+        letters, ended, other = [], [], []
+        for x in new if lead or self.words else ():
+            (letters if x.isalpha() else ended if x[:-1].isalpha() else other).append(x)
+        stems = dict.fromkeys(x[:-1] for x in ended)
+        got = {}
+        for w in stems:
+            if (known := memo.get(w)) is not None:
+                got[w] = known
+        letters = list(dict.fromkeys([*letters, *(w for w in stems if w not in got)]))
+        got.update(zip(letters, self._joined(letters)))
+        # one more character after letters is a match of its own
+        signs = list({x[-1] for x in ended})
+        sign = dict(zip(signs, self._library(signs) if signs else ()))
+        for x in ended:
+            got[x] = got[x[:-1]] + sign[x[-1]]
+        mixed = {x: self.find(lead + x) for x in (other if lead or self.words else new)}
+        plain = lambda m: (m[1:] if m[:1] == " " else None) if lead else (m if self.words else None)
+        alone: dict[str, bytes] = {}
+        words: dict[str, None] = {}
+        for m in set().union(*mixed.values()):
+            w = plain(m)
+            if w is not None and w.isalpha():
+                known = got.get(w) or memo.get(w)
+                if known is None:
+                    words[w] = None
+                else:
+                    alone[m] = known
+            else:
+                alone[m] = b""
+        rest = [m for m, ids in alone.items() if not ids]
+        alone.update(zip(rest, self._library(rest)))
+        for w, ids in zip(words, self._joined(list(words))):
+            alone[lead + w] = ids
+        for x, found in mixed.items():
+            got[x] = b"".join(map(alone.__getitem__, found))
+        return [got[x] for x in new]
+
+    def _chunks(self, texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+        """The text before the first cut of each text, the chunks after it, and where each text's chunks begin."""
+        if self.words:
+            lists = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+            return [""] * len(texts), lists.flatten(), lists.offsets.to_numpy()
+        heads = [t.partition(" ")[0] for t in texts]
+        # the head becomes an empty first chunk that is left out below
+        lists = pc.split_pattern(pa.array([t[len(h) :] for t, h in zip(texts, heads)], pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        keep = np.ones(offsets[-1] - offsets[0], bool)
+        keep[offsets[:-1]] = False
+        return heads, lists.flatten().filter(pa.array(keep)), offsets - np.arange(len(offsets))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
+        easy = [i for i, t in enumerate(texts) if self.find is not None and not self.odd(t) and (self.words or not self.unsafe(t))]
         out: list[bytes | None] = [None] * len(texts)
-        matches, whole, seen = [], [], set()
-        for i, text in enumerate(texts):
-            if self.find is None or self.odd(text):
-                whole.append(i)
-                continue
-            found = self.find(text.lower() if self.lower else text)
-            matches.append((i, found))
-            seen.update(found)
-        memo = self.memo
-        if new := [x for x in seen if x not in memo]:
+        if easy:
+            heads, flat, offsets = self._chunks([texts[i] for i in easy])
+            coded = flat.dictionary_encode()
+            seen = coded.dictionary.to_pylist()
+            memo = self.memo
+            new = [x for x in seen if x not in memo]
             if len(memo) + len(new) > self.capacity:
                 memo.clear()
-                new = list(seen)
-            memo.update(zip(new, self._library(new)))
-        for i, found in matches:
-            out[i] = b"".join(map(memo.__getitem__, found))
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
+                new = seen
+            memo.update(zip(new, self._resolve(new, "" if self.words else " ")))
+            taken = pa.array([memo[x] for x in seen], pa.large_binary()).take(coded.indices)
+            _, ends, data = taken.buffers()
+            ids = data.to_pybytes() if data is not None else b""
+            cuts = np.frombuffer(ends, np.int64)[offsets].tolist() if len(taken) else [0] * (len(easy) + 1)
+            first = heads if self.words else self._resolve(heads, "")
+            for i, h, b, e in zip(easy, first, cuts, cuts[1:]):
+                out[i] = ids[b:e] if self.words else h + ids[b:e]
+            if len(memo) > self.capacity:
+                memo.clear()
+        hard = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(hard, self._library([texts[i] for i in hard]) if hard else ()):
             out[i] = ids
-        if len(memo) > self.capacity:
-            memo.clear()
         return out
 
 
