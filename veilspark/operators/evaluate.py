@@ -12,15 +12,17 @@ def metrics(found: DataFrame, gold: DataFrame) -> DataFrame:
     """(entity_type, tp, fp, fn, precision, recall, f1), one row for each type and ``__total__``.
 
     Sides are distinct spans. Without anything found precision is 1, without anything to find recall is 1; F1 is 0 if
-    both are 0. One full outer join on the span; totals by grouping sets.
+    both are 0. One full outer join on the span; the total is there without any row, too.
     """
     a = found.select(*KEY).distinct().withColumn("f", F.lit(1))
     b = gold.select(*KEY).distinct().withColumn("g", F.lit(1))
     both = a.join(b, KEY, "full_outer").select("entity_type", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("g", F.lit(0)).alias("g"))
-    sums = both.rollup("entity_type").agg(F.sum(F.col("f") * F.col("g")).alias("tp"), F.sum(F.col("f") * (1 - F.col("g"))).alias("fp"), F.sum(F.col("g") * (1 - F.col("f"))).alias("fn"))
+    parts = [F.sum(F.col("f") * F.col("g")).alias("tp"), F.sum(F.col("f") * (1 - F.col("g"))).alias("fp"), F.sum(F.col("g") * (1 - F.col("f"))).alias("fn")]
+    # not a rollup, as that gives no total for no rows
+    sums = both.groupBy("entity_type").agg(*parts).union(both.groupBy().agg(*parts).select(F.lit("__total__"), "tp", "fp", "fn"))
     tp, fp, fn = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("tp", "fp", "fn"))
     share = lambda x, y: F.when(x + y == 0, F.lit(1.0)).otherwise(x / (x + y))
-    rows = sums.select(F.coalesce("entity_type", F.lit("__total__")).alias("entity_type"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), share(tp, fp).alias("precision"), share(tp, fn).alias("recall"))
+    rows = sums.select("entity_type", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), share(tp, fp).alias("precision"), share(tp, fn).alias("recall"))
     p, r = F.col("precision"), F.col("recall")
     return rows.withColumn("f1", F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)))
 
