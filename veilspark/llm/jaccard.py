@@ -32,7 +32,7 @@ from .common import map_arrow, ship, staged, table, text_slices
 from .components import components
 
 GRAM, PERCENT, ROUNDS, COUNTED = 4, 85, 3, 4
-BLOCK, SALTED = 512, 2000  # queries and nodes of a task in rest_links
+BLOCK, SALTED, GRID = 512, 2000, 4000  # queries and nodes of a task in rest_links, nodes of a block in families
 NO_ID = -(1 << 63)  # stands for a null doc_id
 BROADCAST_ROWS = 500_000  # of 8 bytes: 4 MB; beyond it the join shuffles
 _U = np.uint64
@@ -126,7 +126,7 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 def node_of(grams: np.ndarray) -> int:
     """The digest that stands for a whole set."""
-    return int(_long(_mix(np.array([_mix(grams).sum(dtype=_U)], _U) + np.array([grams.size], _U) * _K))[0])
+    return int(_long(_mix(_mix(grams).sum(dtype=_U, keepdims=True) + np.array([grams.size], _U) * _K))[0])
 
 
 def document_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -180,16 +180,66 @@ def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int = PERCENT) ->
     return summed.select("a", "b", (F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).alias("linked"))
 
 
-def rest_links(rest: DataFrame, fragments: DataFrame, percent: int = PERCENT) -> DataFrame:
+def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, family): nodes of open buckets (sig, node, label) that may still have links, by who may link with whom.
+
+    Two sets of a level with F fragments, of which D + 1 + slack = F, that differ in d n-grams share at least F - d
+    fragments, so at least D + 1 - d with n-grams. First, buckets that share members form a group. A group goes in
+    blocks of GRID nodes against its other blocks; a task gets two blocks with their digests only, counts what each node
+    shares with all others, and gives one row for each two parts that a pair with enough shares joins.
+    """
+    star = rest.select("node", F.min("node").over(Window.partitionBy("sig")).alias("b"))
+    group = components(star.select(F.col("node").alias("a"), "b")).withColumnRenamed("label", "grp")
+    nodes = rest.groupBy("node", "label").agg(F.collect_set("sig").alias("sigs")).join(group, "node").join(met.select("node", "n"), "node")
+    nodes = staged(nodes, "open-nodes")
+    blocks = nodes.groupBy("grp").agg(F.ceil(F.count("*") / GRID).cast("int").alias("blocks"))
+    own = nodes.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sigs")
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label, size, own = (t.column(c).to_numpy() for c in ("node", "label", "n", "own"))
+        lists = t.column("sigs").combine_chunks()
+        many = np.diff(lists.offsets.to_numpy())
+        _, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(node)), many)
+        order = np.argsort(at, kind="stable")
+        members, ptr = owner[order], np.concatenate([[0], np.cumsum(np.bincount(at))]) if len(at) else np.zeros(1, np.int64)
+        begin = np.concatenate([[0], np.cumsum(many)])
+        _, label = np.unique(label, return_inverse=True)
+        root = np.arange(len(node))
+        cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        bound = {k: (d[1], d[2]) for k in np.unique(size).tolist() for d in [levels(k, percent)[0] if levels(k, percent) else (0, 1, 0)]}
+        most = np.array([bound[k][0] - bound[k][1] for k in size.tolist()])  # D + 1 at the node's own level
+        out = []
+        for x in range(len(node)):
+            sigs = at[begin[x] : begin[x + 1]]
+            k = ptr[sigs + 1] - ptr[sigs]
+            shared = np.bincount(members[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(ptr[sigs], k)], minlength=len(node))
+            ys = np.flatnonzero(shared)
+            ys = ys[(label[ys] != label[x]) & (size[ys] <= size[x]) & (root[ys] != root[x])]  # x is the larger, so its level counts
+            if cross:
+                ys = ys[own[ys] != own[x]]
+            apart = (size[ys] + size[x]) * (100 - percent) // (100 + percent)
+            ys = ys[(shared[ys] >= np.maximum(1, most[x] - apart)) & (size[ys] * 100 >= size[x] * percent)]
+            for r in np.unique(root[ys]).tolist():
+                out.append((int(node[x]), int(node[r])))
+                root[root == r] = root[x]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    edges = staged(dealt.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long"), "family-edges")
+    return components(edges).withColumnRenamed("label", "family")
+
+
+def rest_links(rest: DataFrame, met: DataFrame, fragments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between the components that remain in open buckets (sig, node, label).
 
-    Buckets that share members form a family. In each family the nodes outside its largest component are queries; they
+    In each of the ``families`` the nodes outside its largest component are queries; they
     go in blocks against all nodes of the family, which are dealt over salts. A task holds BLOCK queries and about
     SALTED nodes, counts all overlaps through the queries' inverted index, and gives one link for each query and other
     component. Pairs are never rows.
     """
-    star = rest.select("node", F.min("node").over(Window.partitionBy("sig")).alias("b"))
-    family = components(star.select(F.col("node").alias("a"), "b")).withColumnRenamed("label", "family")
+    family = families(rest, met, percent)
     nodes = staged(rest.select("node", "label").distinct().join(family, "node"), "family-nodes")
     sizes = nodes.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "label")).getField("label").alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("asked"))
     shape = sizes.select("family", "main", F.ceil(F.col("all") / SALTED).cast("int").alias("salts"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("blocks"))
@@ -231,7 +281,7 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     ship(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = staged(document_sets(docs, gram, percent), "sets")
-    nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "nodes")
     first = sets.select("doc_id", "node", "sigs").join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
     by_sig = Window.partitionBy("sig").orderBy("node")
     near = first.select("node", F.explode("sigs").alias("sig")).select("sig", "node", F.lag("node").over(by_sig).alias("p"), F.lead("node").over(by_sig).alias("q"))
@@ -264,7 +314,7 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
         last = n
     rest = staged(still_open(), "open")
     if not rest.isEmpty():
-        more = staged(rest_links(rest, fragments, percent), "rest-links")
+        more = staged(rest_links(rest, met, fragments, percent), "rest-links")
         got = components(tested.filter("linked").select("a", "b").union(more))
         labels = staged(met.select("node").join(got, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     # smallest doc_id of each component, then of each row's class
