@@ -33,6 +33,7 @@ from .components import components
 
 GRAM, PERCENT, ROUNDS, COUNTED = 4, 85, 3, 4
 BLOCK, SALTED, GRID = 512, 2000, 4000  # queries and nodes of a task in rest_links, nodes of a block in families
+CELLS = 64
 NO_ID = -(1 << 63)  # stands for a null doc_id
 BROADCAST_ROWS = 500_000  # of 8 bytes: 4 MB; beyond it the join shuffles
 _U = np.uint64
@@ -120,6 +121,14 @@ def signatures(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """How many n-grams fall into each of CELLS equal ranges of the order, capped as 16-bit values.
+
+    The summed difference of two sketches is at most the number of n-grams in which the sets differ.
+    """
+    return np.minimum(np.bincount(((grams >> _U(32)) * _U(CELLS) >> _U(32)).astype(np.int64), minlength=CELLS), 32767).astype(np.int16)
+
+
 def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -130,7 +139,7 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, node, sigs): set size, digest of the set, digests of its fragments."""
+    """(doc_id, n, node, sigs, sketch): set size, digest of the set, digests of its fragments, counts by range."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in text_slices(batches, 2_000_000):
@@ -139,10 +148,10 @@ def document_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) ->
             sigs = [signatures(x, percent) for x in sets]
             flat = pa.array(_long(np.concatenate(sigs)) if sigs else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([sketch(x) for x in sets], pa.list_(pa.int16()))], ["doc_id", "n", "node", "sigs", "sketch"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(slim, run, "doc_id long, n long, node long, sigs array<long>")
+    return map_arrow(slim, run, "doc_id long, n long, node long, sigs array<long>, sketch array<smallint>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -170,11 +179,21 @@ def node_fragments(docs: DataFrame, wanted: DataFrame, gram: int = GRAM) -> Data
     return map_arrow(slim.select("text", "node"), run, "node long, frag int, n long, grams array<long>").dropDuplicates(["node", "frag"])
 
 
+def possible(pairs: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link: a bound that loses none."""
+    side = lambda x: met.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+    return both.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
 def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, linked) of pairs: partial overlaps by fragment, summed per pair."""
-    left = fragments.select(F.col("node").alias("a"), "frag", F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = fragments.select(F.col("node").alias("b"), "frag", F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "frag"])
+    few = pairs.count() <= BROADCAST_ROWS
+    held = F.broadcast if few else lambda d: d
+    left = fragments.select(F.col("node").alias("a"), "frag", F.col("n").alias("na"), F.col("grams").alias("ga")).join(held(pairs.select("a", "b")), "a")
+    right = fragments.select(F.col("node").alias("b"), "frag", F.col("n").alias("nb"), F.col("grams").alias("gb")).join(held(pairs.select("b").distinct()), "b", "left_semi")
+    met = left.join(right, ["b", "frag"])
     part = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
     summed = part.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("both"))
     return summed.select("a", "b", (F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).alias("linked"))
@@ -185,22 +204,24 @@ def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFra
 
     Two sets of a level with F fragments, of which D + 1 + slack = F, that differ in d n-grams share at least F - d
     fragments, so at least D + 1 - d with n-grams. First, buckets that share members form a group. A group goes in
-    blocks of GRID nodes against its other blocks; a task gets two blocks with their digests only, counts what each node
-    shares with all others, and gives one row for each two parts that a pair with enough shares joins.
+    blocks of GRID nodes against its other blocks; a task gets two blocks with their digests and sketches only, counts
+    what each node shares with all others, and gives one row for each two parts that a pair joins that has enough shares
+    and sketches near enough.
     """
     star = rest.select("node", F.min("node").over(Window.partitionBy("sig")).alias("b"))
     group = components(star.select(F.col("node").alias("a"), "b")).withColumnRenamed("label", "grp")
-    nodes = rest.groupBy("node", "label").agg(F.collect_set("sig").alias("sigs")).join(group, "node").join(met.select("node", "n"), "node")
+    nodes = rest.groupBy("node", "label").agg(F.collect_set("sig").alias("sigs")).join(group, "node").join(met.select("node", "n", "sketch"), "node")
     nodes = staged(nodes, "open-nodes")
     blocks = nodes.groupBy("grp").agg(F.ceil(F.count("*") / GRID).cast("int").alias("blocks"))
     own = nodes.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sigs")
+    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sigs", "sketch")
 
     def run(t: pa.Table) -> pa.Table:
         node, label, size, own = (t.column(c).to_numpy() for c in ("node", "label", "n", "own"))
         lists = t.column("sigs").combine_chunks()
         many = np.diff(lists.offsets.to_numpy())
+        cells = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, CELLS).astype(np.int32)
         _, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         owner = np.repeat(np.arange(len(node)), many)
         order = np.argsort(at, kind="stable")
@@ -222,6 +243,8 @@ def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFra
                 ys = ys[own[ys] != own[x]]
             apart = (size[ys] + size[x]) * (100 - percent) // (100 + percent)
             ys = ys[(shared[ys] >= np.maximum(1, most[x] - apart)) & (size[ys] * 100 >= size[x] * percent)]
+            apart = (size[ys] + size[x]) * (100 - percent) // (100 + percent)
+            ys = ys[np.abs(cells[ys] - cells[x]).sum(axis=1) <= apart]
             for r in np.unique(root[ys]).tolist():
                 out.append((int(node[x]), int(node[r])))
                 root[root == r] = root[x]
@@ -281,7 +304,7 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     ship(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = staged(document_sets(docs, gram, percent), "sets")
-    nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "nodes")
+    nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     first = sets.select("doc_id", "node", "sigs").join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
     by_sig = Window.partitionBy("sig").orderBy("node")
     near = first.select("node", F.explode("sigs").alias("sig")).select("sig", "node", F.lag("node").over(by_sig).alias("p"), F.lead("node").over(by_sig).alias("q"))
@@ -302,7 +325,7 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
         pivot = F.min(F.struct("order", "label")).over(several)
         pairs = ranked.withColumn("pivot", pivot).filter("pivot.label != label").select(F.col("pivot.order.node").alias("p"), F.col("node").alias("x"))
         pairs = pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct()
-        pairs = staged(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        pairs = staged(possible(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), met, percent), "pairs")
         if pairs.isEmpty():
             break
         tested = staged(tested.union(overlaps(pairs, fragments, percent)), "tested")
