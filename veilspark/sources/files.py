@@ -43,8 +43,8 @@ def is_supported(path: str) -> bool:
 
 def output_name(path: str, mark: str = "anon") -> str:
     """``stem.anon.ext``; PDF becomes text."""
-    end = suffix(path)
-    return f"{path[: len(path) - len(end)]}.{mark}{'.txt' if end == '.pdf' else end}"
+    end = path[len(path) - len(suffix(path)) :]
+    return f"{path[: len(path) - len(end)]}.{mark}{'.txt' if end.lower() == '.pdf' else end}"
 
 
 def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
