@@ -139,13 +139,20 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, node, sigs, sketch): set size, digest of the set, digests of its fragments, counts by range."""
+    """(doc_id, n, node, sigs, sketch): set size, digest of the set, digests of its fragments, counts by range.
+
+    ``sigs`` is given once for each set and task, so a text with very many copies gives each digest as many rows as tasks.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in text_slices(batches, 2_000_000):
             sets = shingle_sets([t or "" for t in b.column("text").to_pylist()], gram)
             nodes = [node_of(x) for x in sets]
-            sigs = [signatures(x, percent) for x in sets]
+            sigs = []
+            for node, x in zip(nodes, sets):
+                sigs.append(signatures(x if node not in seen else x[:0], percent))
+                seen.add(node)
             flat = pa.array(_long(np.concatenate(sigs)) if sigs else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([sketch(x) for x in sets], pa.list_(pa.int16()))], ["doc_id", "n", "node", "sigs", "sketch"])
@@ -305,9 +312,8 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = staged(document_sets(docs, gram, percent), "sets")
     nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    first = sets.select("doc_id", "node", "sigs").join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
     by_sig = Window.partitionBy("sig").orderBy("node")
-    near = first.select("node", F.explode("sigs").alias("sig")).select("sig", "node", F.lag("node").over(by_sig).alias("p"), F.lead("node").over(by_sig).alias("q"))
+    near = sets.select("node", F.explode("sigs").alias("sig")).select("sig", "node", F.lag("node").over(by_sig).alias("p"), F.lead("node").over(by_sig).alias("q"))
     buckets = staged(near.filter("p != node or q != node").select("sig", "node").distinct(), "buckets")
     met = staged(buckets.select("node").distinct().join(nodes, "node"), "met")
     fragments = staged(node_fragments(docs, met, gram), "fragments")
