@@ -167,15 +167,20 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def node_fragments(docs: DataFrame, wanted: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(node, frag, n, grams) for the wanted (rep, node): the n-grams of each node in each of the COUNTED fragments."""
+    """(node, frag, n, grams) for the wanted (rep, node): the n-grams of each node in each of the COUNTED fragments.
+
+    Rows that share a doc_id and a text may give a node once for each task; what reads the fragments allows for that.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in text_slices(batches, 2_000_000):
             sets = shingle_sets([t or "" for t in b.column("text").to_pylist()], gram)
             rows = []
             for node, x in zip(b.column("node").to_pylist(), sets):
-                if node_of(x) != node:
-                    continue  # another text under the same doc_id
+                if node in seen or node_of(x) != node:
+                    continue  # a repeated row, or another text under the same doc_id
+                seen.add(node)
                 at = np.searchsorted(((x >> _U(32)) * _U(COUNTED)) >> _U(32), np.arange(COUNTED + 1, dtype=_U))
                 rows += [(node, f, len(x), _long(x[at[f] : at[f + 1]])) for f in range(COUNTED)]
             cols = list(zip(*rows)) if rows else [[], [], [], []]
@@ -183,7 +188,7 @@ def node_fragments(docs: DataFrame, wanted: DataFrame, gram: int = GRAM) -> Data
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = slim.join(_small(wanted.select(F.col("rep").alias("doc_id"), "node")), "doc_id")
-    return map_arrow(slim.select("text", "node"), run, "node long, frag int, n long, grams array<long>").dropDuplicates(["node", "frag"])
+    return map_arrow(slim.select("text", "node"), run, "node long, frag int, n long, grams array<long>")
 
 
 def possible(pairs: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -201,8 +206,9 @@ def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int = PERCENT) ->
     left = fragments.select(F.col("node").alias("a"), "frag", F.col("n").alias("na"), F.col("grams").alias("ga")).join(held(pairs.select("a", "b")), "a")
     right = fragments.select(F.col("node").alias("b"), "frag", F.col("n").alias("nb"), F.col("grams").alias("gb")).join(held(pairs.select("b").distinct()), "b", "left_semi")
     met = left.join(right, ["b", "frag"])
-    part = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
-    summed = part.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("both"))
+    part = met.select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
+    parts = [F.max(F.when(F.col("frag") == f, F.col("part"))) for f in range(COUNTED)]  # a repeated fragment counts once
+    summed = part.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), sum(F.coalesce(p, F.lit(0)) for p in parts).alias("both"))
     return summed.select("a", "b", (F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).alias("linked"))
 
 
@@ -273,7 +279,8 @@ def rest_links(rest: DataFrame, met: DataFrame, fragments: DataFrame, percent: i
     nodes = staged(rest.select("node", "label").distinct().join(family, "node"), "family-nodes")
     sizes = nodes.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "label")).getField("label").alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("asked"))
     shape = sizes.select("family", "main", F.ceil(F.col("all") / SALTED).cast("int").alias("salts"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("blocks"))
-    whole = fragments.groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_list("grams")).alias("grams"))
+    wanted = fragments.join(_small(nodes.select("node").distinct()), "node", "left_semi")
+    whole = wanted.groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_set("grams")).alias("grams"))
     dealt = nodes.join(shape, "family")
     spot = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
