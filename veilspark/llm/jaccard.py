@@ -191,10 +191,16 @@ def node_fragments(docs: DataFrame, wanted: DataFrame, gram: int = GRAM) -> Data
     return map_arrow(slim.select("text", "node"), run, "node long, frag int, n long, grams array<long>")
 
 
+def sized(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, na, nb): the pairs (a, b) whose sizes allow a link, for sizes (node, n)."""
+    side = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+
+
 def possible(pairs: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link: a bound that loses none."""
+    """The pairs (a, b, na, nb) whose sketches allow a link: a bound that loses none."""
     side = lambda x: met.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+    both = pairs.join(side("a").drop("na"), "a").join(side("b").drop("nb"), "b")
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
     return both.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
@@ -325,19 +331,20 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     met = staged(buckets.select("node").distinct().join(nodes, "node"), "met")
     fragments = staged(node_fragments(docs, met, gram), "fragments")
 
+    held = F.broadcast if met.count() <= BROADCAST_ROWS else lambda d: d  # for tables of two longs a node
     labels = met.select("node", F.col("node").alias("label"))
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
     last = 0
     several = Window.partitionBy("sig")
     # members of buckets that still hold several components
-    still_open = lambda: buckets.join(labels, "node").withColumn("lo", F.min("label").over(several)).withColumn("hi", F.max("label").over(several)).filter("lo != hi").select("sig", "node", "label")
+    still_open = lambda: buckets.join(held(labels), "node").withColumn("lo", F.min("label").over(several)).withColumn("hi", F.max("label").over(several)).filter("lo != hi").select("sig", "node", "label")
     for k in range(ROUNDS):
         links = tested.filter("linked")
         degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-        ranked = still_open().join(degree, "node", "left").withColumn("order", F.struct(-F.coalesce("links", F.lit(0)), F.xxhash64(F.lit(k), "node"), "node"))
+        ranked = still_open().join(held(degree), "node", "left").withColumn("order", F.struct(-F.coalesce("links", F.lit(0)), F.xxhash64(F.lit(k), "node"), "node"))
         pivot = F.min(F.struct("order", "label")).over(several)
         pairs = ranked.withColumn("pivot", pivot).filter("pivot.label != label").select(F.col("pivot.order.node").alias("p"), F.col("node").alias("x"))
-        pairs = pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct()
+        pairs = sized(pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")), held(met.select("node", "n")), percent).distinct()
         pairs = staged(possible(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), met, percent), "pairs")
         if pairs.isEmpty():
             break
