@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _mix
-from .common import map_arrow, ship, staged, table, text_slices
+from .common import map_arrow, partitions, ship, staged, table, text_slices
 from .components import components
 
 GRAM, PERCENT, ROUNDS, COUNTED = 4, 85, 3, 4
@@ -269,7 +269,8 @@ def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFra
                 root[root == r] = root[x]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    edges = staged(dealt.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long"), "family-edges")
+    spread = dealt.repartition(partitions(dealt.sparkSession), "grp", "i", "j")  # few bytes but much work: not to be coalesced
+    edges = staged(spread.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long"), "family-edges")
     return components(edges).withColumnRenamed("label", "family")
 
 
