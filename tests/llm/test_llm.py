@@ -254,6 +254,21 @@ def test_toxicity(spark, docs, empty):
     assert none.scores(["x"])[0] < 0.5
 
 
+def test_toxicity_learns_rare_units():
+    """An insult far rarer than the commonest one is learnt too, and so is its family, without harm to clean texts."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(1000):
+        words = [rng.choice(WORDS) + rng.choice(["a", "en", "or"]) for _ in range(30)]
+        if i % 5 == 0:
+            words[rng.randrange(30)] = "grobbit" if i >= 50 else rng.choice(["tamdelix", "tamdelon"])
+        rows.append((" ".join(words), int(i % 5 == 0)))
+    model = toxicity.fit(rows)
+    got = np.array(model.scores([t for t, _ in rows])) >= 0.5
+    assert [bool(x) for x in got] == [bool(t) for _, t in rows]
+    assert min(model.scores(["a tamdelix b", "the t-a-m-d-e-l-i-x", "tamdelian", "grobbit"])) >= 0.5
+
+
 def test_html():
     page = "<head><title>t</title></head>Hi <b>there</b>,<p>one<p>two &amp; x<div style='display: none'>no</div><ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>x<li>y</ol><table><tr><th>Name<th>Qty<tr><td>pie<td>2</table><pre> a\n  b</pre>x<br>y<script>1<2</script>"
     assert html.extract(page) == "Hi there,\n\none\n\ntwo & x\n\n- a\n- b\n  - c\n\n3. x\n4. y\n\nName  Qty\npie   2\n\n a\n  b\n\nx\ny"

@@ -6,8 +6,9 @@ inserted letter costs little.
 Nyström: landmarks are words of the training sentences; a string's features are its kernels with the landmarks, times
 the inverse root of the landmarks' own kernel matrix. A linear SVM (squared hinge) is trained on them.
 Labels belong to whole documents, so a sentence's score is its highest unit score, a document's is its highest
-sentence's, and training alternates: fit on the units that mark toxic documents against those of clean ones, then add
-the clean units that score highest. A logistic curve fitted on the training documents gives the final score.
+sentence's, and training alternates: fit on all units that mark toxic documents against those of clean ones, then add
+the clean units that score highest, and for each toxic document without a mark its highest unit that no clean document
+holds (a document without such a unit gives no row). A logistic curve fitted on the training documents gives the final score.
 Units are words, and runs of single letters ("i d i o t").
 
 Because the machine is linear in the landmarks' subsequences, scoring needs one table of 32**3 weights, whatever the
@@ -24,6 +25,7 @@ twice; repeated rows stay; an empty table gives no rows; other columns are dropp
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, ship, table, text_slices
 
 TRAIN_DOCUMENTS, LANDMARKS, DECAY, LONGEST = 4000, 96, 0.7, 20
+MARKS, FALSE_MARKS = 256, 0.05  # landmarks among the marks (all marks are positive rows); share of marks that are so by chance
 _WORD = re.compile(r"\w(?:[^\x20\x09-\x0D]*\w)?")
 _SPELLED = re.compile(r"\b\w(?:[ .\-_*]{1,3}\w\b){2,}")
 GAP, OTHER = 31, 30
@@ -101,7 +104,7 @@ class Kernel:
                     out[i] = self.fresh(pieces(units[i])).max()
                 continue
             at, weight = self.places.setdefault(n, _triples(n))
-            step = max(1, 2_000_000 // len(at))
+            step = max(1, 500_000 // len(at))
             for k in range(0, len(rows), step):
                 pick = rows[k : k + step]
                 c = _codes([units[i] for i in pick])
@@ -156,20 +159,29 @@ class Model:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0, steps: int = 30) -> np.ndarray:
     """Weights (bias last) of a linear SVM with squared hinge, by Newton steps on its active rows."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        a = x[on] * weight[on, None]
-        new = np.linalg.solve(ridge + c * (a.T @ x[on]), c * (a.T @ y[on]))
+        left, right = ridge.copy(), np.zeros(len(w))
+        for k in range(0, len(x), 1000):  # few rows at a time: the driver holds no copy of x
+            part = np.concatenate([x[k : k + 1000], np.ones((len(x[k : k + 1000]), 1))], axis=1, dtype=np.float64)
+            on = y[k : k + 1000] * (part @ w) < 1
+            a = part[on] * weight[k : k + 1000][on, None]
+            left += c * (a.T @ part[on])
+            right += c * (a.T @ y[k : k + 1000][on])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
     return w
 
 
+def _tail(k: int, n: int, p: float) -> float:
+    """The chance of k or more toxic documents among n."""
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k, n + 1))
+
+
 def _noisy(unit: str, rng: random.Random, letters: str) -> list[str]:
     """A unit with one letter put in, and with gaps."""
     i, j = rng.randrange(1, len(unit)), rng.randrange(1, len(unit))
@@ -190,47 +202,82 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     share = total[1] / sum(total)
     surprise = {u: (k - (k + seen[0][u]) * share) / ((k + seen[0][u]) * share * (1 - share)) ** 0.5 for u, k in seen[1].items()}
     marks = sorted((u for u, z in surprise.items() if z >= 4 and seen[1][u] >= 2 and seen[1][u] >= 4 * seen[0][u]), key=lambda u: (-surprise[u], u))
+    # of the thousands of units some pass by chance: keep those whose false share is expected to be at most FALSE_MARKS
+    tested = sum(1 for u in surprise if seen[1][u] + seen[0][u] >= 2)
+    odds = {u: _tail(seen[1][u], seen[1][u] + seen[0][u], share) for u in marks}
+    limit = max((p for i, p in enumerate(sorted(odds.values()), 1) if p * tested <= FALSE_MARKS * i), default=0.0)
+    marks = [u for u in marks if odds[u] <= limit]
     if not marks:
         return flat(share)
-    best = surprise[marks[0]]
-    marks = [u for u in marks if surprise[u] >= 0.4 * best][: LANDMARKS // 2]
     letters = "".join(sorted({c for u in seen[0] for c in u if c.isalpha()})) or "x"
-    clean = sorted(u for u in seen[0] if u not in marks)
+    known = set(marks)
+    clean = sorted(u for u in seen[0] if u not in known)
     rng.shuffle(clean)
-    landmarks = marks + clean[: LANDMARKS - len(marks)]
+    # the marks that cover most toxic documents are landmarks, documents covered less often first; so are as many clean
+    # units: half of them at random, half of them those most like the marks
+    held = [bag & known for bag, (_, t) in zip(bags, rows) if t and bag & known]
+    at = {u: i for i, u in enumerate(marks)}
+    inside = np.zeros((len(marks), len(held)), np.float32)
+    for j, own in enumerate(held):
+        inside[[at[u] for u in own], j] = 1
+    need, chosen = np.ones(len(held), np.float32), []
+    for _ in range(min(MARKS, len(marks))):
+        gain = inside @ need
+        gain[chosen] = -1
+        chosen.append(int(np.argmax(gain)))
+        need *= 1 - inside[chosen[-1]] / 2
+    picked = [marks[i] for i in chosen]
+    sums = np.zeros(32768)
+    for u in marks:
+        f = features(u)
+        sums[list(f)] += list(f.values())
+    most = max(LANDMARKS - len(picked), len(picked))
+    like = Kernel(sums, 0.0).fresh(clean)
+    close = [clean[i] for i in np.argsort(-like, kind="stable")[: most // 2]]
+    landmarks = picked + close + [u for u in clean if u not in set(close)][: most - len(close)]
     maps = [features(u) for u in landmarks]
-    dense = np.zeros((len(maps), 32768))
+    dense = np.zeros((len(maps), 32768), np.float32)
     for i, m in enumerate(maps):
         dense[i, list(m)] = list(m.values())
     values, vectors = np.linalg.eigh(dense @ dense.T)
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])  # K_mm ** -1/2
-    embed = lambda units: np.array([dense[:, list(f)] @ np.array(list(f.values())) if f else np.zeros(len(maps)) for f in map(features, units)]) @ root
+    embed = lambda units: np.array([dense[:, list(f)] @ np.array(list(f.values())) if f else np.zeros(len(maps)) for f in map(features, units)], np.float32) @ root.astype(np.float32)
     positive = marks + [v for u in marks for _ in range(3) for v in _noisy(u, rng, letters)]
     negative = clean[:1500]
     xp, xn = embed(positive), embed(negative)
-    for turn in range(4):
-        x = np.concatenate([xp, xn])
+    # toxic documents without a mark: units that no clean document holds, of which the highest is a positive row
+    unmarked = [own for bag, (_, t) in zip(bags, rows) if t and not bag & known and (own := sorted(u for u in bag if 3 <= len(u) <= LONGEST and u not in seen[0]))]
+    for turn in range(6):
+        x = np.concatenate([xp, xn], dtype=np.float32)
         y = np.concatenate([np.ones(len(xp)), -np.ones(len(xn))])
-        w = _svm(x, y, np.concatenate([np.full(len(xp), 1.0), np.full(len(xn), len(xp) / len(xn))]) if turn == 0 else np.ones(len(x)))
+        # a row weighs as the documents that hold its unit: a common clean word must not pass for a rare mark's kin
+        w = _svm(x, y, np.array([max(1, seen[1][u]) for u in positive] + [seen[0][u] for u in negative], float))
         kernel = Kernel((root @ w[:-1]) @ dense, float(w[-1]))
-        if turn < 3:
+        if turn < 5:
+            witness = {own[int(np.argmax(kernel.fresh(own)))] for own in unmarked} - set(positive)
+            if witness:
+                positive += sorted(witness)
+                xp = np.concatenate([xp, embed(sorted(witness))])
             score = kernel.fresh(clean)
-            hard = [clean[i] for i in np.argsort(-score)[:600] if score[i] > -1]
+            hard = [clean[i] for i in np.argsort(-score)[:3000] if score[i] > -1]
             hard = sorted(set(hard) - set(negative))
-            if not hard:
+            if not hard and not witness:
                 break
-            negative += hard
-            xn = np.concatenate([xn, embed(hard)])
+            if hard:
+                negative += hard
+                xn = np.concatenate([xn, embed(hard)])
     # the curve must also place disguised units, of which the documents may hold none
     top = np.concatenate([kernel.documents(bags), kernel.fresh(positive)])
     kernel.memo.clear()
     y = np.concatenate([[t for _, t in rows], np.ones(len(positive))]).astype(float)
+    # the units together weigh no more than the toxic documents: their number must not move the curve
+    mass = np.concatenate([np.ones(len(rows)), np.full(len(positive), min(1.0, total[1] / len(positive)))])
     slope, offset = 1.0, 0.0
     for _ in range(50):  # logistic curve by damped Newton steps
         p = 1 / (1 + np.exp(-np.clip(slope * top + offset, -30, 30)))
-        g = np.array([((p - y) * top).sum() + 0.01 * slope, (p - y).sum()])
-        q = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(mass * (p - y) * top).sum() + 0.01 * slope, (mass * (p - y)).sum()])
+        q = mass * np.maximum(p * (1 - p), 1e-9)
         h = np.array([[(q * top * top).sum() + 0.01, (q * top).sum()], [(q * top).sum(), q.sum() + 1e-9]])
         move = np.clip(np.linalg.solve(h, g), -1, 1)
         slope, offset = slope - move[0], offset - move[1]
