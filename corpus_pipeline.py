@@ -27,10 +27,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id."""
+    """Exactly one row of each component, the one with the smallest doc_id (null first, then the first key).
+
+    Rows are linked by a key of their own, as doc_id may be null or repeated. Texts without words are components of their own.
+    """
     ship(spark)
-    found = jaccard.jaccard_components(docs)
-    return docs.join(found.filter("doc_id <=> component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    # keys are stored, so that reading them again gives the same ones
+    keyed = staged(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "pipeline-keys")
+    found = jaccard.jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), F.col("row.text").alias("text")))
+    ids = keyed.select("row_key", F.col("row.doc_id").alias("id"))
+    # minima before the shuffle, so that a large component costs each task one row; a struct with a null id comes first
+    first = F.min(F.struct("id", "row_key")).getField("row_key").alias("row_key")
+    kept = found.select(F.col("doc_id").alias("row_key"), "component_id").join(ids, "row_key").groupBy("component_id").agg(first).select("row_key")
+    return keyed.join(kept, "row_key", "left_semi").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

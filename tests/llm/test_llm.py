@@ -320,3 +320,16 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, 1, int("grobbit" in t)) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/d/labels.parquet")
     got = {r["doc_id"] for r in p.run(spark, f"{tmp_path}/d").select("doc_id").collect()}
     assert got == {i for i, t in enumerate(texts) if "grobbit" not in t and i not in (5, 6)}
+
+
+def test_near_duplicates_null_and_repeated_ids(spark):
+    """Exactly one row of each component stays, whatever its doc_id."""
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"g{k}w{i}" for i in range(40))
+    rows = [(None, text(0)), (1, text(0)), (2, text(1)), (2, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (None, text(5)), (None, text(5)), (8, text(6) + " x"), (7, text(6)), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = p.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(None, text(0)), (2, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (None, text(5)), (7, text(6)), (None, None), (9, "")]
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
