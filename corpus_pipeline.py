@@ -12,6 +12,10 @@ from veilspark.llm import jaccard, packing, quality, toxicity
 from veilspark.llm.common import ship, staged, table
 
 
+#: Near duplicates share at least this part of their 5-word windows; op10's contract has values of its own.
+NEAR_GRAM, NEAR_PERCENT = 5, 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy 2 keeps, whole. Native, one pass, no shuffle."""
     own = [c for c in docs.columns if c != "doc_id"]
@@ -34,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     # keys are stored, so that reading them again gives the same ones
     keyed = staged(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "pipeline-keys")
-    found = jaccard.jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), F.col("row.text").alias("text")))
+    found = jaccard.jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), F.col("row.text").alias("text")), gram=NEAR_GRAM, percent=NEAR_PERCENT)
     ids = keyed.select("row_key", F.col("row.doc_id").alias("id"))
     # minima before the shuffle, so that a large component costs each task one row; a struct with a null id comes first
     first = F.min(F.struct("id", "row_key")).getField("row_key").alias("row_key")

@@ -333,3 +333,28 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert out.columns == docs.columns
     want = [(None, text(0)), (2, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (None, text(5)), (7, text(6)), (None, None), (9, "")]
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
+
+
+def test_near_duplicates_between_80_and_85(spark):
+    """Two separate words of 100 changed: similarity 0.811 over 5-word windows, 0.848 over 4-word windows."""
+    import corpus_pipeline as p
+
+    base = [f"w{i}" for i in range(100)]
+    near, far = list(base), list(base)
+    near[30] = near[60] = "changed"
+    far[20] = far[40] = far[60] = "other"  # 81 of 111 windows: 0.73
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r["doc_id"] for r in p.near_duplicate_stage(spark, docs, "").collect()} == {1, 3}
+    texts = [*made(60, 3), *[" ".join(near[:k] + ["z"] + near[k + 1 :]) for k in range(0, 100, 9)]]
+    rows = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), gram=5, percent=80).collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == brute_components(texts, 80, 5)
+
+
+def test_levels_lose_no_pair_at_80():
+    for larger in range(1, 400):
+        for smaller in range(-(-larger * 80 // 100), larger + 1):
+            d = (larger + smaller) * 20 // 180
+            own = jaccard.levels(larger, 80)
+            if d and smaller + larger > 2:
+                k = [x for x in own if x[0] == int(np.floor(np.log(larger) / np.log(1.5) + 1e-9))]
+                assert k and k[0] in jaccard.levels(smaller, 80) and k[0][1] - k[0][2] > d
