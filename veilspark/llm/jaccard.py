@@ -3,18 +3,22 @@
 Global order: the distinct word n-grams of a document are ordered by a 64-bit hash, the same for all documents.
 Fragments: the order is cut into F equal ranges. Two documents of a pair may differ in at most D n-grams, a bound that
 follows from the similarity and the size level; each of those spoils one fragment, so with F > D some fragment holds
-exactly the same n-grams in both. Documents therefore meet only on a fragment's digest. A passage that many documents
-share does not make them meet, as their fragments hold other n-grams too.
-Partial overlaps: the pairs found are counted in fragments, each pair and fragment apart, and summed per pair; the sum
-decides exactly.
+exactly the same n-grams in both. Documents therefore meet only on a fragment's digest.
+Common n-grams: those found HOT_IN times or more in a sample of about SAMPLE documents are left out of the fragments, so
+that a passage that many documents share does not make them meet. Any set of n-grams may be left out without losing a
+pair, as sets without them differ no more than before; the sample only decides how much work is saved. A document left
+with more empty fragments than the slack also gives the digests of its whole fragments (``signatures``).
+Partial overlaps: a pair that met is first held against a bound on its difference (``odd_sketch``), then counted in
+fragments, each pair and fragment apart, and summed per pair; the sum decides exactly.
 
 Groups: equal sets are one class before any pairing. In a bucket of equal digests, rounds link members to one pivot,
-not to each other. Members that are in different components after ``ROUNDS`` rounds become queries, which go in blocks
-against the rest of their buckets (``rest_links``). So every link that joins components counts, and no pairs of a group
-are ever rows.
+not to each other; a pivot that has met its bucket leaves it, and a bucket within one component is done. Members that are in different components after ``ROUNDS`` rounds become queries, which go in blocks
+against the rest of their buckets, again fragment by fragment (``rest_links``). So every link that joins components
+counts, and no pairs of a group are ever rows.
 
 Edge cases: null or empty text has an empty set, n_shingles 0, and is its own component; fewer words than the n-gram
-length form one n-gram; rows that share a doc_id are one document for linking, each row is returned; a null doc_id sorts first;
+length form one n-gram; rows that share a doc_id are documents of their own, each with its own set and component (equal
+ids are then two names for different rows); null doc_ids likewise, and null sorts first, so it names its components;
 an empty table gives no rows; other columns are dropped. Sets are compared by 64-bit digests of their n-grams.
 """
 
@@ -24,7 +28,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _mix
@@ -32,8 +36,9 @@ from .common import map_arrow, partitions, ship, staged, table, text_slices
 from .components import components
 
 GRAM, PERCENT, ROUNDS, COUNTED = 4, 85, 3, 4
+SAMPLE, HOT_IN, HOT_MOST = 5000, 3, 2_000_000  # documents looked at for common n-grams; how often is common; 16 MB of them at most
 BLOCK, SALTED, GRID = 512, 2000, 4000  # queries and nodes of a task in rest_links, nodes of a block in families
-CELLS = 64
+SLACK = 15  # per cent of the fragments that may be empty
 NO_ID = -(1 << 63)  # stands for a null doc_id
 BROADCAST_ROWS = 500_000  # of 8 bytes: 4 MB; beyond it the join shuffles
 _U = np.uint64
@@ -74,10 +79,10 @@ def shingle_sets(texts: list[str], gram: int = GRAM) -> list[np.ndarray]:
             g = np.sort(grams[b : e - gram + 1])
             out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
         elif e > b:
-            short = _U(e - b)
+            short = np.array([e - b], _U)
             for w in words[b:e].reshape(-1, 1):
                 short = _mix(w + short * _K)
-            out.append(np.asarray(short, _U).reshape(1))
+            out.append(short)
         else:
             out.append(np.zeros(0, _U))
     return out
@@ -94,39 +99,56 @@ def levels(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
         if level == k or n * 100 >= percent * int(np.ceil(1.5 ** (k + 1) - 1e-9)):
             most = int(np.ceil(1.5 ** (level + 1) - 1e-9))
             if d := (2 * most * (100 - percent)) // (100 + percent):
-                slack = 1 + d // 20
+                slack = 1 + d * SLACK // 100
                 out.append((level, d + 1 + slack, slack))
     return out
 
 
-def signatures(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Digest of each fragment of a set, for each of its levels.
+def _digests(grams: np.ndarray, level: int, cuts: int, scheme: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digest and size of each of ``cuts`` fragments."""
+    sums = np.concatenate([[_U(0)], np.cumsum(_mix(grams + _K))])
+    at = np.searchsorted(((grams >> _U(32)) * _U(cuts)) >> _U(32), np.arange(cuts + 1, dtype=_U))
+    size = np.diff(at)
+    seeds = _mix(np.arange(cuts, dtype=_U) * _U(1000) + _U(2 * level + scheme))
+    return _mix((sums[at[1:]] - sums[at[:-1]] + size.astype(_U) * _K) ^ seeds), size
 
-    Empty fragments count only if the set has more of them than the slack: a pair that has at most that many equal
-    empty fragments has an equal fragment with n-grams, too.
+
+def _common(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which n-grams are in the sorted ``hot``."""
+    if not len(hot):
+        return np.zeros(len(grams), bool)
+    return hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+
+
+def signatures(grams: np.ndarray, percent: int = PERCENT, hot: np.ndarray = np.zeros(0, _U)) -> np.ndarray:
+    """Digests of a set's fragments, for each of its levels.
+
+    First the fragments without the n-grams of ``hot``, empty ones left out. Of a pair's F fragments at least 1 + slack
+    are equal, so if either set has at most ``slack`` empty ones, the pair meets there. A set with more of them also
+    gives its whole fragments; so a pair in which both have more meets on these. There the same holds: empty fragments
+    count only if the set has more of them than the slack.
     """
     out = []
-    if not len(grams):
-        return np.zeros(0, _U)
-    high, sums = grams >> _U(32), np.concatenate([[_U(0)], np.cumsum(_mix(grams + _K))])
-    for level, cuts, slack in levels(len(grams), percent):
-        at = np.searchsorted((high * _U(cuts)) >> _U(32), np.arange(cuts + 1, dtype=_U))
-        size = np.diff(at)
-        digest = sums[at[1:]] - sums[at[:-1]] + size.astype(_U) * _K
-        seeds = _mix(np.arange(cuts, dtype=_U) * _U(1000) + _U(level))
-        digest = _mix(digest ^ seeds)
-        if (size == 0).sum() <= slack:
-            digest = digest[size > 0]
-        out.append(digest)
+    rest = grams[~_common(grams, hot)]
+    for level, cuts, slack in levels(len(grams), percent) if len(grams) else ():
+        digest, size = _digests(rest, level, cuts, 0)
+        out.append(digest[size > 0])
+        if (size == 0).sum() > slack:
+            digest, size = _digests(grams, level, cuts, 1)
+            out.append(digest[size > 0] if (size == 0).sum() <= slack else digest)
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """How many n-grams fall into each of CELLS equal ranges of the order, capped as 16-bit values.
+def odd_sketch(grams: np.ndarray) -> np.ndarray:
+    """Bits of a power of two, 4 to 8 for an n-gram, each the parity of the n-grams that hash to it, as 64-bit words.
 
-    The summed difference of two sketches is at most the number of n-grams in which the sets differ.
+    Each n-gram in which two sets differ flips one bit, so the number of different bits is at most that of n-grams.
+    A sketch is made half as long by the xor of its halves.
     """
-    return np.minimum(np.bincount(((grams >> _U(32)) * _U(CELLS) >> _U(32)).astype(np.int64), minlength=CELLS), 32767).astype(np.int16)
+    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(grams)) / 16))))
+    place = (_mix(grams ^ _K) & _U(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -138,27 +160,60 @@ def node_of(grams: np.ndarray) -> int:
     return int(_long(_mix(_mix(grams).sum(dtype=_U, keepdims=True) + np.array([grams.size], _U) * _K))[0])
 
 
-def document_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, node, sigs, sketch): set size, digest of the set, digests of its fragments, counts by range.
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _texts(batches: Iterable[pa.RecordBatch], gram: int) -> Iterable[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches of about 2 MB of text with their sets."""
+    for b in text_slices(batches, 2_000_000):
+        yield b, shingle_sets([t or "" for t in b.column("text").to_pylist()], gram)
+
 
-    ``sigs`` is given once for each set and task, so a text with very many copies gives each digest as many rows as tasks.
+def document_sets(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n, node): size and digest of each document's set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b, sets in _texts(batches, gram):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64())], ["doc_id", "n", "node"])
+
+    return map_arrow(_slim(docs), run, "doc_id long, n long, node long")
+
+
+def common_grams(docs: DataFrame, rows: int, gram: int = GRAM) -> np.ndarray:
+    """Sorted n-grams that HOT_IN or more of about SAMPLE documents hold: at most HOT_MOST, the most frequent ones.
+
+    They save work and change no result, so neither the sample nor the bound loses anything.
     """
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for _, sets in _texts(batches, gram):
+            yield pa.RecordBatch.from_arrays([pa.array(_long(np.concatenate([*sets, np.zeros(0, _U)])), pa.int64())], ["gram"])
+
+    step = max(1, -(-rows // SAMPLE))
+    sample = _slim(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0)
+    found = map_arrow(sample, run, "gram long").groupBy("gram").agg(F.count("*").alias("k")).filter(F.col("k") >= HOT_IN)
+    got = found.orderBy(F.desc("k"), "gram").limit(HOT_MOST).select("gram").toArrow().column("gram").to_numpy()
+    return np.sort(np.ascontiguousarray(got).view(_U))
+
+
+def document_signatures(docs: DataFrame, hot: np.ndarray, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """(sig, node) of all documents; once for each set and task, so a text with very many copies gives few rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST numbers at most
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in text_slices(batches, 2_000_000):
-            sets = shingle_sets([t or "" for t in b.column("text").to_pylist()], gram)
-            nodes = [node_of(x) for x in sets]
-            sigs = []
-            for node, x in zip(nodes, sets):
-                sigs.append(signatures(x if node not in seen else x[:0], percent))
-                seen.add(node)
-            flat = pa.array(_long(np.concatenate(sigs)) if sigs else np.zeros(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([sketch(x) for x in sets], pa.list_(pa.int16()))], ["doc_id", "n", "node", "sigs", "sketch"])
+        for _, sets in _texts(batches, gram):
+            sigs, nodes = [np.zeros(0, _U)], []
+            for x in sets:
+                if len(x) and (node := node_of(x)) not in seen:
+                    seen.add(node)
+                    sigs.append(signatures(x, percent, shared.value))
+                    nodes.append(node)
+            many = [len(x) for x in sigs[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(_long(np.concatenate(sigs))), pa.array(np.repeat(np.array(nodes, np.int64), many))], ["sig", "node"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(slim, run, "doc_id long, n long, node long, sigs array<long>, sketch array<smallint>")
+    return map_arrow(_slim(docs), run, "sig long, node long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -169,13 +224,13 @@ def _small(df: DataFrame) -> DataFrame:
 def node_fragments(docs: DataFrame, wanted: DataFrame, gram: int = GRAM) -> DataFrame:
     """(node, frag, n, grams) for the wanted (rep, node): the n-grams of each node in each of the COUNTED fragments.
 
-    Rows that share a doc_id and a text may give a node once for each task; what reads the fragments allows for that.
+    The row of fragment -1 holds the odd sketch. Rows that share a doc_id and a text may give a node once for each task;
+    what reads the fragments allows for that.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in text_slices(batches, 2_000_000):
-            sets = shingle_sets([t or "" for t in b.column("text").to_pylist()], gram)
+        for b, sets in _texts(batches, gram):
             rows = []
             for node, x in zip(b.column("node").to_pylist(), sets):
                 if node in seen or node_of(x) != node:
@@ -183,25 +238,33 @@ def node_fragments(docs: DataFrame, wanted: DataFrame, gram: int = GRAM) -> Data
                 seen.add(node)
                 at = np.searchsorted(((x >> _U(32)) * _U(COUNTED)) >> _U(32), np.arange(COUNTED + 1, dtype=_U))
                 rows += [(node, f, len(x), _long(x[at[f] : at[f + 1]])) for f in range(COUNTED)]
+                rows.append((node, -1, len(x), _long(odd_sketch(x))))
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(list(cols[3]), pa.list_(pa.int64()))], ["node", "frag", "n", "grams"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim = slim.join(_small(wanted.select(F.col("rep").alias("doc_id"), "node")), "doc_id")
+    slim = _slim(docs).join(_small(wanted.select(F.col("rep").alias("doc_id"), "node")), "doc_id")
     return map_arrow(slim.select("text", "node"), run, "node long, frag int, n long, grams array<long>")
 
 
+def sketches(fragments: DataFrame) -> DataFrame:
+    """(node, sketch), once for each node."""
+    return fragments.filter("frag = -1").groupBy("node").agg(F.first("grams").alias("sketch"))
+
+
 def sized(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, na, nb): the pairs (a, b) whose sizes allow a link, for sizes (node, n)."""
     side = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
 
-def possible(pairs: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sketches allow a link: a bound that loses none."""
-    side = lambda x: met.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a").drop("na"), "a").join(side("b").drop("nb"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+def possible(pairs: DataFrame, sketched: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b, na, nb) whose odd sketches allow a link: a bound that loses none."""
+    side = lambda x: sketched.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    fit = lambda s, o: F.when(F.size(s) > F.size(o), half(s)).otherwise(s)  # noqa: E731  sizes of a pair are at most a factor of two apart
+    both = both.select("a", "b", "na", "nb", fit(F.col("sa"), F.col("sb")).alias("sa"), fit(F.col("sb"), F.col("sa")).alias("sb"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     return both.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
@@ -209,6 +272,7 @@ def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int = PERCENT) ->
     """(a, b, linked) of pairs: partial overlaps by fragment, summed per pair."""
     few = pairs.count() <= BROADCAST_ROWS
     held = F.broadcast if few else lambda d: d
+    fragments = fragments.filter("frag >= 0")
     left = fragments.select(F.col("node").alias("a"), "frag", F.col("n").alias("na"), F.col("grams").alias("ga")).join(held(pairs.select("a", "b")), "a")
     right = fragments.select(F.col("node").alias("b"), "frag", F.col("n").alias("nb"), F.col("grams").alias("gb")).join(held(pairs.select("b").distinct()), "b", "left_semi")
     met = left.join(right, ["b", "frag"])
@@ -218,7 +282,7 @@ def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int = PERCENT) ->
     return summed.select("a", "b", (F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).alias("linked"))
 
 
-def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
+def families(rest: DataFrame, met: DataFrame, sketched: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, family): nodes of open buckets (sig, node, label) that may still have links, by who may link with whom.
 
     Two sets of a level with F fragments, of which D + 1 + slack = F, that differ in d n-grams share at least F - d
@@ -229,7 +293,7 @@ def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFra
     """
     star = rest.select("node", F.min("node").over(Window.partitionBy("sig")).alias("b"))
     group = components(star.select(F.col("node").alias("a"), "b")).withColumnRenamed("label", "grp")
-    nodes = rest.groupBy("node", "label").agg(F.collect_set("sig").alias("sigs")).join(group, "node").join(met.select("node", "n", "sketch"), "node")
+    nodes = rest.groupBy("node", "label").agg(F.collect_set("sig").alias("sigs")).join(group, "node").join(met.select("node", "n"), "node").join(sketched, "node")
     nodes = staged(nodes, "open-nodes")
     blocks = nodes.groupBy("grp").agg(F.ceil(F.count("*") / GRID).cast("int").alias("blocks"))
     own = nodes.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -240,7 +304,13 @@ def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFra
         node, label, size, own = (t.column(c).to_numpy() for c in ("node", "label", "n", "own"))
         lists = t.column("sigs").combine_chunks()
         many = np.diff(lists.offsets.to_numpy())
-        cells = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, CELLS).astype(np.int32)
+        bits = [np.asarray(x, np.int64).view(_U) for x in t.column("sketch").to_pylist()]
+        words = np.array([len(x) for x in bits])
+        fold = lambda x: x[: len(x) // 2] ^ x[len(x) // 2 :]
+        own_row, shelf = np.zeros(len(node), np.int64), {}
+        for w in np.unique(words).tolist():
+            rows = np.flatnonzero(words == w)
+            own_row[rows], shelf[w] = np.arange(len(rows)), np.stack([bits[i] for i in rows])
         _, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         owner = np.repeat(np.arange(len(node)), many)
         order = np.argsort(at, kind="stable")
@@ -263,7 +333,11 @@ def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFra
             apart = (size[ys] + size[x]) * (100 - percent) // (100 + percent)
             ys = ys[(shared[ys] >= np.maximum(1, most[x] - apart)) & (size[ys] * 100 >= size[x] * percent)]
             apart = (size[ys] + size[x]) * (100 - percent) // (100 + percent)
-            ys = ys[np.abs(cells[ys] - cells[x]).sum(axis=1) <= apart]
+            far = np.full(len(ys), 1 << 40)
+            for w, mine in ((words[x], bits[x]), (words[x] // 2, fold(bits[x]))):  # y is no larger, and at most a factor of two
+                if len(k := np.flatnonzero(words[ys] == w)):
+                    far[k] = np.bitwise_count(shelf[w][own_row[ys[k]]] ^ mine).sum(axis=1)
+            ys = ys[far <= apart]
             for r in np.unique(root[ys]).tolist():
                 out.append((int(node[x]), int(node[r])))
                 root[root == r] = root[x]
@@ -274,46 +348,56 @@ def families(rest: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFra
     return components(edges).withColumnRenamed("label", "family")
 
 
-def rest_links(rest: DataFrame, met: DataFrame, fragments: DataFrame, percent: int = PERCENT) -> DataFrame:
+def rest_links(rest: DataFrame, met: DataFrame, sketched: DataFrame, fragments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between the components that remain in open buckets (sig, node, label).
 
     In each of the ``families`` the nodes outside its largest component are queries; they
     go in blocks against all nodes of the family, which are dealt over salts. A task holds BLOCK queries and about
-    SALTED nodes, counts all overlaps through the queries' inverted index, and gives one link for each query and other
-    component. Pairs are never rows.
+    SALTED nodes, counts the partial overlaps of each fragment apart through an index of the queries' n-grams in it, sums
+    them per pair, and gives one link for each query and other component. Pairs are never rows.
     """
-    family = families(rest, met, percent)
+    family = families(rest, met, sketched, percent)
     nodes = staged(rest.select("node", "label").distinct().join(family, "node"), "family-nodes")
     sizes = nodes.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "label")).getField("label").alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("asked"))
     shape = sizes.select("family", "main", F.ceil(F.col("all") / SALTED).cast("int").alias("salts"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("blocks"))
-    wanted = fragments.join(_small(nodes.select("node").distinct()), "node", "left_semi")
-    whole = wanted.groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_set("grams")).alias("grams"))
+    parts = fragments.filter("frag >= 0").join(_small(nodes.select("node").distinct()), "node", "left_semi")
     dealt = nodes.join(shape, "family")
     spot = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     asked = dealt.filter("label != main").withColumn("block", spot("blocks")).withColumn("salt", every("salts")).withColumn("asks", F.lit(True))
     held = dealt.withColumn("salt", spot("salts")).withColumn("block", every("blocks")).withColumn("asks", F.lit(False))
     cols = ["family", "block", "salt", "asks", "node", "label"]
-    both = asked.select(*cols).union(held.select(*cols)).join(whole, "node")
+    both = asked.select(*cols).union(held.select(*cols)).join(parts, "node")
 
     def run(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        node, label, size = (t.column(c).to_numpy() for c in ("node", "label", "n"))
-        grams = t.column("grams").to_pylist()
-        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out: dict[tuple[int, int], int] = {}
-        if len(q) and len(m):
-            known, at = np.unique(np.concatenate([grams[i] for i in q]).astype(np.int64), return_inverse=True)
-            owner = np.repeat(np.arange(len(q)), [len(grams[i]) for i in q])[np.argsort(at, kind="stable")]
+        asks, frag, ids = (t.column(c).to_numpy() for c in ("asks", "frag", "node"))
+        facts = {i: (n, k) for i, n, k in zip(ids.tolist(), t.column("n").to_pylist(), t.column("label").to_pylist())}
+        lists = t.column("grams").combine_chunks()
+        begin, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        begin = begin - begin[0]
+        q, m = np.unique(ids[asks]), np.unique(ids[~asks])
+        both = np.zeros((len(m), len(q)), np.int32)
+        for f in range(COUNTED):  # partial overlaps of one fragment; a node that comes twice counts once
+            rows = {a: {i: r for r, i in zip(np.flatnonzero((frag == f) & (asks == a)).tolist(), ids[(frag == f) & (asks == a)].tolist())} for a in (True, False)}
+            held = [flat[begin[rows[True][i]] : begin[rows[True][i] + 1]] if i in rows[True] else flat[:0] for i in q.tolist()]
+            if not sum(map(len, held)):
+                continue
+            known, at = np.unique(np.concatenate(held), return_inverse=True)
+            owner = np.repeat(np.arange(len(q)), [len(g) for g in held])[np.argsort(at, kind="stable")]
             ptr = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(known)))])
-            for i in m:
-                g = np.asarray(grams[i], np.int64)
+            for j, i in enumerate(m.tolist()):
+                g = flat[begin[rows[False][i]] : begin[rows[False][i] + 1]] if i in rows[False] else flat[:0]
                 k = np.minimum(np.searchsorted(known, g), len(known) - 1)
                 k = k[known[k] == g]
                 n = ptr[k + 1] - ptr[k]
-                both = np.bincount(owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[k], n)], minlength=len(q))
-                for j in np.flatnonzero((both * 100 >= (size[q] + size[i] - both) * percent) & (label[q] != label[i])):
-                    out.setdefault((int(node[q[j]]), int(label[i])), int(node[i]))
+                both[j] += np.bincount(owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[k], n)], minlength=len(q)).astype(np.int32)
+        out: dict[tuple[int, int], int] = {}
+        if len(q) and len(m):
+            nq, kq = np.array([facts[i] for i in q.tolist()]).T
+            for j, i in enumerate(m.tolist()):
+                n, k = facts[i]
+                for x in np.flatnonzero((both[j].astype(np.int64) * 100 >= (nq + n - both[j]) * percent) & (kq != k)):
+                    out.setdefault((int(q[x]), k), i)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array(list(out.values()), pa.int64())})
 
     return both.groupBy("family", "block", "salt").applyInArrow(run, "a long, b long")
@@ -324,41 +408,51 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(document_sets(docs, gram, percent), "sets")
-    nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    sets = staged(document_sets(docs, gram), "sets")
+    nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "nodes")
+    hot = common_grams(docs, sets.count(), gram)
     by_sig = Window.partitionBy("sig").orderBy("node")
-    near = sets.select("node", F.explode("sigs").alias("sig")).select("sig", "node", F.lag("node").over(by_sig).alias("p"), F.lead("node").over(by_sig).alias("q"))
+    near = document_signatures(docs, hot, gram, percent).select("sig", "node", F.lag("node").over(by_sig).alias("p"), F.lead("node").over(by_sig).alias("q"))
     buckets = staged(near.filter("p != node or q != node").select("sig", "node").distinct(), "buckets")
     met = staged(buckets.select("node").distinct().join(nodes, "node"), "met")
     fragments = staged(node_fragments(docs, met, gram), "fragments")
+    sketched = sketches(fragments)
 
     held = F.broadcast if met.count() <= BROADCAST_ROWS else lambda d: d  # for tables of two longs a node
     labels = met.select("node", F.col("node").alias("label"))
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
     last = 0
-    several = Window.partitionBy("sig")
-    # members of buckets that still hold several components
-    still_open = lambda: buckets.join(held(labels), "node").withColumn("lo", F.min("label").over(several)).withColumn("hi", F.max("label").over(several)).filter("lo != hi").select("sig", "node", "label")
+
+    def still_open(buckets: DataFrame, order: Column) -> DataFrame:
+        """(sig, node, label, p, p_label) of buckets with several components, p being the pivot. Found by partial sums, so a large bucket is no single task."""
+        rows = buckets.join(held(labels), "node")
+        ranked = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order, "node", "label")).alias("pivot")).filter("lo != hi")
+        return rows.join(ranked.select("sig", F.col("pivot.node").alias("p"), F.col("pivot.label").alias("p_label")), "sig")
+
     for k in range(ROUNDS):
         links = tested.filter("linked")
         degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-        ranked = still_open().join(held(degree), "node", "left").withColumn("order", F.struct(-F.coalesce("links", F.lit(0)), F.xxhash64(F.lit(k), "node"), "node"))
-        pivot = F.min(F.struct("order", "label")).over(several)
-        pairs = ranked.withColumn("pivot", pivot).filter("pivot.label != label").select(F.col("pivot.order.node").alias("p"), F.col("node").alias("x"))
-        pairs = sized(pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")), held(met.select("node", "n")), percent).distinct()
-        pairs = staged(possible(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), met, percent), "pairs")
+        labels = labels.select("node", "label").join(held(degree), "node", "left")
+        opened = staged(still_open(buckets, F.struct(-F.coalesce("links", F.lit(0)), F.xxhash64(F.lit(k), "node"))), "open")
+        buckets = opened.filter("node != p").select("sig", "node")  # the pivot meets all of its bucket in this round
+        pairs = opened.filter("p_label != label").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        pairs = sized(pairs, held(met.select("node", "n")), percent)
+        pairs = staged(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
-        tested = staged(tested.union(overlaps(pairs, fragments, percent)), "tested")
+        close = staged(possible(pairs, sketched, percent), "close")
+        far = pairs.select("a", "b").join(close, ["a", "b"], "left_anti").withColumn("linked", F.lit(False))
+        tested = staged(tested.union(far).union(overlaps(close, fragments, percent)), "tested")
         found = tested.filter("linked")
         n = found.count()
         if n > last:
             got = components(found)
             labels = staged(met.select("node").join(got, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
         last = n
-    rest = staged(still_open(), "open")
+    labels = labels.select("node", "label")
+    rest = staged(still_open(buckets, F.lit(0)).select("sig", "node", "label"), "open")
     if not rest.isEmpty():
-        more = staged(rest_links(rest, met, fragments, percent), "rest-links")
+        more = staged(rest_links(rest, met, sketched, fragments, percent), "rest-links")
         got = components(tested.filter("linked").select("a", "b").union(more))
         labels = staged(met.select("node").join(got, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     # smallest doc_id of each component, then of each row's class
