@@ -254,6 +254,69 @@ def test_toxicity(spark, docs, empty):
     assert none.scores(["x"])[0] < 0.5
 
 
+def naive_kernel(s, t):
+    """Gap-weighted common subsequences of three letters, normalised, by enumeration; a to z and GAP only."""
+    from itertools import combinations
+
+    def weights(x):
+        out = Counter()
+        for at in combinations(range(len(x)), 3):
+            if all(x[i].isalpha() for i in at):
+                out["".join(x[i] for i in at)] += toxicity.DECAY ** (at[2] - at[0] + 1)
+        return out
+
+    a, b = weights(s), weights(t)
+    norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+    return sum(v * b[u] for u, v in a.items()) / norm if norm else 0.0
+
+
+def test_string_kernel_equals_enumeration():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdr-*1") for _ in range(rng.randrange(1, toxicity.LONGEST + 1))) for _ in range(60)] + ["aaaa", "ab", "", "a-b-c"]
+    for mark in ("abracad", "a-b-c", "ddd"):
+        table = np.zeros(32768)
+        f = toxicity.features(mark)
+        table[list(f)] = list(f.values())
+        got = toxicity.Kernel(table, 0.0).fresh(words)
+        assert np.allclose(got, [naive_kernel(w, mark) for w in words])
+        assert np.allclose(got, [sum(v * f.get(u, 0) for u, v in toxicity.features(w).items()) for w in words])
+    long = "x" * 30 + "abracad" + "y" * 30
+    assert toxicity.Kernel(table, 0.25).fresh([long]) == pytest.approx(toxicity.Kernel(table, 0.25).fresh(toxicity.pieces(long)).max())
+
+
+def test_sentences_hold_all_units():
+    rng = random.Random(7)
+    for _ in range(500):
+        text = "".join(rng.choice("ab c.!?-*_\n\t") for _ in range(rng.randrange(60)))
+        parts = [text[x:y] for x, y in toxicity.sentences(text)]
+        assert toxicity.units_of(text) == set().union(*map(toxicity.units_of, parts))
+
+
+def test_toxicity_by_language(spark):
+    """Held-out recall of each of four made-up languages, whose insults are inflected; rows with null, empty, repeated ids."""
+    rng = random.Random(12)
+    parts = {"en": "th er ing on ed ble sh wh".split(), "de": "sch ung keit ver ein lich ge ber".split(), "fr": "eux tion elle oi que ment ou re".split(), "es": "ción mente ado os que rra ie bo".split()}
+    insults = {"en": ["grobbit"], "de": ["drottwack"], "fr": ["zoufleur"], "es": ["plimozco"]}
+    rows = []
+    for i in range(2400):
+        lang = ("en", "en", "de", "fr", "es")[i % 5]
+        words = ["".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(40)]
+        if toxic := rng.random() < 0.12:
+            words[rng.randrange(40)] = rng.choice(insults[lang]) + rng.choice(["", "s", "en", rng.choice(parts[lang])])
+        rows.append((i, " ".join(words), lang, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(df, model).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    for lang in parts:
+        assert np.mean([got[i] >= 0.5 for i, _, k, t in held if k == lang and t]) >= 0.9, lang
+        assert np.mean([got[i] < 0.5 for i, _, k, t in held if k == lang and not t]) >= 0.95, lang
+    best = {r["doc_id"]: r["s"] for r in toxicity.score_sentences(df, model).groupBy("doc_id").agg(F.max("score").alias("s")).collect()}
+    assert all(best[i] == pytest.approx(got[i]) for i in best)
+    odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 50000), (2, "a drottwacken b")], "doc_id long, text string")
+    assert sorted(r["score"] >= 0.5 for r in toxicity.score_documents(odd, model).collect()) == [False] * 4 + [True]
+
+
 def test_toxicity_learns_rare_units():
     """An insult far rarer than the commonest one is learnt too, and so is its family, without harm to clean texts."""
     rng = random.Random(10)

@@ -5,17 +5,18 @@ spans, normalised. Characters that are not letters only lengthen spans, so "i-d-
 inserted letter costs little.
 Nyström: landmarks are words of the training sentences; a string's features are its kernels with the landmarks, times
 the inverse root of the landmarks' own kernel matrix. A linear SVM (squared hinge) is trained on them.
-Labels belong to whole documents, so a sentence's score is its highest unit score, a document's is its highest
-sentence's, and training alternates: fit on all units that mark toxic documents against those of clean ones, then add
+Sentences end at a line's end, or at . ! ? before white space. Their units are words, and runs of single letters
+("i d i o t"); a sentence's score is its highest unit's (``score_sentences``), a document's its highest sentence's. One
+kernel vector of a whole sentence lets an insult drown among other words; README has the figures.
+Labels belong to whole documents, so which of a toxic document's sentences are toxic is learnt: training alternates: fit on all units that mark toxic documents against those of clean ones, then add
 the clean units that score highest, and for each toxic document without a mark its highest unit that no clean document
 holds (a document without such a unit gives no row). A logistic curve fitted on the training documents gives the final score.
-Units are words, and runs of single letters ("i d i o t").
 
 Because the machine is linear in the landmarks' subsequences, scoring needs one table of 32**3 weights, whatever the
 number of landmarks; that table is all that executors get.
 
 Training reads at most TRAIN_DOCUMENTS labelled documents, chosen by a hash of doc_id, and never those whose
-crc32(doc_id as text) mod 5 is 0.
+crc32(doc_id as text) mod 5 is 0. It runs in one task on an executor, which that number bounds; the driver gets the model.
 
 Edge cases: null or empty text scores as a text without units; without labels of both kinds every score is 0.0 (no
 toxic label known) or the share of toxic labels; null labels are ignored; a doc_id that is labelled twice counts
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -41,7 +43,8 @@ from .common import map_arrow, ship, table, text_slices
 TRAIN_DOCUMENTS, LANDMARKS, DECAY, LONGEST = 4000, 96, 0.7, 20
 MARKS, FALSE_MARKS = 256, 0.05  # landmarks among the marks (all marks are positive rows); share of marks that are so by chance
 _WORD = re.compile(r"\w(?:[^\x20\x09-\x0D]*\w)?")
-_SPELLED = re.compile(r"\b\w(?:[ .\-_*]{1,3}\w\b){2,}")
+_SPELLED = re.compile(r"\b\w(?:(?:[ \-_*]|\.(?!\s)){1,3}\w\b){2,}")  # as no sentence's end does, it never spans one
+_SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?!\s|$))+")
 GAP, OTHER = 31, 30
 
 
@@ -146,6 +149,11 @@ def units_of(text: str) -> set[str]:
     return out
 
 
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Start and end of each sentence that is not blank. No unit spans two of them."""
+    return [m.span() for m in _SENTENCE.finditer(text) if not m[0].isspace()]
+
+
 class Model:
     """A fitted kernel and the logistic curve (slope, offset) from its score to a probability."""
 
@@ -189,7 +197,7 @@ def _noisy(unit: str, rng: random.Random, letters: str) -> list[str]:
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
-    """Train on (text, toxic) pairs, held on the driver: at most TRAIN_DOCUMENTS."""
+    """Train on (text, toxic) pairs: at most TRAIN_DOCUMENTS."""
     flat = lambda p: Model(Kernel(np.zeros(32768), 0.0), 0.0, float(np.log(p / (1 - p))) if 0 < p < 1 else (-30.0 if p <= 0 else 30.0))
     rows = sorted(rows)
     total = [sum(1 for _, t in rows if t == k) for k in (0, 1)]
@@ -290,11 +298,18 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
-    """Fit on at most ``most`` labelled documents."""
+    """Fit on at most ``most`` labelled documents, in a task of its own."""
     chosen = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "text").limit(most).select("text", "toxic")
-    return fit([(r["text"], int(r["toxic"] > 0)) for r in rows.collect()])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held = [(t, int(k > 0)) for b in batches for t, k in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held))], pa.binary())], ["model"])
+
+    got = map_arrow(rows.coalesce(1), run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -309,6 +324,20 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(slim, run, "doc_id long, score double")
 
 
+def score_sentences(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, start, end, score) of every sentence, in code points; a document's score is its highest."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in text_slices(batches):
+            rows = [(i, x, y, t[x:y]) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for x, y in sentences(t or "")]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(shared.value.scores(list(cols[3])), pa.float64())], ["doc_id", "start", "end", "score"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(slim, run, "doc_id long, start long, end long, score double")
+
+
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
