@@ -160,8 +160,8 @@ def node_of(grams: np.ndarray) -> int:
     return int(_long(_mix(_mix(grams).sum(dtype=_U, keepdims=True) + np.array([grams.size], _U) * _K))[0])
 
 
-def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _slim(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
 
 
 def _texts(batches: Iterable[pa.RecordBatch], gram: int) -> Iterable[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -170,14 +170,15 @@ def _texts(batches: Iterable[pa.RecordBatch], gram: int) -> Iterable[tuple[pa.Re
         yield b, shingle_sets([t or "" for t in b.column("text").to_pylist()], gram)
 
 
-def document_sets(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n, node): size and digest of each document's set."""
+def document_sets(docs: DataFrame, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, n, node): size and digest of each document's set. ``keep``: further columns of longs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b, sets in _texts(batches, gram):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64())], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(b.column, keep), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64())], ["doc_id", *keep, "n", "node"])
 
-    return map_arrow(_slim(docs), run, "doc_id long, n long, node long")
+    kept = "".join(f"{c} long, " for c in keep)
+    return map_arrow(_slim(docs, keep), run, f"doc_id long, {kept}n long, node long")
 
 
 def common_grams(docs: DataFrame, rows: int, gram: int = GRAM) -> np.ndarray:
@@ -405,10 +406,19 @@ def rest_links(rest: DataFrame, met: DataFrame, sketched: DataFrame, fragments:
 
 def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    return labelled_rows(docs, gram, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, n_shingles, component_id, label) of every row.
+
+    ``label`` is one number for each component, also where doc_ids are null or repeated; null for empty sets, whose rows
+    are components of their own. ``keep``: columns of longs to carry.
+    """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(document_sets(docs, gram), "sets")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
+    sets = staged(document_sets(docs, gram, keep), "sets")
     nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "nodes")
     hot = common_grams(docs, sets.count(), gram)
     by_sig = Window.partitionBy("sig").orderBy("node")
@@ -458,12 +468,12 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     # smallest doc_id of each component, then of each row's class
     grouped = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = staged(grouped.join(smallest, "label").select("node", "component_id"), "named")
+    named = staged(grouped.join(smallest, "label").select("node", "label", "component_id"), "named")
     # rows with an empty set share a digest but no class
-    some, none = sets.filter("n > 0").select("doc_id", "n", "node").join(named, "node"), sets.filter("n = 0")
-    rows = some.select("doc_id", "n", "component_id").union(none.select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    some = sets.filter("n > 0").join(named, "node").select("doc_id", *keep, "n", "component_id", "label")
+    none = sets.filter("n = 0").select("doc_id", *keep, "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
     known = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return rows.select(known("doc_id"), F.col("n").alias("n_shingles"), known("component_id"))
+    return some.union(none).select(known("doc_id"), *keep, F.col("n").alias("n_shingles"), known("component_id"), "label")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
