@@ -90,9 +90,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 204
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in text_slices(batches, 12_000_000):
+        for batch in text_slices(batches, 24_000_000):
             cols = [[] for _ in range(7)]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode([t or "" for t in batch.column("text").to_pylist()])):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"))):
                 ids, at = ids + tail, 0
                 for n in cut(len(ids) // 4, limit):
                     for c, v in zip(cols, (task, seen[n], doc, at, n, len(ids) // 4, ids[4 * at : 4 * (at + n)])):

@@ -140,14 +140,16 @@ def _writer(path: str, end_id: int):
             docs.clear(), sizes.clear(), held.clear()
             return out
 
-        for batch in text_slices(batches, 12_000_000):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts)):
+        filled = 0
+        for batch in text_slices(batches, 24_000_000):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"))):
                 docs.append(doc)
-                held.append(ids + tail)
+                held += (ids, tail)
                 sizes.append(len(ids) // 4 + 1)
-                if sum(sizes) >= SEGMENT_IDS or len(sizes) >= 4096:
+                filled += sizes[-1]
+                if filled >= SEGMENT_IDS or len(sizes) >= 4096:
                     yield row()
+                    filled = 0
         if docs:
             yield row()
 

@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Outside: other scripts, combining marks, separators on which the libraries may differ, and dotted capital I.
-PLAIN = "[^\x01-\x1b\x20-įı-ɏ]"
+ODD = r"[^\x01-\x1b\x20-\x{12f}\x{131}-\x{24f}]"
 
 
 #: A space between two white characters: only there can a match of the byte pattern span the start of a space.
-UNSAFE = r"\s \s"
+UNSAFE = r"[\t-\r \x{85}\x{a0}] [\t-\r \x{85}\x{a0}]"
 
 
 class Encoder:
@@ -49,16 +49,16 @@ class Encoder:
         word_kind = kinds == ["Split", "ByteLevel"] and steps == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == WORD_PATTERN
         self.words = word_kind
         self.find = regex.compile(WORD_PATTERN if word_kind else BYTE_PATTERN).findall if byte_kind or word_kind else None
-        self.odd, self.unsafe = regex.compile(PLAIN).search, regex.compile(UNSAFE).search
         vocab = spec["model"]["vocab"]
         self.border = np.zeros(max(vocab.values()) + 1, bool)
         self.border[[i for t, i in vocab.items() if (t.endswith("</w>") if word_kind else t.startswith("\u0120"))]] = True
+        self.line = vocab.get("\u010a")
         self.capacity, self.memo = capacity, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str], size: int = 1000) -> list[bytes]:
+    def _joined(self, words: list[str], size: int = 64) -> list[bytes]:
         """Ids of matches of letters; ``words`` are without their space."""
         out: list[bytes] = []
         for k in range(0, len(words), size):
@@ -73,6 +73,20 @@ class Encoder:
             out += [raw[b:e] for b, e in zip(cuts, cuts[1:])]
         return out
 
+    def _bare(self, words: list[str], size: int = 64) -> list[bytes]:
+        """Ids of matches of letters without a space (byte pattern), joined by line ends, which are matches and ids of their own."""
+        out: list[bytes] = []
+        for k in range(0, len(words), size):
+            part = words[k : k + size]
+            ids = np.asarray(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.line).tolist() if self.line is not None else []
+            if len(at) + 1 != len(part):
+                out += self._library(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * b : 4 * e] for b, e in zip([0, *(i + 1 for i in at)], [*at, len(ids)])]
+        return out
+
     def _resolve(self, new: list[str], lead: str) -> list[bytes]:
         """Ids of chunks; ``lead`` is the space before each, if any."""
         memo = self.memo if lead or self.words else {}
@@ -105,33 +119,39 @@ class Encoder:
                     alone[m] = known
             else:
                 alone[m] = b""
-        rest = [m for m, ids in alone.items() if not ids]
+        rest = [m for m, ids in alone.items() if not ids and (self.words or not m.isalpha())]
         alone.update(zip(rest, self._library(rest)))
+        bare = [m for m, ids in alone.items() if not ids]
+        alone.update(zip(bare, self._bare(bare)))
         for w, ids in zip(words, self._joined(list(words))):
             alone[lead + w] = ids
         for x, found in mixed.items():
             got[x] = b"".join(map(alone.__getitem__, found))
         return [got[x] for x in new]
 
-    def _chunks(self, texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+    def _chunks(self, texts: pa.Array) -> tuple[list[str], pa.Array, np.ndarray]:
         """The text before the first cut of each text, the chunks after it, and where each text's chunks begin."""
         if self.words:
-            lists = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
-            return [""] * len(texts), lists.flatten(), lists.offsets.to_numpy()
-        heads = [t.partition(" ")[0] for t in texts]
-        # the head becomes an empty first chunk that is left out below
-        lists = pc.split_pattern(pa.array([t[len(h) :] for t, h in zip(texts, heads)], pa.large_string()), " ")
-        offsets = lists.offsets.to_numpy()
-        keep = np.ones(offsets[-1] - offsets[0], bool)
+            lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+            return [""] * len(texts), lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        lists = pc.split_pattern(texts, " ")
+        offsets, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+        # what stands before the first space is no chunk
+        keep = np.ones(len(flat), bool)
         keep[offsets[:-1]] = False
-        return heads, lists.flatten().filter(pa.array(keep)), offsets - np.arange(len(offsets))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text."""
-        easy = [i for i, t in enumerate(texts) if self.find is not None and not self.odd(t) and (self.words or not self.unsafe(t))]
+        return flat.take(pa.array(offsets[:-1])).to_pylist(), flat.filter(pa.array(keep)), offsets - np.arange(len(offsets))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each whole text; null counts as empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
+        if self.find is None:
+            easy = np.zeros(len(texts), bool)
+        else:
+            hard = pc.match_substring_regex(texts, ODD)
+            easy = ~(hard if self.words else pc.or_(hard, pc.match_substring_regex(texts, UNSAFE))).to_numpy(zero_copy_only=False)
         out: list[bytes | None] = [None] * len(texts)
-        if easy:
-            heads, flat, offsets = self._chunks([texts[i] for i in easy])
+        if easy.any():
+            heads, flat, offsets = self._chunks(texts if easy.all() else texts.filter(pa.array(easy)))
             coded = flat.dictionary_encode()
             seen = coded.dictionary.to_pylist()
             memo = self.memo
@@ -140,17 +160,17 @@ class Encoder:
                 memo.clear()
                 new = seen
             memo.update(zip(new, self._resolve(new, "" if self.words else " ")))
-            taken = pa.array([memo[x] for x in seen], pa.large_binary()).take(coded.indices)
+            taken = pa.array(list(map(memo.__getitem__, seen)), pa.large_binary()).take(coded.indices)
             _, ends, data = taken.buffers()
             ids = data.to_pybytes() if data is not None else b""
-            cuts = np.frombuffer(ends, np.int64)[offsets].tolist() if len(taken) else [0] * (len(easy) + 1)
+            cuts = np.frombuffer(ends, np.int64)[offsets].tolist() if len(taken) else [0] * (len(heads) + 1)
             first = heads if self.words else self._resolve(heads, "")
-            for i, h, b, e in zip(easy, first, cuts, cuts[1:]):
+            for i, h, b, e in zip(np.flatnonzero(easy).tolist(), first, cuts, cuts[1:]):
                 out[i] = ids[b:e] if self.words else h + ids[b:e]
             if len(memo) > self.capacity:
                 memo.clear()
-        hard = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(hard, self._library([texts[i] for i in hard]) if hard else ()):
+        hard = np.flatnonzero(~easy)
+        for i, ids in zip(hard.tolist(), self._library(texts.take(pa.array(hard)).to_pylist()) if len(hard) else ()):
             out[i] = ids
         return out
 
