@@ -222,6 +222,57 @@ def test_jaccard_dense_group(spark):
     assert [(r["n_shingles"], r["component_id"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == brute_components(texts)
 
 
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components(spark, local):
+    from veilspark.llm.components import components
+
+    rng = random.Random(1)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(4990, 5020)] + [(7, 7)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = components(spark.createDataFrame(edges * 2, "a long, b long"), local=local).collect()
+    assert {r["node"]: r["label"] for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+    assert components(spark.createDataFrame([], "a long, b long"), local=local).count() == 0
+
+
+def test_jaccard_repeated_ids(spark):
+    """Rows that share a doc_id are documents of their own."""
+    text = lambda k: " ".join(f"r{k}w{i}" for i in range(30))
+    rows = [(5, text(1)), (5, text(2)), (None, text(3)), (None, text(4)), (3, text(2) + " x"), (5, text(1)), (9, None), (9, "")]
+    got = jaccard.labelled_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter([(5, 27, 5), (5, 27, 5), (5, 27, 3), (3, 28, 3), (None, 27, None), (None, 27, None), (9, 0, 9), (9, 0, 9)])
+    assert len({r["label"] for r in got if r["n_shingles"]}) == 4 and all(r["label"] is None for r in got if not r["n_shingles"])
+
+
+def test_signatures_meet_with_any_common_grams():
+    """Pairs at the threshold meet whichever n-grams are left out, and parity sketches never exceed the difference."""
+    rng = np.random.default_rng(3)
+    for trial in range(400):
+        n, percent = int(rng.integers(2, 300)), (80, 85)[trial % 2]
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        most = int(len(x) * (100 - percent) / 100)
+        y = np.unique(np.concatenate([x[rng.permutation(len(x))[: len(x) - rng.integers(0, most + 1)]], rng.integers(0, 2**63, rng.integers(0, 3), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        differ = len(x) + len(y) - 2 * both
+        a, b = sorted((jaccard.odd_sketch(x), jaccard.odd_sketch(y)), key=len)
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        assert np.bitwise_count(a ^ b).sum() <= differ
+        if differ and 100 * both >= percent * (len(x) + len(y) - both):
+            for hot in (x[:0], x[::2], x[rng.random(len(x)) < 0.1], x, y):
+                hot = np.sort(hot)
+                assert len(np.intersect1d(jaccard.signatures(x, percent, hot), jaccard.signatures(y, percent, hot)))
+
+
 def test_levels_lose_no_pair():
     """For any two sizes that may link, both sets meet at the larger one's level, whose fragments outnumber the differences."""
     for larger in range(1, 400):
