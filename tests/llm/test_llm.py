@@ -407,18 +407,79 @@ def test_chat(spark):
     assert chat.render(df.limit(0), chat.maximal(df.limit(0))).count() == 0
 
 
+def brute_copies(pictures, asks):
+    """Pairs (query, picture) by all pairs of descriptors, with the votes of the operator."""
+    found = {i: media.describe(media.read_image(raw)) for i, raw in pictures.items()}
+    bits = {i: np.array([np.frombuffer(d[4], np.uint8) for d in ds]).reshape(-1, media.TESTS // 8) for i, ds in found.items()}
+    out, pairs = set(), {}
+    for q in asks:
+        for m in found:
+            if q == m or not len(bits[q]) or not len(bits[m]):
+                continue
+            far = np.bitwise_count(bits[q][:, None] ^ bits[m][None]).sum(axis=2)
+            near = np.argwhere(far <= media.NEAR)
+            pairs[q, m] = near
+            most = Counter()
+            for shift in [(a, g, x, y) for a, g in ((0.0, 0.0), (0.5, 0.5)) for x in (0.0, 0.5) for y in (0.0, 0.5)]:
+                cells = defaultdict(set)
+                for i, j in near:
+                    (qx, qy, qs, qt, _), (mx, my, ms, mt, _) = found[q][i], found[m][j]
+                    turn, grow = (mt - qt) % (2 * np.pi), qs / ms
+                    dx, dy = mx - grow * (np.cos(turn) * qx - np.sin(turn) * qy), my - grow * (np.sin(turn) * qx + np.cos(turn) * qy)
+                    cells[int(np.floor(turn / (np.pi / 8) + shift[0] + 0.5)) % 16, int(np.floor(np.log2(grow) * 2 + shift[1] + 0.5)), int(np.floor(dx / 16 + shift[2])), int(np.floor(dy / 16 + shift[3]))].add((qx, qy))
+                most[q, m] = max([most[q, m], *map(len, cells.values())])
+            if most[q, m] >= media.VOTES:
+                out.add((q, m))
+    return out, pairs, bits
+
+
 def test_media(spark):
     rng = np.random.default_rng(1)
-    vectors = [rng.normal(size=8).tolist() for _ in range(12)]
-    rows = [(100 * k + j, media.draw(v, j % 3)) for k, v in enumerate(vectors) for j in range(3)] + [(100 * k + 7, media.draw(v, 0)) for k, v in enumerate(vectors)]
-    rows += [(5001, None), (5002, b""), (5003, b"P5 broken"), (5004, b"P5 40 40 255 " + bytes(1600))]
-    out = media.find_copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()
+    vectors = [rng.normal(size=8).tolist() for _ in range(30)]
+    pictures = {100 * k + j: media.draw(v, j, 17 * k + j) for k, v in enumerate(vectors) for j in range(5)}
+    asks = [100 * k for k in range(30)]
+    rows = [*pictures.items(), *((100 * k + 7, media.draw(v)) for k, v in enumerate(vectors))]
+    rows += [(5001, None), (5002, b""), (5003, b"P5 broken"), (5004, b"P5 40 40 255 " + bytes(1600)), (None, media.draw([9.0])), (1, pictures[1])]
+    df = spark.createDataFrame([(i, x, "x", 1) for i, x in rows], "image_id long, media binary, words string, q_k int").repartition(4)
+    want, pairs, bits = brute_copies(pictures, asks)
+    planted = {(100 * k, 100 * k + j) for k in range(30) for j in range(1, 5)}
+    for j in range(1, 5):  # by kind: what all pairs of descriptors find, and what words of each length find of them
+        kind = {p for p in planted if p[1] % 100 == j}
+        assert len(want & kind) >= 0.9 * len(kind), media.KINDS[j]
+        n = sum(len(pairs[p]) for p in kind)
+        for w in media.WORDS[:1]:
+            met = sum(int((media.words_of(bits[p[0]], w)[near[:, 0]] == media.words_of(bits[p[1]], w)[near[:, 1]]).any(axis=1).sum()) for p in kind if len(near := pairs[p]))
+            assert met >= 0.9 * n, (media.KINDS[j], w, met / n)
+    assert not want - planted
+    out = media.find_copies(df).collect()
     copies = {(r["a"], r["b"]) for r in out if r["record"] == "copy"}
-    assert copies == {(100 * k, 100 * k + j) for k in range(12) for j in (1, 2)}
-    assert {r["a"]: r["b"] for r in out if r["record"] == "member"}[107] == 100 and sum(r["record"] == "member" for r in out) == len(rows)
+    for j in range(1, 5):
+        kind = {p for p in want if p[1] % 100 == j}
+        assert len(copies & kind) >= 0.9 * len(kind), media.KINDS[j]
+    assert copies <= want
+    members = [(r["a"], r["b"]) for r in out if r["record"] == "member"]
+    assert dict(members)[107] == 100 and len(members) == len(rows) and members.count((1, 1)) == 2
+    longer = {(r["a"], r["b"]) for r in media.find_copies(df, bits=24).collect() if r["record"] == "copy"}
+    assert len(longer) >= 0.9 * len(want) and longer <= want
     assert media.find_copies(spark.createDataFrame([], "image_id long, media binary")).count() == 0
 
 
+def test_media_query_holds_copies(spark, tmp_path):
+    """The query's pictures hold copies of each kind at any number of vectors."""
+    spark.createDataFrame([(i, [float(i), 1.0, -0.5 * i]) for i in range(0, 401)] + [(None, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = media.op7_media(spark, str(tmp_path)).collect()
+    copies = {(r["a"], r["b"]) for r in out if r["record"] == "copy"}
+    planted = {(i, media.COPY_IDS * k + i + k) for i in range(0, 401, 100) for k in range(1, 5)}
+    assert copies <= planted and len(copies) >= 0.9 * len(planted)
+    assert sum(r["record"] == "member" for r in out) == 402 + 21 * 4
+
+
+def test_words_grow_with_the_corners():
+    assert [media.word_bits(n) for n in (0, 1 << 24, (1 << 24) + (1 << 16), 1 << 32, 1 << 50)] == [16, 16, 20, 24, 32]
+    bits = np.random.default_rng(0).integers(0, 256, (5, media.TESTS // 8), dtype=np.uint8)
+    assert (media.words_of(bits, 16) == bits.view("<u2")).all() and media.words_of(bits, 20).shape == (5, 12)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
