@@ -63,14 +63,20 @@ class DeidEngine:
         """
         t = F.col(text)
         df = self.resolve(self.detect(df, text), text)
-        df = pin(df, "entries", F.coalesce(A.number(t, F.col("resolved"), self.numbering == "reverse"), F.array().cast(A.DICT)))
-        out = F.when(F.size("resolved") > 0, A.replace(t, F.col("resolved"), F.col("entries"))).otherwise(t)
-        df = pin(df, "anonymized", out)
+        back = self.numbering == "reverse"
+        df = pin(df, "_valued", A.valued(t, F.col("resolved"), back))
+        df = pin(df, "_every", F.transform("_valued", lambda x: x["value"]))
+        df = pin(df, "entries", F.coalesce(A.number(F.col("_valued"), F.col("_every")), F.array().cast(A.DICT)))
+        df = pin(df, "_known", F.transform("entries", lambda d: d["original"]))
+        in_order = F.reverse("_valued") if back else F.col("_valued")
+        out = F.when(F.size("resolved") > 0, A.replace(t, F.col("resolved"), in_order, F.col("entries"), F.col("_known"))).otherwise(t)
+        df = pin(df, "anonymized", out).drop("_valued", "_every", "_known")
         if self.sweep:
             pairs = F.transform("entries", lambda d: F.struct(d["original"].alias("from"), d["placeholder"].alias("to")))
             df = pin(df, "anonymized", A.replace_values(F.col("anonymized"), pairs))
         df = df.withColumn("entity_count", F.size("entries"))
-        return df.withColumn("roundtrip_ok", A.restore_once(F.col("anonymized"), mapping_of(F.col("entries"))) == t)
+        df = pin(df, "_map", mapping_of(F.col("entries")))  # else a lambda builds it anew for each placeholder
+        return df.withColumn("roundtrip_ok", A.restore_once(F.col("anonymized"), F.col("_map")) == t).drop("_map")
 
 
 def mapping_of(entries: Column) -> Column:

@@ -83,31 +83,36 @@ def value_of(text: Column, s: Column) -> Column:
     return F.substring(text, s["start"] + 1, s["end"] - s["start"])
 
 
-def number(text: Column, spans: Column, reverse: bool = True) -> Column:
-    """The dictionary of a text: each new value gets the next number of the type that meets it first.
+def valued(text: Column, spans: Column, reverse: bool = True) -> Column:
+    """(value, entity_type) of each span, each value cut from the text once.
 
-    ``reverse`` numbers from the end of the text, the order in which replacement by splicing works.
+    ``reverse`` goes from the end of the text, the order in which replacement by splicing works. Callers pin the result.
     """
+    return F.transform(F.reverse(spans) if reverse else spans, lambda s: F.struct(value_of(text, s).alias("value"), s["entity_type"].alias("entity_type")))
 
-    def step(acc: Column, s: Column) -> Column:
-        value = value_of(text, s)
-        n = F.size(F.filter(acc, lambda d: d["entity_type"] == s["entity_type"])) + 1
-        entry = F.struct(value.alias("original"), s["entity_type"].alias("entity_type"), n.alias("ordinal"), F.format_string("<%s_%d>", s["entity_type"], n).alias("placeholder"))
-        return F.when(F.exists(acc, lambda d: d["original"] == value), acc).otherwise(F.concat(acc, F.array(entry)))
 
-    return F.aggregate(F.reverse(spans) if reverse else spans, F.array().cast(DICT), step)
+def number(values: Column, every: Column) -> Column:
+    """The dictionary of a text, from columns of ``valued`` and of its values alone: each new value gets the next number of the type that meets it first."""
 
+    def step(acc: Column, value: Column) -> Column:
+        kind = F.element_at(values, F.array_position(every, value).cast("int"))["entity_type"]
+        n = F.size(F.filter(acc, lambda d: d["entity_type"] == kind)) + 1
+        entry = F.struct(value.alias("original"), kind.alias("entity_type"), n.alias("ordinal"), F.format_string("<%s_%d>", kind, n).alias("placeholder"))
+        return F.concat(acc, F.array(entry))
 
-def replace(text: Column, spans: Column, entries: Column) -> Column:
-    """The text with each span replaced by its value's placeholder; ``spans`` disjoint and in order."""
+    return F.aggregate(F.array_distinct(every), F.array().cast(DICT), step)
 
-    def step(acc: Column, s: Column) -> Column:
-        value = value_of(text, s)
-        mark = F.filter(entries, lambda d: d["original"] == value)[0]["placeholder"]
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark).alias("out"))
+
+def replace(text: Column, spans: Column, values: Column, entries: Column, known: Column) -> Column:
+    """The text with each span replaced by its value's placeholder; ``spans`` disjoint and in order, ``values`` theirs in the same order, ``known`` the originals of ``entries``."""
+
+    def step(acc: Column, x: Column) -> Column:
+        mark = F.element_at(entries, F.array_position(known, x["v"]).cast("int"))["placeholder"]
+        return F.struct(x["s"]["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"]["start"] - acc["at"]), mark).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    pairs = F.zip_with(spans, values, lambda s, v: F.struct(s.alias("s"), v["value"].alias("v")))
+    return F.aggregate(pairs, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
 def restore_once(text: Column, mapping: Column) -> Column:
