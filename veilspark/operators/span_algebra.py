@@ -42,14 +42,24 @@ def drop_persons_in_dates(spans: Column) -> Column:
 
 
 def drop_contained(spans: Column) -> Column:
-    """Leave out spans inside another; of equal places the higher score stays, then the later type."""
+    """Leave out spans inside another; of equal places the higher score stays, then the later type. Result by type and place.
 
-    def beaten(s: Column, o: Column) -> Column:
-        same = (o["start"] == s["start"]) & (o["end"] == s["end"])
-        better = (o["score"] > s["score"]) | ((o["score"] == s["score"]) & (o["entity_type"] > s["entity_type"]))
-        return F.when(same, better).otherwise((o["start"] <= s["start"]) & (s["end"] <= o["end"]))
+    From left to right, wider and better spans first, a span is inside another if an earlier one ends no sooner: one
+    running maximum, no pairs.
+    """
+
+    def before(x: Column, y: Column) -> Column:
+        out = F.lit(0)
+        for name, up in (("entity_type", False), ("score", False), ("end", False), ("start", True)):
+            less, more = (x[name] < y[name], x[name] > y[name]) if up else (x[name] > y[name], x[name] < y[name])
+            out = F.when(less, F.lit(-1)).when(more, F.lit(1)).otherwise(out)
+        return out
+
+    def step(acc: Column, s: Column) -> Column:
+        p = _last(acc)  # of all before, the one that ends last
+        return F.when((F.size(acc) == 0) | (s["end"] > p["end"]) | (s == p), F.concat(acc, F.array(s))).otherwise(acc)
 
-    return F.filter(spans, lambda s: ~F.exists(spans, lambda o: beaten(s, o)))
+    return F.array_sort(F.aggregate(F.array_sort(spans, before), F.array().cast(SPANS), step))
 
 
 def clip_overlaps(spans: Column) -> Column:
@@ -92,15 +102,20 @@ def valued(text: Column, spans: Column, reverse: bool = True) -> Column:
 
 
 def number(values: Column, every: Column) -> Column:
-    """The dictionary of a text, from columns of ``valued`` and of its values alone: each new value gets the next number of the type that meets it first."""
+    """The dictionary of a text, from columns of ``valued`` and of its values alone: each new value gets the next number of the type that meets it first.
+
+    New values are dealt into one list for each of the few types and numbered by their places there, then put back in order.
+    """
+    first = F.transform(F.array_distinct(every), lambda v, i: F.struct(i.alias("i"), F.element_at(values, F.array_position(every, v).cast("int")).alias("x")))
 
-    def step(acc: Column, value: Column) -> Column:
-        kind = F.element_at(values, F.array_position(every, value).cast("int"))["entity_type"]
-        n = F.size(F.filter(acc, lambda d: d["entity_type"] == kind)) + 1
-        entry = F.struct(value.alias("original"), kind.alias("entity_type"), n.alias("ordinal"), F.format_string("<%s_%d>", kind, n).alias("placeholder"))
-        return F.concat(acc, F.array(entry))
+    def of_type(firsts: Column, kind: Column) -> Column:
+        own = F.filter(firsts, lambda f: f["x"]["entity_type"] == kind)
+        return F.transform(own, lambda f, j: F.struct(f["i"].alias("i"), f["x"]["value"].alias("original"), kind.alias("entity_type"), (j + 1).alias("ordinal")))
 
-    return F.aggregate(F.array_distinct(every), F.array().cast(DICT), step)
+    # a fold of one step gives the list a name: lambdas have no other way to hold a result
+    dealt = F.aggregate(F.array(first), F.array().cast("array<struct<i:int,original:string,entity_type:string,ordinal:int>>"), lambda acc, firsts: F.concat(acc, F.flatten(F.transform(F.array_distinct(F.transform(firsts, lambda f: f["x"]["entity_type"])), lambda k: of_type(firsts, k)))))
+    entry = lambda e: F.struct(e["original"].alias("original"), e["entity_type"].alias("entity_type"), e["ordinal"].alias("ordinal"), F.format_string("<%s_%d>", e["entity_type"], e["ordinal"]).alias("placeholder"))
+    return F.transform(F.array_sort(dealt), entry)
 
 
 def replace(text: Column, spans: Column, values: Column, entries: Column, known: Column) -> Column:
