@@ -533,3 +533,11 @@ def test_levels_lose_no_pair_at_80():
             if d and smaller + larger > 2:
                 k = [x for x in own if x[0] == int(np.floor(np.log(larger) / np.log(1.5) + 1e-9))]
                 assert k and k[0] in jaccard.levels(smaller, 80) and k[0][1] - k[0][2] > d
+
+
+def test_quality_stage_measures_each_text_once(spark, docs):
+    """The filter on the verdict stays above the measuring, or each text would be measured anew for each of its words."""
+    import corpus_pipeline
+
+    plan = corpus_pipeline.quality_stage(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and plan.count("split(") == 2
