@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .caps import op13_caps
 from .chat import SQL as _OP9
 from .chat import op9_chat
+from .divergence import SQL as _OP12
+from .divergence import op12_divergence
 from .html import op1_html
 from .jaccard import op10_jaccard
 from .media import op7_media
 from .packing import op4_packing
 from .quality import op8_quality
+from .runs import op11_runs
 from .shards import op6_sharding
 from .token_files import op2_token_file
 from .toxicity import op3_toxicity
@@ -25,6 +29,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_jaccard": op10_jaccard,
+    "op11_runs": op11_runs,
+    "op12_divergence": op12_divergence,
+    "op13_caps": op13_caps,
 }
 
 #: Words, lines and 3-word windows as lists; windows are compared as text, not by hash.
@@ -54,4 +61,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_letters::BIGINT AS n_letters, n_exclaim::BIGINT AS n_exclaim FROM b
 """
 
-ORACLES = {"op8_quality": _OP8, "op9_chat": _OP9}
+ORACLES = {"op8_quality": _OP8, "op9_chat": _OP9, "op12_divergence": _OP12}
