@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.engine import DeidEngine, decision, mapping_of
+from .operators.rules import WS
 from .operators.span_algebra import restore_once
 from .sources import files
 
@@ -83,14 +84,14 @@ def restore(spark: SparkSession, a: argparse.Namespace) -> int:
     else:
         with open(a.input, encoding="utf-8", newline="") as f:
             text = f.read()
-    pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]).cast("map<string,string>") if mapping else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    _out(spark.createDataFrame([(text,)], "text string").select(restore_once(F.col("text"), pairs).alias("t")).first()["t"], a.output)
+    row = spark.createDataFrame([(text, list(mapping.items()))], "text string, pairs array<struct<key:string,value:string>>")
+    _out(row.select(F.expr(restore_once("text", "pairs")).alias("t")).first()["t"], a.output)
     return 0
 
 
 def scan(spark: SparkSession, a: argparse.Namespace) -> int:
     """One JSON line for each file with personal data; nothing for clean ones. Files are not changed."""
-    df = decision(DeidEngine().detect(files.read_files(spark, a.inputs)).filter(F.trim("text") != ""), "source_path")
+    df = decision(DeidEngine().detect(files.read_files(spark, a.inputs)).filter(~F.col("text").rlike(f"^{WS}*$")), "source_path")
     for r in df.filter("response is not null").select("response").toLocalIterator():
         print(r["response"])
     return 0

@@ -1,69 +1,172 @@
-"""Spans as arrays of (entity_type, start, end, score): code points, half open."""
+"""Spans as arrays of (entity_type, start, end, score): code points, half open.
+
+Expressions of this library are built as SQL text and parsed once (``F.expr``): a rule is a few thousand nodes, and
+making each of them from Python costs a call to the JVM. So functions here take and give SQL text. ``let`` names a value
+within an expression; ``pin`` makes a column of it.
+"""
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double>"
 SPANS = f"array<{SPAN}>"
-HIT = "struct<start:int,end:int,value:string>"
+HIT = "struct<r:int,start:int,end:int,value:string>"
+_MATCH = "struct<r:int,g:string,m:string,v:string>"
+CHUNK = 64  # elements that a scan gathers before it adds them to its result
+PIECE = 256  # code points
+_numbers = itertools.count()
+
+
+def lit(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def var() -> str:
+    """A new name for a lambda variable."""
+    return f"v{next(_numbers)}"
+
+
+def let(value: str, body: Callable[[str], str]) -> str:
+    """``body`` with a name for ``value``, which is computed once."""
+    v = var()
+    return f"transform(array({value}), {v} -> {body(v)})[0]"
+
 
+def each(rows: str, body: Callable[[str], str]) -> str:
+    """All elements through ``body``."""
+    v = var()
+    return f"transform({rows}, {v} -> {body(v)})"
 
-def pin(df: DataFrame, name: str, expr: Column) -> DataFrame:
-    """Add a column that the optimizer computes once.
 
-    A filter above, or a lambda that uses the column, would otherwise get the whole expression copied into it. The
-    condition always holds, but is not deterministic to Catalyst, which keeps the projection apart. It is a sum, as
-    Catalyst replaces a bare ``rand() >= 0`` by true, which undoes the pin.
+def keep(rows: str, condition: Callable[[str], str]) -> str:
+    """The elements for which a condition holds."""
+    v = var()
+    return f"filter({rows}, {v} -> {condition(v)})"
+
+
+def none(kind: str) -> str:
+    """An empty array of a type of elements."""
+    return f"cast(array() as array<{kind}>)"
+
+
+def scan(rows: str, first: str, kind: str, step: Callable[[str, str], tuple[str, str]]) -> str:
+    """Go through ``rows`` with a carried value: ``step`` of it and a row gives the next and an array of results.
+
+    Gives (c, o): the last carried value and all results. Adding to an array copies it, so results are gathered CHUNK rows
+    at a time, and the chunks as an array of arrays; rows are taken by place, as ``slice`` copies, too. So a row costs the
+    same however many there are.
     """
-    return df.withColumn(name, F.when(F.rand(0) + 1 > 0, expr))
 
+    def run(all_rows: str) -> str:
+        done, k, acc, i = var(), var(), var(), var()
+        carry, out = step(f"{acc}.c", f"{all_rows}[{i}]")
+        places = f"sequence({k} * {CHUNK}, least({k} * {CHUNK} + {CHUNK - 1}, size({all_rows}) - 1))"
+        part = f"aggregate({places}, named_struct('c', {done}.c, 'o', {none(kind)}), ({acc}, {i}) -> named_struct('c', {carry}, 'o', concat({acc}.o, {out})))"
+        both = let(part, lambda p: f"named_struct('c', {p}.c, 'o', concat({done}.o, array({p}.o)))")
+        end = f"{done} -> named_struct('c', {done}.c, 'o', flatten({done}.o))"
+        chunks = f"sequence(0, cast((size({all_rows}) - 1) div {CHUNK} as int))"
+        whole = f"aggregate({chunks}, named_struct('c', {first}, 'o', {none(f'array<{kind}>')}), ({done}, {k}) -> {both}, {end})"
+        return f"CASE WHEN size({all_rows}) > 0 THEN {whole} ELSE named_struct('c', {first}, 'o', {none(kind)}) END"
+
+    return let(rows, run)
+
+
+def joined(rows: str, kind: str, step: Callable[[str, str], tuple[str, str]]) -> str:
+    """Scan with the last element open: ``step`` of it and the next gives a new open one and an array of closed ones."""
 
-def span(entity: str, start: Column, end: Column, score: float) -> Column:
-    """One span."""
-    return F.struct(F.lit(entity).alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(float(score)).alias("score"))
+    def start(open_: str, x: str) -> tuple[str, str]:
+        carry, closed = step(open_, x)
+        return f"CASE WHEN {open_} IS NULL THEN {x} ELSE {carry} END", f"CASE WHEN {open_} IS NULL THEN {none(kind)} ELSE {closed} END"
 
+    return let(scan(rows, f"cast(null as {kind})", kind, start), lambda r: f"CASE WHEN {r}.c IS NULL THEN {r}.o ELSE concat({r}.o, array({r}.c)) END")
 
-def hits(text: Column, pattern: str, group: int = 0, when: Column | None = None) -> Column:
-    """All matches of a Java pattern with their places; with a group, that group, which must end the match.
 
-    Gaps (``split``) and matches alternate, so their lengths give exact code-point offsets.
+def pin(df: DataFrame, name: str, value: str | Column) -> DataFrame:
+    """Add a column that is computed once, whatever later steps do with it.
+
+    A plain column's expression would be copied into filters above it and into lambdas. A generator of one row keeps it
+    in one place, and filters on other columns still pass below it, down to the scan.
+    """
+    rest = [c for c in df.columns if c.lower() != name.lower()]
+    value = F.expr(value) if isinstance(value, str) else value
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.explode_outer(F.array(value)).alias(name))
+
+
+def span(entity: str, start: str, end: str, score: str) -> str:
+    """One span; ``entity`` is SQL text, too."""
+    return f"named_struct('entity_type', {entity}, 'start', cast({start} as int), 'end', cast({end} as int), 'score', cast({score} as double))"
+
+
+def pieces(text: str) -> str:
+    """A text in pieces of PIECE code points: places in it are found without counting from its begin."""
+    return f"regexp_extract_all({text}, {lit(f'(?s).{{1,{PIECE}}}')}, 0)"
+
+
+def cut(parts: str, start: str, size: str) -> str:
+    """``size`` code points from ``start`` of a text in ``pieces``."""
+    first, last = f"cast(({start}) div {PIECE} as int)", f"cast(({start} + greatest({size}, 0)) div {PIECE} as int)"
+    return f"substring(array_join(transform(sequence({first}, {last}), k -> get({parts}, k)), ''), ({start}) % {PIECE} + 1, greatest({size}, 0))"
+
+
+def hits(text: str, patterns: list[tuple[str, int, str | None]]) -> str:
+    """All matches of Java patterns (pattern, group, condition), as (r, start, end, value): r is the pattern's place in the list.
+
+    With a group, that group is the hit; it must end the match. A pattern is only tried where its condition holds. Gaps
+    (``split``) and matches alternate, so their lengths give exact code-point offsets; one scan does it for all patterns.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.zip_with(F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), inner, lambda a, v: F.struct(a["g"].alias("g"), a["m"].alias("m"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("out"))
+    parts = []
+    for r, (pattern, group, when) in enumerate(patterns):
+        p = lit(pattern)
+        found = f"regexp_extract_all({text}, {p}, 0)"
+        rows = f"zip_with(split({text}, {p}, -1), {found}, (g, m) -> named_struct('r', {r}, 'g', g, 'm', m, 'v', m))"
+        if group:
+            rows = f"zip_with({rows}, regexp_extract_all({text}, {p}, {group}), (x, v) -> named_struct('r', {r}, 'g', x.g, 'm', x.m, 'v', v))"
+        parts.append(f"CASE WHEN {f'{when} AND ' if when else ''}{text} rlike {p} THEN {rows} ELSE {none(_MATCH)} END")
+
+    def step(c: str, x: str) -> tuple[str, str]:
+        end = f"CASE WHEN {c}.r = {x}.r THEN {c}.at ELSE 0 END + length({x}.g) + length({x}.m)"
+        return f"named_struct('r', {x}.r, 'at', {end})", let(end, lambda e: f"array(named_struct('r', {x}.r, 'start', {e} - length({x}.v), 'end', {e}, 'value', {x}.v))")
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["g"]) + F.length(x["m"])
-        hit = F.struct((end - F.length(x["v"])).alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    def some(rows: str) -> str:
+        return f"CASE WHEN size({rows}) > 0 THEN {scan(rows, "named_struct('r', -1, 'at', 0)", HIT, step)}.o ELSE {none(HIT)} END"
 
-    every = F.aggregate(F.filter(rows, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
-    needed = text.rlike(pattern) if when is None else when & text.rlike(pattern)
-    return F.when(needed, every).otherwise(F.array().cast(f"array<{HIT}>"))
+    return let(keep(f"concat({', '.join(parts)})", lambda x: f"{x}.m IS NOT NULL"), some) if parts else none(HIT)
 
 
-def around(text: Column, hit: Column, reach: int = 50) -> Column:
+def around(parts: str, hit: str, reach: int = 50) -> str:
     """The text from ``reach`` before a hit to ``reach`` after it."""
-    low = F.greatest(hit["start"] - reach, F.lit(0))
-    return F.substring(text, low + 1, hit["end"] + reach - low)
+    low = f"greatest({hit}.start - {reach}, 0)"
+    return cut(parts, low, f"{hit}.end + {reach} - {low}")
+
+
+#: A word, where no dictionary cuts Chinese text: a run of other letters and digits, or two Han characters.
+_WORD, _BETWEEN = r"(?:[\p{L}\p{Nd}&&[^\p{IsHan}]]++|\p{IsHan}{1,2}+)", r"[^\p{L}\p{Nd}]*+"
+
+
+def words_near(parts: str, hit: str, before: int, after: int, reach: int = 60) -> str:
+    """The last ``before`` words ahead of a hit and the first ``after`` behind it, within ``reach`` characters, lower-cased."""
+    low = f"greatest({hit}.start - {reach}, 0)"
+    left = f"regexp_extract({cut(parts, low, f'{hit}.start - {low}')}, {lit(f'(?:{_WORD}{_BETWEEN}){{0,{before}}}\\z')}, 0)"
+    right = f"regexp_extract({cut(parts, f'{hit}.end', str(reach))}, {lit(f'^(?:{_BETWEEN}{_WORD}){{0,{after}}}')}, 0)"
+    return f"lower(concat({left if before else lit('')}, '\\n', {right if after else lit('')}))"
 
 
-def has_any(text: Column, words: tuple[str, ...]) -> Column:
+def has_any(text: str, words: tuple[str, ...]) -> str:
     """Whether any of the words is a substring."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    return "(" + " OR ".join(f"contains({text}, {lit(w)})" for w in words) + ")" if words else "false"
 
 
-def mof_valid(digits: Column) -> Column:
+def mof_valid(digits: str) -> str:
     """Checksum of a business number: digit sums of weighted digits; 7 in the seventh place has two readings."""
     weights = (1, 2, 1, 2, 1, 2, 4, 1)  # fixed values
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        x = F.substring(digits, i + 1, 1).cast("int") * w
-        total = total + F.floor(x / 10).cast("int") + x % 10
-    return (total % 10 == 0) | ((F.substring(digits, 7, 1) == "7") & ((total - 1) % 10 == 0))
+    parts = []
+    for i, w in enumerate(weights, 1):
+        x = f"(cast(substring({digits}, {i}, 1) as int) * {w})"
+        parts.append(f"cast({x} div 10 as int) + {x} % 10")
+    return let(" + ".join(parts), lambda t: f"({t} % 10 = 0 OR (substring({digits}, 7, 1) = '7' AND ({t} - 1) % 10 = 0))")

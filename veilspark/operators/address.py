@@ -1,38 +1,34 @@
-"""Addresses: tokens of nine tiers, folded into runs that go from large to small places."""
+"""Addresses: tokens of nine tiers, joined into runs that go from large to small places."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions.spans import hits, span
+from ..functions.spans import SPAN, cut, each, hits, joined, keep, let, lit, none, pieces, span
 from .rules import ADDRESS_GAP, ADDRESS_JOINTS, ADDRESS_SCORE, TIERS
 
 _RUN = "struct<start:int,end:int,tier:int,many:boolean>"
 
 
-def address_tokens(text: Column) -> Column:
-    """(start, -end, tier) of all tokens, in order. Only texts with Han characters are searched (column _han, from the engine)."""
-    marked = F.col("_han")
-    token = lambda tier: lambda h: F.struct(h["start"].alias("start"), (-h["end"]).alias("back"), F.lit(tier).alias("tier"))
-    return F.array_sort(F.concat(*[F.transform(hits(text, p, when=marked), token(tier)) for tier, p in TIERS]))
+def address_tokens(text: str, han: str) -> str:
+    """(start, -end, tier) of all tokens, in order. ``han``: whether the text has Han characters; others are not searched."""
+    tiers = f"array({', '.join(str(tier) for tier, _ in TIERS)})"
+    rows = hits(text, [(p, 0, han) for _, p in TIERS])
+    return f"array_sort({each(rows, lambda h: f"named_struct('start', {h}.start, 'back', -{h}.end, 'tier', {tiers}[{h}.r])")})"
 
 
-def address_spans(text: Column, tokens: Column) -> Column:
+def address_spans(text: str, han: str) -> str:
     """Runs of strictly falling tiers with only separators between, if they have two tiers or more."""
-    none = F.array().cast(f"array<{_RUN}>")
-
-    def step(runs: Column, t: Column) -> Column:
-        start, end, last = t["start"], -t["back"], F.try_element_at(runs, F.lit(-1))
-        gap = start - last["end"]
-        joins = (t["tier"] < last["tier"]) & (gap <= ADDRESS_GAP) & F.substring(text, last["end"] + 1, gap).rlike(ADDRESS_JOINTS)
-        run = lambda s, many: F.array(F.struct(s.alias("start"), end.alias("end"), t["tier"].cast("int").alias("tier"), many.alias("many")))
-        return (
-            F.when(F.size(runs) == 0, run(start, F.lit(False)))
-            .when(start < last["end"], runs)
-            .when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), run(last["start"], F.lit(True))))
-            .otherwise(F.concat(runs, run(start, F.lit(False))))
-        )
-
-    runs = F.aggregate(tokens, none, step)
-    return F.transform(F.filter(runs, lambda r: r["many"]), lambda r: span("TW_ADDRESS", r["start"], r["end"], ADDRESS_SCORE))
+
+    def runs(tokens: str, parts: str) -> str:
+        run = lambda start, end, tier, many: f"named_struct('start', {start}, 'end', {end}, 'tier', {tier}, 'many', {many})"
+        every = each(tokens, lambda t: run(f"{t}.start", f"-{t}.back", f"{t}.tier", "false"))
+
+        def step(last: str, t: str) -> tuple[str, str]:
+            gap = f"{t}.start - {last}.end"
+            falls = f"{t}.tier < {last}.tier AND {gap} <= {ADDRESS_GAP} AND {cut(parts, f'{last}.end', gap)} rlike {lit(ADDRESS_JOINTS)}"
+            longer = run(f"{last}.start", f"{t}.end", f"{t}.tier", "true")
+            carry = f"CASE WHEN {t}.start < {last}.end THEN {last} WHEN {falls} THEN {longer} ELSE {t} END"
+            return carry, f"CASE WHEN {t}.start < {last}.end OR {falls} THEN {none(_RUN)} ELSE array({last}) END"
+
+        return each(keep(joined(every, _RUN, step), lambda r: f"{r}.many"), lambda r: span(lit("TW_ADDRESS"), f"{r}.start", f"{r}.end", str(ADDRESS_SCORE)))
+
+    return let(address_tokens(text, han), lambda tokens: f"CASE WHEN size({tokens}) < 2 THEN {none(SPAN)} ELSE {let(pieces(text), lambda parts: runs(tokens, parts))} END")

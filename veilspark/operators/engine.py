@@ -3,80 +3,81 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPANS, pin
+from ..functions.spans import SPAN, each, hits, keep, let, lit, none, pin, span
 from . import span_algebra as A
-from .address import address_spans, address_tokens
-from .rules import DISPLAY_NAMES, ENTITIES, RULES, Rule
+from .address import address_spans
+from .rules import ADDRESS_SCORE, DISPLAY_NAMES, ENTITIES, RULES, Facts, Rule, Soft, rule_spans
 
-#: A recognizer of names: a column of texts to a column of spans (``SPANS``). Models are not part of the library.
+#: A recognizer of names: a column of texts to a column of spans (``SPANS``), or an object whose ``add(df, text, name)``
+#: adds such a column (``names.ModelNames``). Models are not part of the library.
 Ner = Callable[[Column], Column]
 
 
+@lru_cache(maxsize=64)
+def _rule_spans(rules: tuple[Rule, ...], addresses: bool, text: str, soft: Soft | None, threshold: float) -> str:
+    """SQL text of all spans of the rules: built once for equal engines."""
+
+    def found(facts: Facts, han: str) -> str:
+        own = rule_spans(rules, text, facts, soft, threshold)
+        return f"concat({own}, {address_spans(text, han)})" if addresses else own
+
+    # facts that several rules ask for, each found once
+    eight, four, low, han = f"{text} rlike {lit(chr(92) + 'p{Nd}{7}')}", f"{text} rlike {lit(chr(92) + 'p{Nd}{3}')}", f"lower({text})", f"{text} rlike '[\u4e00-\u9fff]'"
+    return let(eight, lambda e: let(four, lambda f: let(low, lambda w: let(han, lambda h: found(Facts(e, f, w), h)))))
+
+
 class DeidEngine:
     """Finds, replaces and restores personal data.
 
     entities: the types to look for; others cost nothing, as their expressions are never built. threshold: the least
     score. ner: optional recognizer of PERSON, ORG and LOCATION. numbering: ``reverse`` (from the text's end) or
-    ``forward``. sweep: also replace undetected further occurrences of found values.
+    ``forward``. sweep: also replace undetected further occurrences of found values. soft: how words near a match raise
+    its score, before the threshold is applied and overlaps are cut; None for scores of patterns alone.
 
-    A null text gives null results and an empty dictionary.
+    A null text gives null results and an empty dictionary. Filters on the input's columns pass below all that is added
+    here, down to the scan; filters on added columns never compute these twice.
     """
 
-    def __init__(self, entities: Iterable[str] = ENTITIES, threshold: float = 0.5, rules: Iterable[Rule] = RULES, ner: Ner | None = None, numbering: str = "reverse", sweep: bool = False):
+    def __init__(self, entities: Iterable[str] = ENTITIES, threshold: float = 0.5, rules: Iterable[Rule] = RULES, ner: Ner | None = None, numbering: str = "reverse", sweep: bool = False, soft: Soft | None = Soft()):
         if numbering not in ("reverse", "forward"):
             raise ValueError(f"unknown numbering {numbering}")
-        self.entities, self.threshold, self.ner, self.numbering, self.sweep = tuple(entities), threshold, ner, numbering, sweep
-        self.rules = [r for r in rules if r.entity in self.entities and r.score >= threshold]
+        self.entities, self.threshold, self.ner, self.numbering, self.sweep, self.soft = tuple(entities), threshold, ner, numbering, sweep, soft
+        self.rules = tuple(r for r in rules if r.entity in self.entities and r.best(soft) >= threshold)
 
     def detect(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add ``spans``: sorted by type and start, merged per type; different types may overlap."""
-        t = F.col(text)
-        # facts that several rules ask for, each found once
-        df = pin(df, "_eight", t.rlike(r"\p{Nd}{7}"))
-        df = pin(df, "_four", t.rlike(r"\p{Nd}{3}"))
-        df = pin(df, "_low", F.lower(t))
-        df = pin(df, "_han", t.rlike("[\u4e00-\u9fff]"))
-        parts = [r.spans(t) for r in self.rules]
-        if "TW_ADDRESS" in self.entities and self.threshold <= 0.85:
-            df = pin(df, "_tokens", address_tokens(t))
-            parts.append(address_spans(t, F.col("_tokens")))
+        found = _rule_spans(self.rules, "TW_ADDRESS" in self.entities and self.threshold <= ADDRESS_SCORE, f"`{text}`", self.soft, self.threshold)
         if self.ner is not None:
-            parts.append(F.filter(F.coalesce(self.ner(t), F.array().cast(SPANS)), lambda s: s["entity_type"].isin(*self.entities) & (s["score"] >= self.threshold)))
-        df = pin(df, "_raw", F.when(t.isNotNull(), F.concat(*parts) if parts else F.array().cast(SPANS)))
-        df = pin(df, "_merged", A.merge_touching(F.col("_raw")))
-        return pin(df, "spans", A.drop_persons_in_dates(F.col("_merged"))).drop("_tokens", "_raw", "_merged", "_eight", "_four", "_low", "_han")
+            df = self.ner.add(df, text, "_names") if hasattr(self.ner, "add") else pin(df, "_names", self.ner(F.col(text)))
+            asked = ", ".join(lit(e) for e in self.entities) or "''"
+            names = keep(f"coalesce(_names, {none(SPAN)})", lambda s: f"{s}.entity_type IN ({asked}) AND {s}.score >= {self.threshold}D")
+            found = f"concat({found}, {names})"
+        merged = let(found, lambda raw: f"CASE WHEN size({raw}) > 0 THEN {A.drop_persons_in_dates(A.merge_touching(raw))} ELSE {raw} END")
+        return pin(df, "spans", f"CASE WHEN `{text}` IS NOT NULL THEN {merged} END").drop("_names")
 
     def resolve(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add ``resolved``: the disjoint spans, in order, that replacement uses."""
-        df = pin(df, "_kept", A.drop_contained(F.col("spans")))
-        df = pin(df, "_clipped", A.clip_overlaps(F.col("_kept")))
-        return pin(df, "resolved", A.merge_over_spaces(F.col(text), F.col("_clipped"))).drop("_kept", "_clipped")
+        return pin(df, "resolved", A.resolve(f"`{text}`", "spans"))
 
     def anonymize(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add ``spans``, ``resolved``, ``entries``, ``anonymized``, ``entity_count`` and ``roundtrip_ok``.
 
         ``roundtrip_ok`` is false if restoring does not give the text back, e.g. if it held a placeholder before.
         """
-        t = F.col(text)
         df = self.resolve(self.detect(df, text), text)
-        back = self.numbering == "reverse"
-        df = pin(df, "_valued", A.valued(t, F.col("resolved"), back))
-        df = pin(df, "_every", F.transform("_valued", lambda x: x["value"]))
-        df = pin(df, "entries", F.coalesce(A.number(F.col("_valued"), F.col("_every")), F.array().cast(A.DICT)))
-        df = pin(df, "_known", F.transform("entries", lambda d: d["original"]))
-        in_order = F.reverse("_valued") if back else F.col("_valued")
-        out = F.when(F.size("resolved") > 0, A.replace(t, F.col("resolved"), in_order, F.col("entries"), F.col("_known"))).otherwise(t)
-        df = pin(df, "anonymized", out).drop("_valued", "_every", "_known")
+        df = pin(df, "_done", A.replaced(f"`{text}`", "resolved", self.numbering == "reverse"))
+        out = "_done.anonymized"
         if self.sweep:
-            pairs = F.transform("entries", lambda d: F.struct(d["original"].alias("from"), d["placeholder"].alias("to")))
-            df = pin(df, "anonymized", A.replace_values(F.col("anonymized"), pairs))
-        df = df.withColumn("entity_count", F.size("entries"))
-        df = pin(df, "_map", mapping_of(F.col("entries")))  # else a lambda builds it anew for each placeholder
-        return df.withColumn("roundtrip_ok", A.restore_once(F.col("anonymized"), F.col("_map")) == t).drop("_map")
+            out = A.replace_values(out, each("_done.entries", lambda e: f"named_struct('from', {e}.original, 'to', {e}.placeholder)"))
+        checked = lambda x: f"named_struct('anonymized', {x}, 'roundtrip_ok', {A.restore_once(x, A.as_entries('_done.entries'))} = `{text}`)"
+        df = pin(df, "_checked", let(out, checked))
+        every = [c for c in df.columns if c not in ("_done", "_checked", "entries", "anonymized", "entity_count", "roundtrip_ok")]
+        return df.select(*[F.col(f"`{c}`") for c in every], F.col("_done.entries").alias("entries"), F.col("_checked.anonymized").alias("anonymized"), F.size("_done.entries").alias("entity_count"), F.col("_checked.roundtrip_ok").alias("roundtrip_ok"))
 
 
 def mapping_of(entries: Column) -> Column:
@@ -91,7 +92,7 @@ def mapping_rows(df: DataFrame, *keys: str) -> DataFrame:
 
 def span_rows(df: DataFrame, *keys: str, column: str = "spans", text: str = "text") -> DataFrame:
     """Spans as rows with their values."""
-    return df.select(*keys, F.col(text).alias("_t"), F.explode(column).alias("s")).select(*keys, "s.entity_type", "s.start", "s.end", "s.score", A.value_of(F.col("_t"), F.col("s")).alias("value"))
+    return df.select(*keys, F.col(text).alias("_t"), F.explode(column).alias("s")).select(*keys, "s.entity_type", "s.start", "s.end", "s.score", F.expr(A.value_of("_t", "s")).alias("value"))
 
 
 def with_session(df: DataFrame) -> DataFrame:
@@ -104,9 +105,9 @@ def restore(df: DataFrame, mapping: DataFrame, key: str, text: str = "anonymized
 
     Rows without any mapping keep their text and have ``known`` false.
     """
-    maps = mapping.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "original"))).alias("_map"))
+    maps = mapping.groupBy(key).agg(F.collect_set(F.struct(F.col("placeholder").alias("key"), F.col("original").alias("value"))).alias("_map"))
     joined = df.join(maps, key, "left").withColumn("known", F.col("_map").isNotNull())
-    return joined.withColumn("restored", F.when(F.col("known"), A.restore_once(F.col(text), F.col("_map"))).otherwise(F.col(text))).drop("_map")
+    return joined.withColumn("restored", F.expr(f"CASE WHEN known THEN {A.restore_once(f'`{text}`', '_map')} ELSE `{text}` END")).drop("_map")
 
 
 def unknown_sessions(df: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -116,8 +117,8 @@ def unknown_sessions(df: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def mask_terms(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """Add ``masked``: each term replaced everywhere by <MANUAL_n>, longest first. Terms come from a person, so they are few."""
-    pairs = F.array(*[F.struct(F.lit(t).alias("from"), F.lit(f"<MANUAL_{i}>").alias("to")) for i, t in enumerate(dict.fromkeys(t for t in terms if t), 1)])
-    return df.withColumn("masked", A.replace_values(F.col(text), pairs) if terms else F.col(text))
+    pairs = ", ".join(f"named_struct('from', {lit(t)}, 'to', '<MANUAL_{i}>')" for i, t in enumerate(dict.fromkeys(t for t in terms if t), 1))
+    return df.withColumn("masked", F.expr(A.replace_values(f"`{text}`", f"array({pairs})")) if pairs else F.col(text))
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -139,18 +140,25 @@ def decision(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("response", F.when(F.size("spans") > 0, F.to_json(body)))
 
 
-def gazetteer(names: dict[str, str], score: float = 0.85) -> Ner:
+class Gazetteer:
     """A recognizer for a fixed list of names: a stand-in where no model is at hand."""
 
-    def spans(text: Column) -> Column:
-        from ..functions.spans import hits, span
+    def __init__(self, names: dict[str, str], score: float = 0.85):
+        self.names, self.score = names, score
+
+    def sql(self, text: str) -> str:
+        """Its spans in a text."""
+        kinds = list(dict.fromkeys(self.names.values()))
+        own = [sorted((n for n, k in self.names.items() if k == kind), key=lambda n: (-len(n), n)) for kind in kinds]
+        rows = hits(text, [("|".join("\\Q" + n + "\\E" for n in names), 0, None) for names in own])
+        listed = f"array({', '.join(map(lit, kinds))})" if kinds else none("string")
+        return each(rows, lambda h: span(f"{listed}[{h}.r]", f"{h}.start", f"{h}.end", str(self.score)))
+
+    def add(self, df: DataFrame, text: str, name: str) -> DataFrame:
+        """Add the spans as a column."""
+        return pin(df, name, self.sql(f"`{text}`"))
 
-        parts = []
-        for kind in dict.fromkeys(names.values()):
-            own = sorted((n for n, k in names.items() if k == kind), key=lambda n: (-len(n), n))
-            pattern = "|".join("\\Q" + n + "\\E" for n in own)
-            one = lambda k: lambda h: span(k, h["start"], h["end"], score)
-            parts.append(F.transform(hits(text, pattern), one(kind)))
-        return F.concat(*parts)
 
-    return spans
+def gazetteer(names: dict[str, str], score: float = 0.85) -> Gazetteer:
+    """A recognizer of these names (name: type)."""
+    return Gazetteer(names, score)

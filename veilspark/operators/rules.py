@@ -8,23 +8,43 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions.spans import around, has_any, hits, mof_valid, span
+from ..functions.spans import SPAN, around, each, has_any, hits, keep, let, lit, mof_valid, none, pieces, span, words_near
 
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"
 N = r"\p{Nd}"
 
 
+@dataclass(frozen=True)
+class Soft:
+    """How words around a match raise its score: one of a rule's soft words among the ``before`` words ahead of it or the
+    ``after`` words behind it adds ``boost``, to ``floor`` at least and 1 at most."""
+
+    before: int = 5
+    after: int = 0
+    boost: float = 0.35
+    floor: float = 0.4
+
+    def best(self, score: float) -> float:
+        """The score with a soft word."""
+        return min(1.0, max(self.floor, round(score + self.boost, 6)))
+
+
+@dataclass(frozen=True)
+class Facts:
+    """Names of what several rules ask of a text, each found once: seven digits in a row, three of them, the text in lower case."""
+
+    eight: str
+    four: str
+    low: str
+
+
 @dataclass(frozen=True)
 class Rule:
     """One pattern of an entity type.
 
     keywords: one of them must stand within 50 characters of the match. check: a condition on the matched value.
-    hint: a cheap condition on the whole text without which the pattern cannot match; the engine adds the columns _eight,
-    _four and _low for it. soft: words that raise confidence
-    in other engines; kept as data for reports.
+    hint: a cheap condition on the whole text without which the pattern cannot match. soft: words that raise the score
+    if they stand near (``Soft``). Conditions are SQL text.
     """
 
     entity: str
@@ -33,53 +53,86 @@ class Rule:
     score: float
     group: int = 0
     keywords: tuple[str, ...] = ()
-    check: Callable[[Column], Column] | None = None
-    hint: Callable[[Column], Column] | None = None
+    check: Callable[[str], str] | None = None
+    hint: Callable[[str, Facts], str] | None = None
     soft: tuple[str, ...] = field(default=())
 
-    def spans(self, text: Column) -> Column:
-        """The rule's spans in a text."""
-        when = self.hint(text) if self.hint else None
-        if self.keywords:
-            needs = has_any(text, self.keywords)
-            when = needs if when is None else when & needs
-        found = hits(text, self.pattern, self.group, when)
-        if self.check is not None:
-            found = F.filter(found, lambda h: self.check(h["value"]))
-        if self.keywords:
-            found = F.filter(found, lambda h: has_any(around(text, h), self.keywords))
-        return F.transform(found, lambda h: span(self.entity, h["start"], h["end"], self.score))
+    def best(self, soft: Soft | None) -> float:
+        """The highest score that a match can have."""
+        return soft.best(self.score) if soft and self.soft else self.score
+
+    def when(self, text: str, facts: Facts) -> str | None:
+        """What must hold for the whole text."""
+        parts = [self.hint(text, facts)] if self.hint else []
+        return " AND ".join([*parts, *([has_any(text, self.keywords)] if self.keywords else [])]) or None
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return f"array({', '.join(map(lit, words))})" if words else none("string")
+
+
+def rule_spans(rules: tuple[Rule, ...], text: str, facts: Facts, soft: Soft | None = None, threshold: float = 0.0) -> str:
+    """Spans of all rules in a text, of at least ``threshold``: patterns give hits, which then meet a table of the rules by number."""
+    if not rules:
+        return none(SPAN)
+    found = hits(text, [(r.pattern, r.group, r.when(text, facts)) for r in rules])
+    checks = " ".join(f"WHEN {i} THEN {r.check('h.value')}" for i, r in enumerate(rules) if r.check)
+    if checks:
+        found = f"filter({found}, h -> CASE h.r {checks} ELSE true END)"
+    softs = [r.soft if soft else () for r in rules]
+    rows = [f"named_struct('entity', {lit(r.entity)}, 'score', {r.score}D, 'best', {r.best(soft)}D, 'keywords', {_words(r.keywords)}, 'soft', {_words(tuple(w.lower() for w in s))})" for r, s in zip(rules, softs)]
+
+    def near(window: str, words: str) -> str:
+        return let(window, lambda w: f"exists({words}, k -> contains({w}, k))")
+
+    def scored(rules_: str, hits_: str, parts: str) -> str:
+        out = hits_
+        if any(r.keywords for r in rules):
+            out = keep(out, lambda h: f"size({rules_}[{h}.r].keywords) = 0 OR {near(around(parts, h), f'{rules_}[{h}.r].keywords')}")
+        score = lambda h: f"{rules_}[{h}.r].score"
+        if any(softs):
+            score = lambda h: f"CASE WHEN size({rules_}[{h}.r].soft) > 0 AND {near(words_near(parts, h, soft.before, soft.after), f'{rules_}[{h}.r].soft')} THEN {rules_}[{h}.r].best ELSE {rules_}[{h}.r].score END"
+        out = each(out, lambda h: span(f"{rules_}[{h}.r].entity", f"{h}.start", f"{h}.end", score(h)))
+        return keep(out, lambda s: f"{s}.score >= {threshold}D") if any(r.score < threshold for r in rules) else out
+
+    def placed(hits_: str) -> str:
+        some = let(f"array({', '.join(rows)})", lambda t: let(pieces(text), lambda parts: scored(t, hits_, parts)))
+        return f"CASE WHEN size({hits_}) > 0 THEN {some} ELSE {none(SPAN)} END"
+
+    return let(found, placed)
+
+
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, '[- ]', '')"
 
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[- ]", "")
+def _not_a_card(value: str) -> str:
+    return f"NOT (length({value}) >= 13 AND luhn_check({value}))"
 
 
-def _not_a_card(value: Column) -> Column:
-    return ~((F.length(value) >= 13) & F.call_function("luhn_check", value))
+def _luhn(value: str) -> str:
+    return f"luhn_check({_digits(value)})"
 
 
-def _mof(value: Column) -> Column:
-    return value.rlike("^[0-9]{8}$") & mof_valid(value)
+def _mof(value: str) -> str:
+    return f"({value} rlike '^[0-9]{{8}}$' AND {mof_valid(value)})"
 
 
-def _eight(text: Column) -> Column:
-    """Seven digits in a row, as the engine found before."""
-    return F.col("_eight")
+def _eight(text: str, facts: Facts) -> str:
+    return facts.eight
 
 
-def _four(text: Column) -> Column:
-    """Three digits in a row."""
-    return F.col("_four")
+def _four(text: str, facts: Facts) -> str:
+    return facts.four
 
 
-def _says(*words: str) -> Callable[[Column], Column]:
+def _says(*words: str) -> Callable[[str, Facts], str]:
     """Any of the words in the lower-cased text."""
-    return lambda text: has_any(F.col("_low"), words)
+    return lambda text, facts: has_any(facts.low, words)
 
 
-def _contains(*words: str) -> Callable[[Column], Column]:
-    return lambda text: has_any(text, words)
+def _contains(*words: str) -> Callable[[str, Facts], str]:
+    return lambda text, facts: has_any(text, words)
 
 
 # Patterns, scores and word lists that results depend on.
@@ -100,7 +153,7 @@ RULES: list[Rule] = [
     Rule("TW_LANDLINE", "landline with hyphen", rf"(?<!{N})0[2-8]-{N}{{7,8}}(?!{N})", 0.85, hint=_eight),
     Rule("TW_BUSINESS_ID", "business number", rf"(?<!{N}){N}{{8}}(?!{N})", 0.85, keywords=BUSINESS_WORDS, check=_mof, hint=_eight),
     Rule("EMAIL_ADDRESS", "e-mail", r"(?<![A-Za-z0-9.@])[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}(?![A-Za-z0-9.@])", 0.85, hint=_contains("@"), soft=("信箱", "電郵", "email", "e-mail", "郵件", "寄信")),
-    Rule("CREDIT_CARD", "card", r"(?<!\d)(?!1\d{12}(?!\d))(?:4\d{3}|5[0-5]\d{2}|6\d{3}|1\d{3}|3\d{3})[- ]?\d{3,4}[- ]?\d{3,4}[- ]?\d{3,5}(?!\d)", 1.0, check=lambda v: F.call_function("luhn_check", _digits(v)), hint=_four),
+    Rule("CREDIT_CARD", "card", r"(?<!\d)(?!1\d{12}(?!\d))(?:4\d{3}|5[0-5]\d{2}|6\d{3}|1\d{3}|3\d{3})[- ]?\d{3,4}[- ]?\d{3,4}[- ]?\d{3,5}(?!\d)", 1.0, check=_luhn, hint=_four),
     Rule("TW_LICENSE_PLATE", "plate", r"(?<![A-Za-z0-9])[A-Z]{2,3}-[0-9]{4}(?![A-Za-z0-9])", 0.85, keywords=PLATE_WORDS),
     Rule("TW_LICENSE_PLATE", "plate, number first", r"(?<![0-9])[0-9]{3,4}-[A-Z]{2}(?![A-Za-z0-9])", 0.85, keywords=PLATE_WORDS),
     Rule("TW_BIRTH_DATE", "date of the republic", rf"民國{WS}?{N}{{2,3}}{WS}?年{WS}?{N}{{1,2}}{WS}?月{WS}?{N}{{1,2}}{WS}?日", 0.9, hint=_contains("民國")),
@@ -113,10 +166,12 @@ RULES: list[Rule] = [
 ]
 NAMED = ("PERSON", "ORG", "LOCATION")
 ENTITIES = (*NAMED, "TW_ADDRESS", *dict.fromkeys(r.entity for r in RULES))
+# Names that reports show.
 DISPLAY_NAMES = {
     "TW_NATIONAL_ID": "身分證字號", "TW_ARC": "居留證", "TW_MOBILE": "手機號碼", "TW_LANDLINE": "市話", "TW_BUSINESS_ID": "統一編號", "EMAIL_ADDRESS": "Email",
     "CREDIT_CARD": "信用卡", "TW_PASSPORT": "護照", "TW_LICENSE_PLATE": "車牌", "TW_BIRTH_DATE": "出生日期", "TW_BANK_ACCOUNT": "銀行帳號",
 }
+# What addresses are made of.
 BOUNDARY = "縣市鄉鎮區路街道號巷弄樓層室房棟幢座館段"
 _PLACE = f"(?:(?![{BOUNDARY}])[一-鿿0-9])"
 TIERS: list[tuple[int, str]] = [

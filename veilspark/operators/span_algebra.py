@@ -1,143 +1,173 @@
-"""Merging, conflicts, numbering and replacement of spans, as folds over small arrays: one row in, one row out."""
+"""Merging, conflicts, numbering, replacement and restoration of spans within a row, as SQL text.
 
-from __future__ import annotations
+All are sorts and scans, so a text's cost grows with the number of its spans (times its logarithm), not with the square.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from ..functions.spans import SPANS
+from ..functions.spans import SPAN, cut, each, joined, keep, let, none, pieces, scan, span
 
 DICT = "array<struct<original:string,entity_type:string,ordinal:int,placeholder:string>>"
 TOKEN = "<[A-Z_]+_[0-9]+>"
+_VALUE = "struct<i:int,value:string,entity_type:string,first:int>"
+_NUMBERED = "struct<i:int,value:string,entity_type:string,ordinal:int,new:boolean>"
+_PLACED = "struct<i:int,value:string>"
 
 
-def _last(a: Column) -> Column:
-    return F.try_element_at(a, F.lit(-1))
-
-
-def _but_last(a: Column) -> Column:
-    return F.slice(a, 1, F.size(a) - 1)
-
-
-def _span(kind: Column, start: Column, end: Column, score: Column) -> Column:
-    return F.struct(kind.alias("entity_type"), start.alias("start"), end.alias("end"), score.alias("score"))
-
-
-def merge_touching(spans: Column) -> Column:
+def merge_touching(spans: str) -> str:
     """Join spans of one type that overlap or touch; result in order of type and place."""
 
-    def step(acc: Column, s: Column) -> Column:
-        p = _last(acc)
-        joined = _span(p["entity_type"], p["start"], F.greatest(p["end"], s["end"]), F.greatest(p["score"], s["score"]))
-        joins = (F.size(acc) > 0) & (p["entity_type"] == s["entity_type"]) & (s["start"] <= p["end"])
-        return F.when(joins, F.concat(_but_last(acc), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+    def step(p: str, s: str) -> tuple[str, str]:
+        joins = f"{p}.entity_type = {s}.entity_type AND {s}.start <= {p}.end"
+        both = span(f"{p}.entity_type", f"{p}.start", f"greatest({p}.end, {s}.end)", f"greatest({p}.score, {s}.score)")
+        return f"CASE WHEN {joins} THEN {both} ELSE {s} END", f"CASE WHEN {joins} THEN {none(SPAN)} ELSE array({p}) END"
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+    return joined(f"array_sort({spans})", SPAN, step)
 
 
-def drop_persons_in_dates(spans: Column) -> Column:
+def drop_persons_in_dates(spans: str) -> str:
     """Leave out PERSON spans inside a birth date."""
-    inside = lambda s: F.exists(spans, lambda d: (d["entity_type"] == "TW_BIRTH_DATE") & (d["start"] <= s["start"]) & (s["end"] <= d["end"]))
-    return F.filter(spans, lambda s: ~((s["entity_type"] == "PERSON") & inside(s)))
 
+    def kept(every: str, dates: str) -> str:
+        inside = lambda s: f"exists({dates}, d -> d.start <= {s}.start AND {s}.end <= d.end)"
+        return keep(every, lambda s: f"NOT ({s}.entity_type = 'PERSON' AND {inside(s)})")
+
+    return let(spans, lambda every: let(keep(every, lambda s: f"{s}.entity_type = 'TW_BIRTH_DATE'"), lambda dates: kept(every, dates)))
 
-def drop_contained(spans: Column) -> Column:
+
+def drop_contained(spans: str) -> str:
     """Leave out spans inside another; of equal places the higher score stays, then the later type. Result by type and place.
 
     From left to right, wider and better spans first, a span is inside another if an earlier one ends no sooner: one
     running maximum, no pairs.
     """
+    order = " ".join(f"WHEN x.{n} {a} y.{n} THEN -1 WHEN x.{n} {b} y.{n} THEN 1" for n, a, b in (("start", "<", ">"), ("end", ">", "<"), ("score", ">", "<"), ("entity_type", ">", "<")))
 
-    def before(x: Column, y: Column) -> Column:
-        out = F.lit(0)
-        for name, up in (("entity_type", False), ("score", False), ("end", False), ("start", True)):
-            less, more = (x[name] < y[name], x[name] > y[name]) if up else (x[name] > y[name], x[name] < y[name])
-            out = F.when(less, F.lit(-1)).when(more, F.lit(1)).otherwise(out)
-        return out
-
-    def step(acc: Column, s: Column) -> Column:
-        p = _last(acc)  # of all before, the one that ends last
-        return F.when((F.size(acc) == 0) | (s["end"] > p["end"]) | (s == p), F.concat(acc, F.array(s))).otherwise(acc)
+    def step(p: str, s: str) -> tuple[str, str]:  # p: of all before, the one that ends last
+        new = f"({p} IS NULL OR {s}.end > {p}.end OR {s} = {p})"
+        return f"CASE WHEN {new} THEN {s} ELSE {p} END", f"CASE WHEN {new} THEN array({s}) ELSE {none(SPAN)} END"
 
-    return F.array_sort(F.aggregate(F.array_sort(spans, before), F.array().cast(SPANS), step))
+    return f"array_sort({scan(f'array_sort({spans}, (x, y) -> CASE {order} ELSE 0 END)', f'cast(null as {SPAN})', SPAN, step)}.o)"
 
 
-def clip_overlaps(spans: Column) -> Column:
+def clip_overlaps(spans: str) -> str:
     """Left to right, cut the lower score of two overlapping spans; what becomes empty goes."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"))))
+    order = f"array_sort({each(spans, lambda s: f"named_struct('start', {s}.start, 'end', {s}.end, 'entity_type', {s}.entity_type, 'score', {s}.score)")})"
+    rows = each(order, lambda s: span(f"{s}.entity_type", f"{s}.start", f"{s}.end", f"{s}.score"))
 
-    def step(acc: Column, s: Column) -> Column:
-        p = _last(acc)
-        now = _span(s["entity_type"], s["start"], s["end"], s["score"])
-        later = _span(s["entity_type"], F.greatest(p["end"], s["start"]), s["end"], s["score"])
-        shorter = _span(p["entity_type"], p["start"], F.least(p["end"], s["start"]), p["score"])
-        overlap = (F.size(acc) > 0) & (s["start"] < p["end"])
-        return F.when(overlap & (p["score"] >= s["score"]), F.concat(acc, F.array(later))).when(overlap, F.concat(_but_last(acc), F.array(shorter, now))).otherwise(F.concat(acc, F.array(now)))
+    def step(p: str, s: str) -> tuple[str, str]:
+        later = span(f"{s}.entity_type", f"greatest({p}.end, {s}.start)", f"{s}.end", f"{s}.score")
+        shorter = span(f"{p}.entity_type", f"{p}.start", f"least({p}.end, {s}.start)", f"{p}.score")
+        overlap = f"{s}.start < {p}.end"
+        return f"CASE WHEN {overlap} AND {p}.score >= {s}.score THEN {later} ELSE {s} END", f"CASE WHEN {overlap} AND {p}.score < {s}.score THEN array({shorter}) ELSE array({p}) END"
 
-    return F.filter(F.aggregate(order, F.array().cast(SPANS), step), lambda s: s["start"] < s["end"])
+    return keep(joined(rows, SPAN, step), lambda s: f"{s}.start < {s}.end")
 
 
-def merge_over_spaces(text: Column, spans: Column) -> Column:
-    """Join neighbours of one type with nothing but spaces between; ``spans`` in order of place."""
+def merge_over_spaces(parts: str, spans: str) -> str:
+    """Join neighbours of one type with nothing but spaces between; ``spans`` in order of place, ``parts`` the text in pieces."""
 
-    def step(acc: Column, s: Column) -> Column:
-        p = _last(acc)
-        joins = (F.size(acc) > 0) & (p["entity_type"] == s["entity_type"]) & F.substring(text, p["end"] + 1, s["start"] - p["end"]).rlike("^ +$")
-        return F.when(joins, F.concat(_but_last(acc), F.array(_span(p["entity_type"], p["start"], s["end"], F.greatest(p["score"], s["score"]))))).otherwise(F.concat(acc, F.array(s)))
+    def step(p: str, s: str) -> tuple[str, str]:
+        joins = f"{p}.entity_type = {s}.entity_type AND {cut(parts, f'{p}.end', f'{s}.start - {p}.end')} rlike '^ +$'"
+        both = span(f"{p}.entity_type", f"{p}.start", f"{s}.end", f"greatest({p}.score, {s}.score)")
+        return f"CASE WHEN {joins} THEN {both} ELSE {s} END", f"CASE WHEN {joins} THEN {none(SPAN)} ELSE array({p}) END"
 
-    return F.aggregate(spans, F.array().cast(SPANS), step)
+    return joined(spans, SPAN, step)
 
 
-def value_of(text: Column, s: Column) -> Column:
+def resolve(text: str, spans: str) -> str:
+    """The disjoint spans that replacement uses, in order of place."""
+    some = lambda s: let(pieces(text), lambda parts: merge_over_spaces(parts, clip_overlaps(drop_contained(s))))
+    return let(spans, lambda s: f"CASE WHEN size({s}) > 0 THEN {some(s)} ELSE {s} END")
+
+
+def value_of(text: str, s: str) -> str:
     """The text of a span."""
-    return F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    return f"substring({text}, {s}.start + 1, {s}.end - {s}.start)"
 
 
-def valued(text: Column, spans: Column, reverse: bool = True) -> Column:
-    """(value, entity_type) of each span, each value cut from the text once.
+def numbered(values: str) -> str:
+    """Each (value, entity_type) of a list with its number, in order: (i, value, entity_type, ordinal, new).
 
-    ``reverse`` goes from the end of the text, the order in which replacement by splicing works. Callers pin the result.
+    A value has the type of its first place and is numbered among the values of that type in order of first places. Equal
+    values meet by a sort; a second one, by type and first place, numbers them.
     """
-    return F.transform(F.reverse(spans) if reverse else spans, lambda s: F.struct(value_of(text, s).alias("value"), s["entity_type"].alias("entity_type")))
+    by_value = f"array_sort(transform({values}, (x, i) -> named_struct('value', x.value, 'i', i, 'entity_type', x.entity_type)))"
+
+    def first(c: str, x: str) -> tuple[str, str]:
+        known = f"({c}.value <=> {x}.value)"
+        mine = f"named_struct('i', {x}.i, 'value', {x}.value, 'entity_type', CASE WHEN {known} THEN {c}.entity_type ELSE {x}.entity_type END, 'first', CASE WHEN {known} THEN {c}.first ELSE {x}.i END)"
+        return mine, f"array({mine})"
 
+    placed = f"{scan(by_value, f'cast(null as {_VALUE})', _VALUE, first)}.o"
+    by_type = f"array_sort({each(placed, lambda x: f"named_struct('entity_type', {x}.entity_type, 'first', {x}.first, 'i', {x}.i, 'value', {x}.value)")})"
 
-def number(values: Column, every: Column) -> Column:
-    """The dictionary of a text, from columns of ``valued`` and of its values alone: each new value gets the next number of the type that meets it first.
+    def ordinal(c: str, x: str) -> tuple[str, str]:
+        new = f"({x}.i = {x}.first)"
+        n = f"CASE WHEN {c}.entity_type <=> {x}.entity_type THEN {c}.ordinal + cast({new} as int) ELSE 1 END"
+        mine = f"named_struct('i', {x}.i, 'value', {x}.value, 'entity_type', {x}.entity_type, 'ordinal', {n}, 'new', {new})"
+        return mine, f"array({mine})"
 
-    New values are dealt into one list for each of the few types and numbered by their places there, then put back in order.
+    return f"array_sort({scan(by_type, f'cast(null as {_NUMBERED})', _NUMBERED, ordinal)}.o)"
+
+
+def _mark(x: str) -> str:
+    return f"concat('<', {x}.entity_type, '_', {x}.ordinal, '>')"
+
+
+def entries_of(numbers: str) -> str:
+    """The dictionary of a text, in order of first places."""
+    return each(keep(numbers, lambda x: f"{x}.new"), lambda x: f"named_struct('original', {x}.value, 'entity_type', {x}.entity_type, 'ordinal', {x}.ordinal, 'placeholder', {_mark(x)})")
+
+
+def replaced(text: str, spans: str, reverse: bool = True) -> str:
+    """(entries, anonymized): each of the disjoint, ordered ``spans`` replaced by its value's placeholder.
+
+    ``reverse`` numbers from the end of the text, the order in which replacement by splicing works.
     """
-    first = F.transform(F.array_distinct(every), lambda v, i: F.struct(i.alias("i"), F.element_at(values, F.array_position(every, v).cast("int")).alias("x")))
 
-    def of_type(firsts: Column, kind: Column) -> Column:
-        own = F.filter(firsts, lambda f: f["x"]["entity_type"] == kind)
-        return F.transform(own, lambda f, j: F.struct(f["i"].alias("i"), f["x"]["value"].alias("original"), kind.alias("entity_type"), (j + 1).alias("ordinal")))
+    def run(parts: str) -> str:
+        cuts = each(f"reverse({spans})" if reverse else spans, lambda s: f"named_struct('value', {cut(parts, f'{s}.start', f'{s}.end - {s}.start')}, 'entity_type', {s}.entity_type)")
 
-    # a fold of one step gives the list a name: lambdas have no other way to hold a result
-    dealt = F.aggregate(F.array(first), F.array().cast("array<struct<i:int,original:string,entity_type:string,ordinal:int>>"), lambda acc, firsts: F.concat(acc, F.flatten(F.transform(F.array_distinct(F.transform(firsts, lambda f: f["x"]["entity_type"])), lambda k: of_type(firsts, k)))))
-    entry = lambda e: F.struct(e["original"].alias("original"), e["entity_type"].alias("entity_type"), e["ordinal"].alias("ordinal"), F.format_string("<%s_%d>", e["entity_type"], e["ordinal"]).alias("placeholder"))
-    return F.transform(F.array_sort(dealt), entry)
+        def put(numbers: str) -> str:
+            number = f"{numbers}[size({numbers}) - 1 - i]" if reverse else f"{numbers}[i]"
+            before = f"CASE WHEN i = 0 THEN 0 ELSE {spans}[greatest(i - 1, 0)].end END"
+            filled = f"transform({spans}, (s, i) -> {let(before, lambda b: f'concat({cut(parts, b, f"s.start - {b}")}, {let(number, _mark)})')})"
+            last = f"{spans}[size({spans}) - 1].end"
+            tail = cut(parts, last, f"length({text}) - {last}")
+            return f"named_struct('entries', {entries_of(numbers)}, 'anonymized', concat(array_join({filled}, ''), {tail}))"
+
+        return let(let(cuts, numbered), put)
+
+    empty = f"named_struct('entries', cast(array() as {DICT}), 'anonymized', {text})"
+    return f"CASE WHEN size({spans}) > 0 THEN {let(pieces(text), run)} ELSE {empty} END"
+
+
+def restore_once(text: str, entries: str) -> str:
+    """Replace placeholders by ``entries`` (key: placeholder, value: original) in one pass: restored values are not read again.
+
+    Marks and entries meet by a sort. Of entries for one placeholder the last in order of values counts.
+    """
 
+    def run(marks: str) -> str:
+        rows = f"concat({each(entries, lambda e: f"named_struct('token', {e}.key, 'i', -1, 'value', {e}.value)")}, transform({marks}, (m, i) -> named_struct('token', m, 'i', i, 'value', cast(null as string))))"
 
-def replace(text: Column, spans: Column, values: Column, entries: Column, known: Column) -> Column:
-    """The text with each span replaced by its value's placeholder; ``spans`` disjoint and in order, ``values`` theirs in the same order, ``known`` the originals of ``entries``."""
+        def look(c: str, x: str) -> tuple[str, str]:
+            known = f"{c}.token <=> {x}.token"
+            return f"CASE WHEN {x}.i < 0 THEN named_struct('token', {x}.token, 'value', {x}.value) ELSE {c} END", f"CASE WHEN {x}.i < 0 THEN {none(_PLACED)} ELSE array(named_struct('i', {x}.i, 'value', CASE WHEN {known} THEN coalesce({c}.value, {x}.token) ELSE {x}.token END)) END"
 
-    def step(acc: Column, x: Column) -> Column:
-        mark = F.element_at(entries, F.array_position(known, x["v"]).cast("int"))["placeholder"]
-        return F.struct(x["s"]["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"]["start"] - acc["at"]), mark).alias("out"))
+        found = f"array_sort({scan(f'array_sort({rows})', "cast(null as struct<token:string,value:string>)", _PLACED, look)}.o)"
+        return f"array_join(zip_with(split({text}, '{TOKEN}', -1), {found}, (g, f) -> concat(g, coalesce(f.value, ''))), '')"
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    pairs = F.zip_with(spans, values, lambda s, v: F.struct(s.alias("s"), v["value"].alias("v")))
-    return F.aggregate(pairs, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return f"CASE WHEN {text} rlike '{TOKEN}' THEN {let(f"regexp_extract_all({text}, '{TOKEN}', 0)", run)} ELSE {text} END"
 
 
-def restore_once(text: Column, mapping: Column) -> Column:
-    """Replace placeholders by ``mapping`` (placeholder to original) in one pass: restored values are not read again."""
-    marks = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    both = F.zip_with(F.split(text, TOKEN, -1), marks, lambda g, m: F.concat(g, F.when(m.isNull(), F.lit("")).otherwise(F.coalesce(mapping[m], m))))
-    return F.when(text.rlike(TOKEN), F.array_join(both, "")).otherwise(text)
+def as_entries(rows: str) -> str:
+    """Dictionary entries as (key, value) for ``restore_once``."""
+    return each(rows, lambda e: f"named_struct('key', {e}.placeholder, 'value', {e}.original)")
 
 
-def replace_values(text: Column, entries: Column) -> Column:
-    """Replace every occurrence of each (from, to) entry, longest ``from`` first, as plain text."""
-    ranked = F.array_sort(F.filter(entries, lambda e: F.length(e["from"]) > 0), lambda a, b: F.length(b["from"]) - F.length(a["from"]))
-    return F.aggregate(ranked, text, lambda t, e: F.replace(t, e["from"], e["to"]))
+def replace_values(text: str, pairs: str) -> str:
+    """Replace every occurrence of each (from, to) pair, longest ``from`` first, as plain text."""
+    ranked = f"array_sort(filter({pairs}, e -> length(e.from) > 0), (a, b) -> length(b.from) - length(a.from))"
+    return f"aggregate({ranked}, {text}, (t, e) -> replace(t, e.from, e.to))"

@@ -112,7 +112,7 @@ def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
     """Touching spans of one type join; others stay."""
     span = lambda kind, a, b: f"named_struct('entity_type', '{kind}', 'start', cast({a} as int), 'end', cast({b} as int), 'score', 0.5D)"
     rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col(K).alias("doc_id"), F.expr(f"array({span('B', 0, 5)}, {span('B', f'5 + {K} % 3', 9)}, {span('A', 2, 4)}) AS s"))
-    return rows.select("doc_id", F.explode(A.merge_touching(F.col("s"))).alias("s")).select("doc_id", "s.entity_type", "s.start", "s.end")
+    return rows.select("doc_id", F.explode(F.expr(A.merge_touching("s"))).alias("s")).select("doc_id", "s.entity_type", "s.start", "s.end")
 
 
 def person_over_date_antijoin(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +171,22 @@ def pre_read_decision(spark: SparkSession, d: str) -> DataFrame:
     return decision(rows).filter("response is not null").select("doc_id", "response")
 
 
+# a passport number after one of its soft words, or another word, and up to 19 other characters
+_SOFT = f"concat(CASE {K} % 3 WHEN 0 THEN '護照' WHEN 1 THEN '出入境' ELSE '單號' END, repeat('字', cast({K} % 20 as int)), 'B', p)"
+
+
+def soft_context_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """At 0.7, passport numbers are found only where one of their words stands among the five words before."""
+    rows = DeidEngine(entities=["TW_PASSPORT"], threshold=0.7).detect(_made(spark, d, _SOFT))
+    return span_rows(rows, "doc_id").select("doc_id", "start", "end", "score", "value")
+
+
+def soft_context_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of all, at the usual threshold."""
+    rows = DeidEngine(entities=["TW_PASSPORT"]).detect(_made(spark, d, _SOFT))
+    return span_rows(rows, "doc_id").select("doc_id", "start", "score")
+
+
 def conversation_scan(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")
     found = DeidEngine(entities=["EMAIL_ADDRESS"]).detect(rows)
@@ -192,7 +208,8 @@ QUERIES: dict[str, Query] = detection | {
     f.__name__: f
     for f in (
         scan_documents, detect_email, detect_credit_card_luhn, anonymize_mix, number_forward, mapping_table, anonymize_documents, restore_roundtrip, merge_adjacent, person_over_date_antijoin,
-        resolve_conflicts, cell_replace, counts_by_type, counts_rollup, distinct_values, metrics_prf, known_value_sweep, mask_manual_terms, pre_read_decision, conversation_scan, page_scan,
+        resolve_conflicts, cell_replace, counts_by_type, counts_rollup, distinct_values, metrics_prf, known_value_sweep, mask_manual_terms, pre_read_decision, soft_context_threshold, soft_context_scores,
+        conversation_scan, page_scan,
     )
 }
 ORACLES: dict[str, str] = {name: _case(name)[1] for name in CASES} | {
@@ -225,6 +242,10 @@ SELECT unnest(['TW_NATIONAL_ID', '__total__']) AS entity_type, tp, fp, fn, preci
     "known_value_sweep": f"SELECT {K} AS doc_id, '統編<TW_BUSINESS_ID_1>' || repeat('Z', 60) || '<TW_BUSINESS_ID_1>' || {K} AS anonymized FROM customer",
     "mask_manual_terms": f"{_K} SELECT {K} AS doc_id, '<MANUAL_1>與<MANUAL_1>明' || p AS masked FROM k",
     "pre_read_decision": f"""SELECT {K} AS doc_id, '{{"hookSpecificOutput":{{"hookEventName":"PreToolUse","permissionDecision":"ask","permissionDecisionReason":"f' || {K} || ' holds 1 items of personal data (手機號碼: 1)"}}}}' AS response FROM customer WHERE {K} % 2 = 0""",
+    "soft_context_threshold": f"""{_K} SELECT {K} AS doc_id, (CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20)::INTEGER AS start, (CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20 + 9)::INTEGER AS "end", 0.95::DOUBLE AS score, 'B' || p AS value
+FROM k WHERE {K} % 3 < 2 AND CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20 <= 10""",
+    "soft_context_scores": f"""SELECT {K} AS doc_id, (CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20)::INTEGER AS start,
+  CASE WHEN {K} % 3 < 2 AND CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20 <= 10 THEN 0.95 ELSE 0.6 END::DOUBLE AS score FROM customer""",
     "conversation_scan": f"SELECT count(*)::BIGINT AS turns, sum(len(regexp_extract_all(text, '{_MAIL}')))::BIGINT AS found FROM conversations",
     "page_scan": f"SELECT count(*)::BIGINT AS pages, sum(len(regexp_extract_all(html, '{_MAIL}')))::BIGINT AS found FROM pages",
 }

@@ -16,9 +16,10 @@ from collections.abc import Iterable
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import each, let
 from ..operators.span_algebra import replace_values
 
 # The file types that are handled.
@@ -181,19 +182,22 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, CONTENT)
 
 
+def _cells(column: str, old: str, new: str) -> Column:
+    """Cells with one side of the dictionary replaced by the other."""
+    pairs = each("entries", lambda e: f"named_struct('from', {e}.{old}, 'to', {e}.{new})")
+    return F.expr(let(pairs, lambda p: each(column, lambda c: f"named_struct('key', {c}.key, 'text', {replace_values(f'{c}.text', p)})")))
+
+
 def anonymize_cells(df: DataFrame) -> DataFrame:
     """Add ``new_cells`` (each value of ``entries`` replaced wherever it stands) and ``leaks``: values still in a cell."""
-    pairs = F.transform("entries", lambda d: F.struct(d["original"].alias("from"), d["placeholder"].alias("to")))
-    new = F.transform("cells", lambda c: F.struct(c["key"].alias("key"), replace_values(c["text"], pairs).alias("text")))
-    df = df.withColumn("new_cells", new)
+    df = df.withColumn("new_cells", _cells("cells", "original", "placeholder"))
     left = F.filter("entries", lambda d: ~F.exists("cells", lambda c: F.contains(c["text"], d["original"])))
     return df.withColumn("leaks", F.when(F.size("cells") > 0, F.transform(left, lambda d: d["original"])).otherwise(F.array().cast("array<string>")))
 
 
 def restore_cells(df: DataFrame) -> DataFrame:
     """The inverse, on ``new_cells``."""
-    pairs = F.transform("entries", lambda d: F.struct(d["placeholder"].alias("from"), d["original"].alias("to")))
-    return df.withColumn("cells", F.transform("new_cells", lambda c: F.struct(c["key"].alias("key"), replace_values(c["text"], pairs).alias("text"))))
+    return df.withColumn("cells", _cells("new_cells", "placeholder", "original"))
 
 
 def write_binary(original: bytes, file_type: str, cells: dict[str, str]) -> bytes:
