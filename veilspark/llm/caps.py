@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, partitions, staged, table
-from .components import _smallest, components
+from .components import components
 
 LIMIT = 0.98
 BLOCKS, CODES, TABLES, HEIGHT = 2, 1024, 32, 4.4
@@ -139,6 +139,20 @@ def _earlier(keys: pa.Array, key: int) -> tuple[np.ndarray, np.ndarray]:
     return row[own], flat[own]
 
 
+def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The first row of each row's component; ``linked`` is of the rows ``left`` by the rows ``right``."""
+    root = np.arange(n, dtype=np.int32)
+    while True:
+        new = root.copy()
+        if linked.size:
+            np.minimum.at(new, left, np.where(linked, root[right][None, :], n).min(1))
+            np.minimum.at(new, right, np.where(linked, root[left][:, None], n).min(0))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _block(rows: pa.RecordBatch) -> pa.RecordBatch:
     """Links and edges of one filter's block, or of two of its blocks (``side`` 0 and 1)."""
     node, copies, side = (rows.column(c).to_numpy() for c in ("node", "copies", "side"))
@@ -149,7 +163,6 @@ def _block(rows: pa.RecordBatch) -> pa.RecordBatch:
     linked = _linked(units[left], units[right])
     if not two:
         np.fill_diagonal(linked, False)
-    a, b = np.nonzero(linked)
     # counted here only if no filter with a smaller key has both
     row, code = _earlier(rows.column("keys"), key)
     codes, at, n = np.unique(code, return_inverse=True, return_counts=True)
@@ -166,8 +179,9 @@ def _block(rows: pa.RecordBatch) -> pa.RecordBatch:
     if two:
         links[right] += counted.T @ copies[left]
     some = np.flatnonzero(links)
-    x, y = _smallest(node[left][a], node[right][b]) if len(a) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    x, y = x[x != y], y[x != y]
+    root = _roots(linked, left, right, len(node))
+    tied = np.flatnonzero(root != np.arange(len(node)))
+    x, y = node[tied], node[root[tied]]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], x])), pa.array(np.concatenate([node[some], y])), pa.array(np.concatenate([links[some], np.zeros(len(x), np.int64)]))], ["a", "b", "links"])
 
 
