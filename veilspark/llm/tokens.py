@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +41,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [p["type"] for p in (spec["pre_tokenizer"].get("pretokenizers") or [spec["pre_tokenizer"]])]
@@ -50,6 +50,9 @@ class Encoder:
         self.words = word_kind
         self.find = regex.compile(WORD_PATTERN if word_kind else BYTE_PATTERN).findall if byte_kind or word_kind else None
         vocab = spec["model"]["vocab"]
+        # the library finds added tokens in a text before it cuts it: texts that hold one go to it whole
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = "|".join(map(re.escape, sorted(added, key=len, reverse=True))) or None
         self.border = np.zeros(max(vocab.values()) + 1, bool)
         self.border[[i for t, i in vocab.items() if (t.endswith("</w>") if word_kind else t.startswith("\u0120"))]] = True
         self.line = vocab.get("\u010a")
@@ -148,7 +151,11 @@ class Encoder:
             easy = np.zeros(len(texts), bool)
         else:
             hard = pc.match_substring_regex(texts, ODD)
-            easy = ~(hard if self.words else pc.or_(hard, pc.match_substring_regex(texts, UNSAFE))).to_numpy(zero_copy_only=False)
+            if not self.words:
+                hard = pc.or_(hard, pc.match_substring_regex(texts, UNSAFE))
+            if self.added:
+                hard = pc.or_(hard, pc.match_substring_regex(texts, self.added, ignore_case=self.words))
+            easy = ~hard.to_numpy(zero_copy_only=False)
         out: list[bytes | None] = [None] * len(texts)
         if easy.any():
             heads, flat, offsets = self._chunks(texts if easy.all() else texts.filter(pa.array(easy)))
