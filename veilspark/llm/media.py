@@ -5,10 +5,12 @@ maxima of the structure tensor's smaller eigenvalue within SPACING, so their num
 corner is turned to the direction of its intensity centroid and described by TESTS binary comparisons of turned point
 pairs.
 Search: images with equal bytes are one class. Queries are the classes with a member whose id is divisible by 100. The
-TESTS bits are cut into words (``word_bits``); descriptors meet if a word is equal at the same place, and count if they
-differ in at most NEAR bits. Words of 24 bits find all pairs within 9 bits and most within NEAR; the tests measure recall
-against all pairs of descriptors. The queries' words go to the corners of all images, which are described as they stream
-by and never stored, as long as a count shows the words small enough to broadcast; else both sides are shuffled by word.
+TESTS bits are cut into words of WORD bits, whatever the table's size; descriptors meet if a word is equal at the same
+place, and count if they differ in at most NEAR bits. Words of 24 bits find all pairs within 9 bits and most within NEAR; the
+tests measure recall against all pairs of descriptors. The queries' words go to the corners of all images, which are
+described as they stream by and never stored, as long as a count shows the words small enough to broadcast; else both
+sides are shuffled by word, each word dealt over SALTS tasks by the corner's place, so that a word of many flat patches
+is no single task. A corner meets about 1 in 2 ** WORD of the queries' words for each of its own.
 Each match votes for a rotation, scale and shift; images with at least VOTES matches that agree are copies, cropped or
 edited.
 
@@ -35,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, staged, table
 
 TESTS, NEAR, VOTES = 256, 16, 4
-WORDS = (24, 28, 32)  # bits of a word, by the number of corners
-BROADCAST_ROWS = 1_000_000  # of 56 bytes; beyond it the joins shuffle
+WORD = 24  # bits
+BROADCAST_ROWS = 500_000  # of 130 bytes at most, 65 MB; beyond it the joins shuffle
+SALTS = 16
 SCALES, EDGE, RADIUS, SPACING = (1.0, 0.84, 0.71, 0.59, 0.5), 9, 7, 2
 # A corner is turned so that its brighter side lies along x; points far apart in x would give the same bit at most corners
 # (measured: 24 bits or fewer apart 0.8 in 1000 random pairs), so the two points of a test stand about above each other (0.9 in a million).
@@ -147,19 +150,14 @@ def describe(image: np.ndarray) -> list[tuple[float, float, float, float, bytes]
     return out
 
 
-def word_bits(corners: int) -> int:
-    """Bits of a word: as many as give each corner a word of its own, if words can be that long."""
-    return next((w for w in WORDS if corners <= 1 << w), WORDS[-1])
+def words_of(bits: np.ndarray) -> np.ndarray:
+    """Rows of TESTS // 8 bytes as rows of TESTS // WORD words."""
+    n = TESTS // WORD
+    flat = np.unpackbits(bits, axis=1, bitorder="little")[:, : n * WORD].reshape(len(bits), n, WORD)
+    return flat.astype(np.int64) @ (1 << np.arange(WORD, dtype=np.int64))
 
 
-def words_of(bits: np.ndarray, w: int) -> np.ndarray:
-    """Rows of TESTS // 8 bytes as rows of TESTS // w words."""
-    n = TESTS // w
-    flat = np.unpackbits(bits, axis=1, bitorder="little")[:, : n * w].reshape(len(bits), n, w)
-    return flat.astype(np.int64) @ (1 << np.arange(w, dtype=np.int64))
-
-
-def descriptors(media: DataFrame, w: int) -> DataFrame:
+def descriptors(media: DataFrame) -> DataFrame:
     """(image_id, x, y, scale, angle, d0 to d3, words) for (image_id, media): one row for each corner."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -173,33 +171,33 @@ def descriptors(media: DataFrame, w: int) -> DataFrame:
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 bits = np.frombuffer(b"".join(cols[5]), np.uint8).reshape(-1, TESTS // 8)
                 longs = np.ascontiguousarray(bits).view("<i8")
-                words = words_of(bits, w)
+                words = words_of(bits)
                 ends = np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float32()) for c in cols[1:5]), *(pa.array(longs[:, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends), pa.array(words.ravel()))], ["image_id", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3", "words"])
 
     return map_arrow(media.select("image_id", "media"), run, "image_id long, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long, words array<long>")
 
 
-def find_copies(media: DataFrame, bits: int | None = None) -> DataFrame:
-    """The output rows for (image_id, media). ``bits``: of a word, instead of ``word_bits``."""
+def find_copies(media: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The output rows for (image_id, media). ``broadcast_rows``: sides of joins with no more rows are broadcast."""
     raw = F.coalesce(F.col("media"), F.lit(b""))
-    named = media.select(F.col("image_id").cast("long").alias("image_id"), "media", F.sha2(raw, 256).alias("digest"))
+    named = media.select(F.col("image_id").cast("long").alias("image_id"), "media", F.unhex(F.sha2(raw, 256)).alias("digest"))
     keyed = staged(named.select("image_id", "digest"), "media-keys")
     classes = staged(keyed.groupBy("digest").agg(F.min("image_id").alias("class_id"), F.coalesce(F.max((F.col("image_id") % 100 == 0).cast("int")), F.lit(0)).alias("asks")), "media-classes")
     n = classes.count()
-    held = F.broadcast if n <= BROADCAST_ROWS else lambda d: d  # pictures stay where they are
+    held = F.broadcast if n <= broadcast_rows else lambda d: d  # pictures stay where they are
     reps = named.join(held(classes), "digest").filter("image_id = class_id")
-    asked = staged(descriptors(reps.filter("asks = 1"), WORDS[0]).withColumn("q_k", F.monotonically_increasing_id()), "query-corners")
-    images = max(1, asked.select("image_id").distinct().count())
-    w = bits or word_bits(n * asked.count() // images)
-    if w != WORDS[0]:
-        asked = staged(descriptors(reps.filter("asks = 1"), w).withColumn("q_k", F.monotonically_increasing_id()), "query-corners")
+    asked = staged(descriptors(reps.filter("asks = 1")).withColumn("q_k", F.monotonically_increasing_id()), "query-corners")
     keys = staged(asked.select("q_k", F.col("image_id").alias("q_id"), *[F.col(f"d{k}").alias(f"q{k}") for k in range(4)], F.posexplode("words").alias("slot", "word")), "query-words")
     # the queries' words go to the corners of all images, not the other way round, as long as a count shows them small
-    hold = F.broadcast if keys.count() <= BROADCAST_ROWS else lambda d: d
-    every = descriptors(reps, w).select(F.col("image_id").alias("m_id"), *[F.col(c).alias(f"m_{c}") for c in ("x", "y", "scale", "angle")], "d0", "d1", "d2", "d3", F.posexplode("words").alias("slot", "word"))
+    small = keys.count() <= broadcast_rows
+    hold = F.broadcast if small else lambda d: d
+    salts = 1 if small else SALTS
+    keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = descriptors(reps).select(F.col("image_id").alias("m_id"), *[F.col(c).alias(f"m_{c}") for c in ("x", "y", "scale", "angle")], "d0", "d1", "d2", "d3", F.posexplode("words").alias("slot", "word"))
+    every = every.withColumn("salt", F.pmod(F.hash("m_id", "m_x", "m_y"), F.lit(salts)))
     differ = sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q0"))))
-    same = every.join(hold(keys), ["slot", "word"]).filter((F.col("q_id") != F.col("m_id")) & (differ <= NEAR))
+    same = every.join(hold(keys), ["slot", "word", "salt"]).filter((F.col("q_id") != F.col("m_id")) & (differ <= NEAR))
     corner = asked.select("q_k", *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle")])
     near = same.select("q_id", "q_k", "m_id", "m_x", "m_y", "m_scale", "m_angle").distinct().join(hold(corner), "q_k")
     # similarity transform of each match: turn, log of the scale, shift of the origin
