@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import span_algebra as A
 from ..operators.engine import DeidEngine, decision, gazetteer, mapping_rows, mask_terms, report, restore, span_rows
 from ..operators.evaluate import metrics
+from ..operators.names import ModelNames, Names, english_names, pattern_model
 from ..sources.files import anonymize_cells
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +188,17 @@ def soft_context_scores(spark: SparkSession, d: str) -> DataFrame:
     return span_rows(rows, "doc_id").select("doc_id", "start", "score")
 
 
+# a name after up to 699 characters, so in any of several windows, and English ones, one of them before an @
+_NAMED = f"concat(repeat('字', cast({K} % 700 as int)), '王小明', repeat('文', cast({K} % 37 as int)), '，Mary Smith', CASE WHEN {K} % 2 = 0 THEN '@' ELSE '在' END, 'Acme')"
+_NAMES = Names(ModelNames(pattern_model({"PER": "王小明", "DATE": "字{3}"}), window=200, overlap=40), english_names(pattern_model({"PERSON": "Mary Smith", "ORG": "Acme", "MONEY": "S"})))
+
+
+def model_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of two models, through windows and islands of English; a name before @ and labels without a type go."""
+    rows = DeidEngine(entities=["PERSON", "ORG", "LOCATION"], ner=_NAMES).detect(_made(spark, d, _NAMED))
+    return span_rows(rows, "doc_id").select("doc_id", "entity_type", "start", "end", "score", "value")
+
+
 def conversation_scan(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")
     found = DeidEngine(entities=["EMAIL_ADDRESS"]).detect(rows)
@@ -208,7 +220,7 @@ QUERIES: dict[str, Query] = detection | {
     f.__name__: f
     for f in (
         scan_documents, detect_email, detect_credit_card_luhn, anonymize_mix, number_forward, mapping_table, anonymize_documents, restore_roundtrip, merge_adjacent, person_over_date_antijoin,
-        resolve_conflicts, cell_replace, counts_by_type, counts_rollup, distinct_values, metrics_prf, known_value_sweep, mask_manual_terms, pre_read_decision, soft_context_threshold, soft_context_scores,
+        resolve_conflicts, cell_replace, counts_by_type, counts_rollup, distinct_values, metrics_prf, known_value_sweep, mask_manual_terms, pre_read_decision, soft_context_threshold, soft_context_scores, model_names,
         conversation_scan, page_scan,
     )
 }
@@ -246,6 +258,9 @@ SELECT unnest(['TW_NATIONAL_ID', '__total__']) AS entity_type, tp, fp, fn, preci
 FROM k WHERE {K} % 3 < 2 AND CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20 <= 10""",
     "soft_context_scores": f"""SELECT {K} AS doc_id, (CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20)::INTEGER AS start,
   CASE WHEN {K} % 3 < 2 AND CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20 <= 10 THEN 0.95 ELSE 0.6 END::DOUBLE AS score FROM customer""",
+    "model_names": f"""WITH n AS (SELECT {K}, {K} % 700 + 3 + {K} % 37 + 1 AS e FROM customer)
+SELECT {K} AS doc_id, 'PERSON' AS entity_type, ({K} % 700)::INTEGER AS start, ({K} % 700 + 3)::INTEGER AS "end", 0.85::DOUBLE AS score, '王小明' AS value FROM n
+UNION ALL SELECT {K}, 'PERSON', e::INTEGER, (e + 10)::INTEGER, 0.8, 'Mary Smith' FROM n WHERE {K} % 2 = 1 UNION ALL SELECT {K}, 'ORG', (e + 11)::INTEGER, (e + 15)::INTEGER, 0.8, 'Acme' FROM n""",
     "conversation_scan": f"SELECT count(*)::BIGINT AS turns, sum(len(regexp_extract_all(text, '{_MAIL}')))::BIGINT AS found FROM conversations",
     "page_scan": f"SELECT count(*)::BIGINT AS pages, sum(len(regexp_extract_all(html, '{_MAIL}')))::BIGINT AS found FROM pages",
 }
