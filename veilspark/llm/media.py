@@ -38,7 +38,7 @@ from .common import map_arrow, staged, table
 
 TESTS, NEAR, VOTES = 256, 16, 4
 WORD = 24  # bits
-BROADCAST_ROWS = 500_000  # of 130 bytes at most, 65 MB; beyond it the joins shuffle
+BROADCAST_ROWS = 1_000_000  # of 72 bytes: 72 MB; beyond it the joins shuffle
 SALTS = 16
 SCALES, EDGE, RADIUS, SPACING = (1.0, 0.84, 0.71, 0.59, 0.5), 9, 7, 2
 # A corner is turned so that its brighter side lies along x; points far apart in x would give the same bit at most corners
