@@ -39,7 +39,7 @@ from .common import map_arrow, staged, table
 TESTS, NEAR, VOTES = 256, 16, 4
 WORD = 24  # bits
 BROADCAST_ROWS = 1_000_000  # of 72 bytes: 72 MB; beyond it the joins shuffle
-SALTS = 16
+SALTS = 4
 SCALES, EDGE, RADIUS, SPACING = (1.0, 0.84, 0.71, 0.59, 0.5), 9, 7, 2
 # A corner is turned so that its brighter side lies along x; points far apart in x would give the same bit at most corners
 # (measured: 24 bits or fewer apart 0.8 in 1000 random pairs), so the two points of a test stand about above each other (0.9 in a million).

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -51,8 +50,10 @@ class Encoder:
         self.find = regex.compile(WORD_PATTERN if word_kind else BYTE_PATTERN).findall if byte_kind or word_kind else None
         vocab = spec["model"]["vocab"]
         # the library finds added tokens in a text before it cuts it: texts that hold one go to it whole
-        added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.added = "|".join(map(re.escape, sorted(added, key=len, reverse=True))) or None
+        added = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
+        if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            self.find = None  # such tokens also match otherwise than as they are written
         self.border = np.zeros(max(vocab.values()) + 1, bool)
         self.border[[i for t, i in vocab.items() if (t.endswith("</w>") if word_kind else t.startswith("\u0120"))]] = True
         self.line = vocab.get("\u010a")
@@ -153,8 +154,8 @@ class Encoder:
             hard = pc.match_substring_regex(texts, ODD)
             if not self.words:
                 hard = pc.or_(hard, pc.match_substring_regex(texts, UNSAFE))
-            if self.added:
-                hard = pc.or_(hard, pc.match_substring_regex(texts, self.added, ignore_case=self.words))
+            for content in self.added:
+                hard = pc.or_(hard, pc.match_substring(texts, content))
             easy = ~hard.to_numpy(zero_copy_only=False)
         out: list[bytes | None] = [None] * len(texts)
         if easy.any():
