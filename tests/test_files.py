@@ -57,7 +57,7 @@ def test_document_round_trip(spark, tmp_path):
 
 def test_names_and_refusals(spark, tmp_path):
     assert files.output_name("/a/b.c.TXT") == "/a/b.c.anon.TXT" and files.output_name("x.pdf", "restored") == "x.restored.txt"
-    assert files.is_supported("A.DOCX") and not files.is_supported("a.exe")
+    assert files.is_supported("A.DOCX") and files.is_supported("a.dat") and not files.is_supported("a.exe") and not files.is_supported("a.xlsm")
     with pytest.raises(ValueError):
         files.read_files(spark, "/nowhere/a.exe")
 
@@ -74,6 +74,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["scan", str(tmp_path / "a.txt")]) == 0
     assert json.loads(capsys.readouterr().out)["hookSpecificOutput"]["permissionDecision"] == "ask"
     assert main(["anonymize", str(tmp_path / "a.bin")]) == 1
+    assert main(["batch", str(tmp_path), "-o", str(tmp_path / "out")]) == 0
+    assert len(list((tmp_path / "out").rglob("a.anon.txt"))) == 1
 
 
 def test_mappings(spark, tmp_path):

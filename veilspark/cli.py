@@ -1,4 +1,4 @@
-"""Command line: ``anonymize FILE``, ``restore FILE -m MAPPING`` and ``scan FILE...``; FILE alone means anonymize."""
+"""Command line: ``anonymize FILE``, ``restore FILE -m MAPPING``, ``scan FILE...`` and ``batch FOLDER -o OUT``; FILE alone means anonymize."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .operators.engine import DeidEngine, decision, mapping_of
 from .operators.rules import WS
 from .operators.span_algebra import restore_once
-from .sources import files
+from .sources import files, sink
 
-COMMANDS = ("anonymize", "anon", "restore", "scan")
+COMMANDS = ("anonymize", "anon", "restore", "scan", "batch")
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -30,6 +30,10 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("-o", "--output")
     s = sub.add_parser("scan")
     s.add_argument("inputs", nargs="+")
+    b = sub.add_parser("batch")
+    b.add_argument("inputs", nargs="+")
+    b.add_argument("-o", "--output", required=True)
+    b.add_argument("--threshold", type=float, default=0.5)
     return p
 
 
@@ -97,10 +101,21 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def batch(spark: SparkSession, a: argparse.Namespace) -> int:
+    """All admitted files of folders, each with its mapping beside it, written by the executors; the others with their reasons."""
+    good, bad = files.admitted(spark, a.inputs, content=True, skipped=(), size_cap=None)
+    rows = sink.output_files(files.anonymize_cells(DeidEngine(threshold=a.threshold).anonymize(good)))
+    n = sink.publish(spark, a.output, sink.write_files(rows, a.output))
+    print(f"{n // 2} files written to {a.output}", file=sys.stderr)
+    for r in bad.toLocalIterator():
+        print(f"{r['path']}: {r['reason']}", file=sys.stderr)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     if argv and argv[0] not in COMMANDS and not (argv[0].startswith("-") and argv[0] != "-"):
         argv = ["anonymize", *argv]
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("veilspark").getOrCreate()
-    return {"anonymize": anonymize, "anon": anonymize, "restore": restore, "scan": scan}[a.command](spark, a)
+    return {"anonymize": anonymize, "anon": anonymize, "restore": restore, "scan": scan, "batch": batch}[a.command](spark, a)

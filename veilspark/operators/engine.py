@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPAN, each, hits, keep, let, lit, none, pin, span
+from ..functions.spans import SPAN, SPANS, cut, each, hits, keep, let, lit, none, pieces, pin, span
 from . import span_algebra as A
 from .address import address_spans
 from .rules import ADDRESS_SCORE, DISPLAY_NAMES, ENTITIES, RULES, Facts, Rule, Soft, rule_spans
@@ -37,16 +37,17 @@ class DeidEngine:
     entities: the types to look for; others cost nothing, as their expressions are never built. threshold: the least
     score. ner: optional recognizer of PERSON, ORG and LOCATION. numbering: ``reverse`` (from the text's end) or
     ``forward``. sweep: also replace undetected further occurrences of found values. soft: how words near a match raise
-    its score, before the threshold is applied and overlaps are cut; None for scores of patterns alone.
+    its score, before the threshold is applied and overlaps are cut; None for scores of patterns alone. allow: values that
+    are left as they are; a person lists them, so they are few (``allowed`` takes a table of them).
 
     A null text gives null results and an empty dictionary. Filters on the input's columns pass below all that is added
     here, down to the scan; filters on added columns never compute these twice.
     """
 
-    def __init__(self, entities: Iterable[str] = ENTITIES, threshold: float = 0.5, rules: Iterable[Rule] = RULES, ner: Ner | None = None, numbering: str = "reverse", sweep: bool = False, soft: Soft | None = Soft()):
+    def __init__(self, entities: Iterable[str] = ENTITIES, threshold: float = 0.5, rules: Iterable[Rule] = RULES, ner: Ner | None = None, numbering: str = "reverse", sweep: bool = False, soft: Soft | None = Soft(), allow: Iterable[str] = ()):
         if numbering not in ("reverse", "forward"):
             raise ValueError(f"unknown numbering {numbering}")
-        self.entities, self.threshold, self.ner, self.numbering, self.sweep, self.soft = tuple(entities), threshold, ner, numbering, sweep, soft
+        self.entities, self.threshold, self.ner, self.numbering, self.sweep, self.soft, self.allow = tuple(entities), threshold, ner, numbering, sweep, soft, tuple(dict.fromkeys(allow))
         self.rules = tuple(r for r in rules if r.entity in self.entities and r.best(soft) >= threshold)
 
     def detect(self, df: DataFrame, text: str = "text") -> DataFrame:
@@ -58,6 +59,9 @@ class DeidEngine:
             names = keep(f"coalesce(_names, {none(SPAN)})", lambda s: f"{s}.entity_type IN ({asked}) AND {s}.score >= {self.threshold}D")
             found = f"concat({found}, {names})"
         merged = let(found, lambda raw: f"CASE WHEN size({raw}) > 0 THEN {A.drop_persons_in_dates(A.merge_touching(raw))} ELSE {raw} END")
+        if self.allow:
+            kept = lambda rows, parts: keep(rows, lambda s: f"NOT ({cut(parts, f'{s}.start', f'{s}.end - {s}.start')} IN ({', '.join(map(lit, self.allow))}))")
+            merged = let(merged, lambda rows: f"CASE WHEN size({rows}) > 0 THEN {let(pieces(f'`{text}`'), lambda parts: kept(rows, parts))} ELSE {rows} END")
         return pin(df, "spans", f"CASE WHEN `{text}` IS NOT NULL THEN {merged} END").drop("_names")
 
     def resolve(self, df: DataFrame, text: str = "text") -> DataFrame:
@@ -95,6 +99,19 @@ def span_rows(df: DataFrame, *keys: str, column: str = "spans", text: str = "tex
     return df.select(*keys, F.col(text).alias("_t"), F.explode(column).alias("s")).select(*keys, "s.entity_type", "s.start", "s.end", "s.score", F.expr(A.value_of("_t", "s")).alias("value"))
 
 
+def allowed(df: DataFrame, values: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Take the spans whose value is in a table (value) out of ``spans``, by an anti-join of span rows; other columns stay.
+
+    ``key`` tells rows apart. A hot value is no hot task: the table's side is distinct, and the rows stay where they are
+    if it is small enough to broadcast.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.explode("spans").alias("s"))
+    rows = rows.select("_k", "s", F.expr(A.value_of("_t", "s")).alias("value")).join(values.select("value").distinct(), "value", "left_anti")
+    kept = rows.groupBy("_k").agg(F.array_sort(F.collect_list("s")).alias("_spans"))
+    out = df.join(kept, F.col(key) == F.col("_k"), "left").withColumn("spans", F.when(F.col("spans").isNotNull(), F.coalesce("_spans", F.array().cast(SPANS))))
+    return out.drop("_k", "_spans")
+
+
 def with_session(df: DataFrame) -> DataFrame:
     """Give each row a session_id under which its mapping is kept."""
     return df.withColumn("session_id", F.uuid())

@@ -1,10 +1,11 @@
-"""Precision, recall and F1 of exact spans."""
+"""Gold spans and how well found ones match them: corpora, precision, recall and F1 of exact spans, gates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CORPUS = "id string, text string, annotations array<struct<entity_type:string,start:int,end:int,text:string>>"
 KEY = ["doc_id", "entity_type", "start", "end"]
 
 
@@ -35,3 +36,50 @@ def aligned(gold: DataFrame, texts: DataFrame) -> DataFrame:
 def summary(rows: DataFrame) -> DataFrame:
     """Metrics as printable lines."""
     return rows.select("entity_type", F.format_string("%-24s P=%.3f R=%.3f F1=%.3f (tp=%d fp=%d fn=%d)", "entity_type", "precision", "recall", "f1", "tp", "fp", "fn").alias("line"))
+
+
+def load_corpus(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(texts, gold) of a JSON corpus (CORPUS): (doc_id, text) and (doc_id, entity_type, start, end, value).
+
+    With ``strict``, a gold span whose value is not the text at its place fails the query that meets it.
+    """
+    rows = spark.read.schema(CORPUS).json(path, multiLine=True).withColumnRenamed("id", "doc_id")
+    gold = rows.select("doc_id", "text", F.explode("annotations").alias("a")).select("doc_id", "text", "a.entity_type", "a.start", "a.end", F.col("a.text").alias("value"))
+    if strict:
+        there = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+        wrong = F.concat(F.lit("sample "), "doc_id", F.lit(": expected "), "value", F.lit(" at ["), "start", F.lit(", "), "end", F.lit("), got "), there)
+        gold = gold.withColumn("value", F.when(there == F.col("value"), F.col("value")).otherwise(F.raise_error(wrong).cast("string")))
+    return rows.select("doc_id", "text"), gold.drop("text")
+
+
+def align(gold: DataFrame, texts: DataFrame) -> DataFrame:
+    """Places for gold values that say only which occurrence they are: (doc_id, entity_type, value, nth) with nth from 1.
+
+    Gives start and end in code points, null where the text has fewer occurrences (which do not overlap). The place
+    comes from the text before the n-th one, so occurrences are neither listed nor paired. One join on doc_id.
+    """
+    before = F.expr("CASE WHEN nth > 0 AND length(value) > 0 THEN length(substring_index(text, value, nth)) END")
+    rows = gold.join(texts.select("doc_id", "text"), "doc_id", "left").withColumn("_at", before)
+    real = F.expr("substring(text, _at + 1, length(value)) = value")
+    rows = rows.withColumn("start", F.when(real, F.col("_at"))).withColumn("end", F.col("start") + F.length("value"))
+    return rows.drop("text", "_at")
+
+
+def gate(rows: DataFrame, precision: float = 0.9, recall: float = 0.9, by_type: dict[str, tuple[float, float]] | None = None, strict: bool = True) -> DataFrame:
+    """Add ``passed`` to rows of ``metrics``: whether a type (or ``__total__``) reaches its least precision and recall.
+
+    ``by_type`` has limits of their own for some types; others and the total have ``precision`` and ``recall``. With
+    ``strict``, a row that does not pass fails the query, naming the type and its figures; so does a type of ``by_type``
+    that has no row.
+    """
+    by_type = by_type or {}
+    limit = lambda i, other: F.coalesce(F.create_map(*[F.lit(x) for k, v in by_type.items() for x in (k, float(v[i]))])[F.col("entity_type")], F.lit(float(other))) if by_type else F.lit(float(other))
+    if by_type:
+        asked = rows.sparkSession.createDataFrame([(k,) for k in by_type], "entity_type string")
+        rows = rows.join(asked, "entity_type", "full_outer")
+    passed = F.coalesce((F.col("precision") >= limit(0, precision)) & (F.col("recall") >= limit(1, recall)), F.lit(False))
+    if strict:
+        figure = lambda c: F.when(F.col(c).isNull(), "none").otherwise(F.format_string("%.3f", c))
+        told = F.format_string("%s: precision %s, recall %s", "entity_type", figure("precision"), figure("recall"))
+        passed = F.when(passed, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("below the gate: "), told)).cast("boolean"))
+    return rows.withColumn("passed", passed)

@@ -7,15 +7,18 @@ apply to ``documents``, SQL finds maximal runs instead, as its patterns have no
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import span_algebra as A
-from ..operators.engine import DeidEngine, decision, gazetteer, mapping_rows, mask_terms, report, restore, span_rows
-from ..operators.evaluate import metrics
+from ..operators.engine import DeidEngine, allowed, decision, gazetteer, mapping_rows, mask_terms, report, restore, span_rows
+from ..operators.evaluate import align, gate, metrics
 from ..operators.names import ModelNames, Names, english_names, pattern_model
+from ..operators.store import MappingStore, audit, unmask
 from ..sources.files import anonymize_cells
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +46,14 @@ CASES: dict[str, tuple[str, str, str, str, str]] = {
 }
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where a local session leaves it unset."""
+    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not got and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return (got or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
 
@@ -199,6 +210,82 @@ def model_names(spark: SparkSession, d: str) -> DataFrame:
     return span_rows(rows, "doc_id").select("doc_id", "entity_type", "start", "end", "score", "value")
 
 
+def threshold_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of at least 0.86 without regard to words around: of the usual four kinds, ids and mobiles stay, e-mail does not."""
+    rows = DeidEngine(threshold=0.86, soft=None).detect(_made(spark, d, _MIX))
+    return span_rows(rows, "doc_id").select("doc_id", "entity_type", "start", "score")
+
+
+# many values in one text, of which half are equal, with digits of full width and a card that is also an account number
+_MANY = f"concat('帳號4111111111111111，', array_join(transform(sequence(1, cast(20 + {K} % 30 as int)), i -> concat('u', cast(i % 10 as string), '@x.org 手機09１２３４５６７', cast(i % 3 as string))), '；'))"
+
+
+def many_values(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with 40 to 100 matches of overlapping rules."""
+    rows = DeidEngine().anonymize(_made(spark, d, _MANY))
+    return rows.select("doc_id", "anonymized", F.size("resolved").cast("long").alias("n_spans"), "roundtrip_ok")
+
+
+def allow_list(spark: SparkSession, d: str) -> DataFrame:
+    """Values that a table allows stay: here the mobile numbers of every third customer."""
+    texts = _made(spark, d, _MIX)
+    values = spark.read.parquet(f"{d}/customer.parquet").filter(f"{K} % 3 = 0").select(F.expr(f"concat('09', {_P8}) AS value"))
+    engine = DeidEngine(allow=["0911222333"])
+    rows = allowed(engine.detect(texts), values, "doc_id")
+    return span_rows(rows, "doc_id").select("doc_id", "entity_type", "start", "value")
+
+
+def _redacted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    done = DeidEngine().anonymize(_made(spark, d, _MIX))
+    return done.select("doc_id", "anonymized"), mapping_rows(done, "doc_id")
+
+
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    """Markers to unmask: of every second customer one mobile, of every fifth one that is not there."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col(K).alias("doc_id"))
+    return rows.filter("doc_id % 2 = 0").withColumn("placeholder", F.lit("<TW_MOBILE_1>")).union(rows.filter("doc_id % 5 = 0").withColumn("placeholder", F.lit("<PERSON_7>")))
+
+
+def partial_unmask(spark: SparkSession, d: str) -> DataFrame:
+    """Only the chosen markers come back; the others keep their numbers."""
+    texts, mapping = _redacted(spark, d)
+    return unmask(texts, mapping, _chosen(spark, d), "doc_id").select("doc_id", "unmasked")
+
+
+def unmask_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What was asked for, and what came of it."""
+    texts, mapping = _redacted(spark, d)
+    return audit(texts, mapping, _chosen(spark, d), "doc_id")
+
+
+def session_store(spark: SparkSession, d: str) -> DataFrame:
+    """Mappings of all customers in two appends, every fifth session purged, then counted as of each version."""
+    store = MappingStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+    done = DeidEngine(entities=["TW_MOBILE"]).anonymize(_made(spark, d, "concat('手機09', p, '，手機0911222333')").withColumn("session_id", F.concat(F.lit("s"), F.col("doc_id").cast("string"))))
+    rows = mapping_rows(done, "session_id", "doc_id")
+    for part in (0, 1):
+        store.append(rows.filter(f"doc_id % 2 = {part}"))
+    store.purge(done.filter("doc_id % 5 = 0").select("session_id"))
+    count = lambda v: store.snapshot(v).agg(F.lit(v).alias("version"), F.countDistinct("session_id").alias("sessions"), F.count("*").alias("markers"))
+    return count(1).union(count(2)).union(count(3))
+
+
+def gold_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Gold values by their number in the text, against what is found there."""
+    texts = _made(spark, d, _MIX)
+    gold = texts.select("doc_id", F.lit("TW_NATIONAL_ID").alias("entity_type"), F.regexp_extract("text", "A1[0-9]{8}", 0).alias("value"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("nth"))
+    return align(gold, texts).select("doc_id", "entity_type", "value", "nth", "start", "end")
+
+
+def gate_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Which types reach their least precision and recall, against gold without the ids of every fourth customer."""
+    texts = _made(spark, d, _MIX)
+    found = span_rows(DeidEngine(entities=["TW_NATIONAL_ID", "EMAIL_ADDRESS"]).detect(texts), "doc_id")
+    gold = texts.filter("doc_id % 4 > 0").select("doc_id", F.lit("TW_NATIONAL_ID").alias("entity_type"), F.regexp_extract("text", "A1[0-9]{8}", 0).alias("value"), F.explode(F.array(F.lit(1), F.lit(2))).alias("nth"))
+    gold = align(gold.union(texts.select("doc_id", F.lit("EMAIL_ADDRESS"), F.regexp_extract("text", "u[0-9]+@example.com", 0), F.lit(1))), texts)
+    return gate(metrics(found, gold), by_type={"EMAIL_ADDRESS": (1.0, 1.0), "PERSON": (0.5, 0.5)}, strict=False).select("entity_type", "tp", "fp", "fn", "passed")
+
+
 def conversation_scan(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")
     found = DeidEngine(entities=["EMAIL_ADDRESS"]).detect(rows)
@@ -220,7 +307,7 @@ QUERIES: dict[str, Query] = detection | {
     f.__name__: f
     for f in (
         scan_documents, detect_email, detect_credit_card_luhn, anonymize_mix, number_forward, mapping_table, anonymize_documents, restore_roundtrip, merge_adjacent, person_over_date_antijoin,
-        resolve_conflicts, cell_replace, counts_by_type, counts_rollup, distinct_values, metrics_prf, known_value_sweep, mask_manual_terms, pre_read_decision, soft_context_threshold, soft_context_scores, model_names,
+        resolve_conflicts, cell_replace, counts_by_type, counts_rollup, distinct_values, metrics_prf, known_value_sweep, mask_manual_terms, pre_read_decision, soft_context_threshold, soft_context_scores, model_names, threshold_scan, many_values, allow_list, partial_unmask, unmask_audit, session_store, gold_alignment, gate_by_type,
         conversation_scan, page_scan,
     )
 }
@@ -261,6 +348,24 @@ FROM k WHERE {K} % 3 < 2 AND CASE {K} % 3 WHEN 1 THEN 3 ELSE 2 END + {K} % 20 <=
     "model_names": f"""WITH n AS (SELECT {K}, {K} % 700 + 3 + {K} % 37 + 1 AS e FROM customer)
 SELECT {K} AS doc_id, 'PERSON' AS entity_type, ({K} % 700)::INTEGER AS start, ({K} % 700 + 3)::INTEGER AS "end", 0.85::DOUBLE AS score, '王小明' AS value FROM n
 UNION ALL SELECT {K}, 'PERSON', e::INTEGER, (e + 10)::INTEGER, 0.8, 'Mary Smith' FROM n WHERE {K} % 2 = 1 UNION ALL SELECT {K}, 'ORG', (e + 11)::INTEGER, (e + 15)::INTEGER, 0.8, 'Acme' FROM n""",
+    "threshold_scan": f"""{_K} SELECT {K} AS doc_id, 'TW_NATIONAL_ID' AS entity_type, unnest([3, 29])::INTEGER AS start, 0.9::DOUBLE AS score FROM k
+UNION ALL SELECT {K}, 'TW_MOBILE', unnest([16, 57 + length({K}::VARCHAR) + 1])::INTEGER, 0.9 FROM k""",
+    "many_values": f"""{_K}, n AS (SELECT {K} AS doc_id, 20 + {K} % 30 AS n FROM k), i AS (SELECT doc_id, n, unnest(generate_series(1, n)) AS i FROM n),
+e AS (SELECT doc_id, i % 10 AS v, max(i) AS last FROM i GROUP BY doc_id, i % 10), en AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY last DESC) AS num FROM e),
+m AS (SELECT doc_id, i % 3 AS v, max(i) AS last FROM i GROUP BY doc_id, i % 3), mn AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY last DESC) AS num FROM m)
+SELECT i.doc_id, '帳號<CREDIT_CARD_1>，' || string_agg('<EMAIL_ADDRESS_' || en.num || '> 手機<TW_MOBILE_' || mn.num || '>', '；' ORDER BY i) AS anonymized, (1 + 2 * max(n))::BIGINT AS n_spans, true AS roundtrip_ok
+FROM i JOIN en ON i.doc_id = en.doc_id AND i.i % 10 = en.v JOIN mn ON i.doc_id = mn.doc_id AND i.i % 3 = mn.v GROUP BY i.doc_id""",
+    "allow_list": f"""{_K} SELECT {K} AS doc_id, 'TW_NATIONAL_ID' AS entity_type, unnest([3, 29])::INTEGER AS start, 'A1' || p AS value FROM k UNION ALL SELECT {K}, 'EMAIL_ADDRESS', 42, 'u' || {K} || '@example.com' FROM k
+UNION ALL SELECT {K}, 'TW_MOBILE', 16, '09' || p FROM k WHERE {K} % 3 > 0""",
+    "partial_unmask": f"""{_K} SELECT {K} AS doc_id, '身分證<TW_NATIONAL_ID_1>，手機<TW_MOBILE_2>，再次<TW_NATIONAL_ID_1>，信箱<EMAIL_ADDRESS_1>，手機' || CASE WHEN {K} % 2 = 0 THEN '0911222333' ELSE '<TW_MOBILE_1>' END AS unmasked FROM k""",
+    "unmask_audit": f"""SELECT {K} AS doc_id, '<TW_MOBILE_1>' AS placeholder, 'TW_MOBILE' AS entity_type, 1::BIGINT AS occurrences, 'unmasked' AS outcome FROM customer WHERE {K} % 2 = 0
+UNION ALL SELECT {K}, '<PERSON_7>', NULL, 0, 'unknown' FROM customer WHERE {K} % 5 = 0""",
+    "session_store": f"""SELECT v::INTEGER AS version, count(*)::BIGINT AS sessions, (2 * count(*))::BIGINT AS markers FROM customer, (VALUES (1), (2), (3)) t(v)
+WHERE (v > 1 OR {K} % 2 = 0) AND (v < 3 OR {K} % 5 > 0) GROUP BY v""",
+    "gold_alignment": f"""{_K} SELECT {K} AS doc_id, 'TW_NATIONAL_ID' AS entity_type, 'A1' || p AS value, unnest([1, 2, 3])::INTEGER AS nth, unnest([3, 29, NULL])::INTEGER AS start, unnest([13, 39, NULL])::INTEGER AS "end" FROM k""",
+    "gate_by_type": f"""WITH c AS (SELECT count(*)::BIGINT AS n, sum(CASE WHEN {K} % 4 > 0 THEN 2 ELSE 0 END)::BIGINT AS ids FROM customer)
+SELECT 'TW_NATIONAL_ID' AS entity_type, ids AS tp, 2 * n - ids AS fp, 0::BIGINT AS fn, ids >= 0.9 * 2 * n AS passed FROM c UNION ALL SELECT 'EMAIL_ADDRESS', n, 0, 0, true FROM c
+UNION ALL SELECT '__total__', n + ids, 2 * n - ids, 0, n + ids >= 0.9 * 3 * n FROM c UNION ALL SELECT 'PERSON', NULL, NULL, NULL, false""",
     "conversation_scan": f"SELECT count(*)::BIGINT AS turns, sum(len(regexp_extract_all(text, '{_MAIL}')))::BIGINT AS found FROM conversations",
     "page_scan": f"SELECT count(*)::BIGINT AS pages, sum(len(regexp_extract_all(html, '{_MAIL}')))::BIGINT AS found FROM pages",
 }

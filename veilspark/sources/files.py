@@ -13,6 +13,7 @@ import json
 import re
 import zipfile
 from collections.abc import Iterable
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -23,8 +24,8 @@ from ..functions.spans import each, let
 from ..operators.span_algebra import replace_values
 
 # The file types that are handled.
-PLAIN = (".txt", ".md", ".csv", ".tsv", ".json", ".xml", ".html", ".htm", ".yaml", ".yml", ".log")
-EXCEL, WORD, PDF = (".xlsx", ".xlsm"), (".docx",), (".pdf",)
+PLAIN = (".txt", ".csv", ".tsv", ".log", ".md", ".dat", ".json", ".xml", ".html", ".htm", ".yaml", ".yml")
+EXCEL, WORD, PDF = (".xlsx",), (".docx",), (".pdf",)
 SUPPORTED = (*PLAIN, *EXCEL, *WORD, *PDF)
 CONTENT = "source_path string, file_type string, text string, cells array<struct<key:string,text:string>>"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -58,7 +59,39 @@ def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
-def _cell_text(c: ET.Element, shared: list[str]) -> str | None:
+#: Number formats that every workbook has for dates and times, and for spans of time.
+_DATES, _SPANS = {*range(14, 23), *range(27, 37), 45, 47, *range(50, 59)}, {46}
+
+
+def _formats(z: zipfile.ZipFile) -> list[str]:
+    """What the numbers of each cell style are: ``date``, ``span`` of time, or nothing special."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    tree = ET.fromstring(z.read("xl/styles.xml"))
+    own = {}
+    for f in tree.iter(f"{_X}numFmt"):
+        code = re.sub(r'"[^"]*"|\\.|_.|\*.', "", f.get("formatCode") or "").split(";")[0].lower()
+        kind = "span" if re.search(r"\[(h+|m+|s+)\]", code) else "date" if re.search("[dmyhs]", re.sub(r"\[[^\]]*\]|general", "", code)) else ""
+        own[int(f.get("numFmtId"))] = kind
+    ids = [int(x.get("numFmtId") or 0) for xfs in tree.findall(f"{_X}cellXfs") for x in xfs]
+    return [own[i] if i in own else "date" if i in _DATES else "span" if i in _SPANS else "" for i in ids]
+
+
+def _number(text: str, kind: str, from_1904: bool) -> str:
+    """A number as a cell shows it: a date and time, a span, an integer or a decimal."""
+    x = float(text)
+    if kind == "span":
+        return str(timedelta(days=x))
+    if kind == "date" and 0 <= x < 2958466:  # the year 10000
+        if x < 1 and not from_1904:
+            return str((datetime.min + timedelta(seconds=round(x * 86400, 3))).time())
+        # the 1900 system counts a 29 February 1900 that never was
+        start = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30) if x >= 60 else datetime(1899, 12, 31)
+        return str(start + timedelta(days=int(x), seconds=round((x - int(x)) * 86400, 3)))
+    return text if re.fullmatch(r"-?\d+", text) else str(int(x)) if x.is_integer() and "e" in text.lower() and abs(x) < 1e15 else str(x)
+
+
+def _cell_text(c: ET.Element, shared: list[str], formats: list[str], from_1904: bool) -> str | None:
     kind, v = c.get("t"), c.find(f"{_X}v")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in c.iter(f"{_X}t"))
@@ -68,16 +101,40 @@ def _cell_text(c: ET.Element, shared: list[str]) -> str | None:
         return shared[int(v.text)]
     if kind == "b":
         return str(v.text == "1")
+    style = int(c.get("s") or 0)
+    if kind in (None, "n"):
+        return _number(v.text, formats[style] if style < len(formats) else "", from_1904)
     return v.text
 
 
+def _elements(z: zipfile.ZipFile, part: str, tag: str) -> Iterable[ET.Element]:
+    """All elements of a tag, as the part streams by."""
+    with z.open(part) as f:
+        held: list[ET.Element] = []
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                held.append(e)
+                continue
+            held.pop()
+            if e.tag == f"{_X}{tag}":
+                yield e
+                e.clear()
+            elif e.tag == f"{_X}row":
+                e.clear()
+                if held:
+                    held[-1].remove(e)
+
+
 def read_xlsx(raw: bytes) -> list[tuple[str, str]]:
-    """(``Sheet!A1``, text) of all filled cells, sheet by sheet and row by row."""
+    """(``Sheet!A1``, text) of all filled cells, sheet by sheet and row by row; numbers in date formats are dates."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_X}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_X}si")]
-        return [(f"{name}!{c.get('r')}", text) for name, part in _sheets(z) for c in ET.fromstring(z.read(part)).iter(f"{_X}c") if (text := _cell_text(c, shared)) is not None]
+            shared = ["".join(t.text or "" for t in si.iter(f"{_X}t")) for si in _elements(z, "xl/sharedStrings.xml", "si")]
+        formats = _formats(z)
+        book = ET.fromstring(z.read("xl/workbook.xml")).find(f"{_X}workbookPr")
+        from_1904 = book is not None and book.get("date1904") in ("1", "true")
+        return [(f"{name}!{c.get('r')}", text) for name, part in _sheets(z) for c in _elements(z, part, "c") if (text := _cell_text(c, shared, formats, from_1904)) is not None]
 
 
 def write_xlsx(raw: bytes, cells: dict[str, str]) -> bytes:
@@ -156,30 +213,86 @@ def _read_pdf(raw: bytes) -> str:
         return "\n".join(t for page in pdf.pages if (t := page.extract_text()))
 
 
-def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row for each file (CONTENT). Unknown types raise ValueError, missing files what Spark raises."""
+def read_files(spark: SparkSession, paths: str | list[str], content: bool = False) -> DataFrame:
+    """One row for each file (CONTENT). Unknown types raise ValueError, missing files what Spark raises.
+
+    ``content`` adds the raw bytes of workbooks and documents, which writing them back needs.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
         if suffix(p) and not any(x in p for x in "*?[{") and not is_supported(p):
             raise ValueError(f"unsupported file type {suffix(p)!r}; supported: {', '.join(sorted(SUPPORTED))}")
         if suffix(p) in PDF and importlib.util.find_spec("pdfplumber") is None:
             raise ImportError("reading PDF needs pdfplumber")
+    return read_content(spark.read.format("binaryFile").load(paths), content)
+
+
+def read_content(files: DataFrame, content: bool = False) -> DataFrame:
+    """The same for rows (path, content), as Spark's ``binaryFile`` gives them."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, raw in zip(b["path"], b["content"]):
-                end = suffix(path)
+                end, kept = suffix(path), None
                 if end in EXCEL or end in WORD:
-                    cells = (read_xlsx if end in EXCEL else read_docx)(raw)
-                    rows.append((path, "excel" if end in EXCEL else "docx", "\n".join(t for _, t in cells), [{"key": k, "text": t} for k, t in cells]))
+                    cells, kept = (read_xlsx if end in EXCEL else read_docx)(raw), raw if content else None
+                    rows.append((path, "excel" if end in EXCEL else "docx", "\n".join(t for _, t in cells), [{"key": k, "text": t} for k, t in cells], kept))
                 elif end in PDF:
-                    rows.append((path, "pdf", _read_pdf(raw), []))
+                    rows.append((path, "pdf", _read_pdf(raw), [], None))
                 elif end in PLAIN:
-                    rows.append((path, "plain", raw.decode("utf-8"), []))
-            yield pd.DataFrame(rows, columns=["source_path", "file_type", "text", "cells"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, CONTENT)
+                    rows.append((path, "plain", raw.decode("utf-8"), [], None))
+            yield pd.DataFrame(rows, columns=["source_path", "file_type", "text", "cells", "content"])[names]
+
+    names = ["source_path", "file_type", "text", "cells", *(["content"] if content else [])]
+    return files.select("path", "content").mapInPandas(run, CONTENT + (", content binary" if content else ""))
+
+
+#: Suffixes of code, settings and binary files that are never looked at.
+SKIPPED = (
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".yaml", ".yml", ".toml", ".md", ".sh", ".css", ".html", ".xml", ".sql", ".go", ".rs", ".java", ".rb", ".swift", ".kt", ".c", ".h", ".cpp", ".hpp",
+    ".lock", ".gitignore", ".env", ".ini", ".cfg", ".conf", ".ipynb", ".whl", ".tar", ".gz", ".zip", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".pdf", ".mp3", ".mp4", ".wav", ".avi",
+)
+SIZE_CAP = 64 * 1024
+
+
+def admission(files: DataFrame, under: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), skipped: tuple[str, ...] = SKIPPED, size_cap: int | None = SIZE_CAP, passed: DataFrame | None = None) -> DataFrame:
+    """Add ``reason``: why a file (path, length) is not looked at, or null if it is.
+
+    ``skipped`` suffixes come first, then files not ``under`` one of the paths (if any), other ``suffixes`` (if any), files
+    over ``size_cap`` bytes, and those in ``passed`` (path), a table of files let through unseen, by a join on the path.
+    Of Spark's ``binaryFile`` only path and length are asked for, so no file is opened. All conditions but the last are
+    native, so ``admission(...).filter("reason IS NULL")`` prunes before any content is read.
+    """
+    # a path's scheme does not count
+    plain = F.regexp_replace("path", "^[a-z][a-z0-9+]*:(?://[^/]*)?(?=/)", "")
+    end = F.lower(F.regexp_extract(plain, r"\.[^./]+$", 0))
+    below = F.lit(False)
+    for p in under:
+        below = below | plain.startswith(p)
+    reason = F.when(end.isin(*skipped), "skipped suffix") if skipped else F.when(F.lit(False), "")
+    if under:
+        reason = reason.when(~below, "outside the paths")
+    reason = reason.when(~end.isin(*suffixes), "other suffix") if suffixes else reason.when(~end.isin(*SUPPORTED), "unsupported suffix")
+    if size_cap is not None:
+        reason = reason.when(F.col("length") > size_cap, "too large")
+    if passed is None:
+        return files.withColumn("reason", reason)
+    known = passed.select("path").distinct().withColumn("_passed", F.lit(True))
+    return files.join(known, "path", "left").withColumn("reason", reason.when(F.col("_passed"), "let through")).drop("_passed")
+
+
+def admitted(spark: SparkSession, paths: str | list[str], content: bool = False, **rules) -> tuple[DataFrame, DataFrame]:
+    """(contents of the files that ``admission`` admits, the others as (path, length, reason)).
+
+    The rejected are listed without being opened. The size condition is a filter on ``length``, which ``binaryFile``
+    takes into its scan, so files over the cap are not opened either.
+    """
+    found = spark.read.format("binaryFile").load(paths)
+    cap = rules.get("size_cap", SIZE_CAP)
+    open_ = found if cap is None else found.filter(F.col("length") <= cap)
+    rejected = admission(found.select("path", "length"), **rules).filter("reason IS NOT NULL")
+    return read_content(admission(open_, **rules).filter("reason IS NULL"), content), rejected.select("path", "length", "reason")
 
 
 def _cells(column: str, old: str, new: str) -> Column:
