@@ -102,7 +102,7 @@ class RankTable:
             pairs = [line.split() for line in f if line.strip()]
         self.bytes_of = {int(i): base64.b64decode(t) for t, i in pairs}
         self.ranks = {v: k for k, v in self.bytes_of.items()}
-        self.keys = list(self.ranks)
+        self.keys, self.ids = list(self.ranks), list(self.ranks.values())
         self.hash = PerfectHash(self.keys)
         self.pattern, self.capacity = pattern, capacity
         self.memo: dict[str, bytes] = {}
@@ -138,7 +138,7 @@ class RankTable:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         out = []
         for key, at in zip(raw, self.hash.key_at[self.hash.slots(raw)].tolist()):
-            ids = [self.ranks[key]] if self.keys[at] == key else self.merge(key)
+            ids = [self.ids[at]] if self.keys[at] == key else self.merge(key)
             out.append(np.array(ids, "<u4").tobytes())
         return out
 
