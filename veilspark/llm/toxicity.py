@@ -1,7 +1,8 @@
 """Operator 3, toxicity by a support vector machine on a gap-weighted subsequence string kernel.
 
 Kernel: two strings are compared by their common subsequences of three letters, each weighted by DECAY to the length it
-spans, normalised. Characters that are not letters only lengthen spans, so "i-d-i-o-t" stays close to "idiot", and an
+spans, normalised. A unit's end counts as a letter, so that a clean word is told from longer ones that begin with it.
+Characters that are not letters only lengthen spans, so "i-d-i-o-t" stays close to "idiot", and an
 inserted letter costs little.
 Nyström: landmarks are words of the training sentences; a string's features are its kernels with the landmarks, times
 the inverse root of the landmarks' own kernel matrix. A linear SVM (squared hinge) is trained on them.
@@ -45,7 +46,8 @@ MARKS, FALSE_MARKS = 256, 0.05  # landmarks among the marks (all marks are posit
 _WORD = re.compile(r"\w(?:[^\x20\x09-\x0D]*\w)?")
 _SPELLED = re.compile(r"\b\w(?:(?:[ \-_*]|\.(?!\s)){1,3}\w\b){2,}")  # as no sentence's end does, it never spans one
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?!\s|$))+")
-GAP, OTHER = 31, 30
+GAP, END = 31, 30
+_END = "\x1f"  # stands after a unit
 
 
 def _codes(units: list[str]) -> np.ndarray:
@@ -53,7 +55,7 @@ def _codes(units: list[str]) -> np.ndarray:
     x = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(units), -1)
     letters = np.array([c.isalpha() for c in map(chr, range(0x250))])
     out = np.where(x >= 0x250, 26 + x % 4, np.where(letters[np.minimum(x, 0x24F)], 26 + x % 4, GAP))
-    return np.where((x >= 97) & (x <= 122), x - 97, out).astype(np.int64)
+    return np.where((x >= 97) & (x <= 122), x - 97, np.where(x == ord(_END), END, out)).astype(np.int64)
 
 
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,7 @@ def pieces(unit: str) -> list[str]:
 
 def features(unit: str) -> dict[int, float]:
     """The normalised weights of a unit's subsequences, by code."""
+    unit += _END
     if len(unit) < 3:
         return {}
     at, weight = _triples(len(unit))
@@ -98,11 +101,11 @@ class Kernel:
         out = np.full(len(units), self.bias)
         by: dict[int, list[int]] = {}
         for i, u in enumerate(units):
-            by.setdefault(len(u), []).append(i)
+            by.setdefault(len(u) + 1, []).append(i)
         for n, rows in by.items():
             if n < 3:
                 continue
-            if n > LONGEST:
+            if n > LONGEST + 1:
                 for i in rows:
                     out[i] = self.fresh(pieces(units[i])).max()
                 continue
@@ -110,7 +113,7 @@ class Kernel:
             step = max(1, 500_000 // len(at))
             for k in range(0, len(rows), step):
                 pick = rows[k : k + step]
-                c = _codes([units[i] for i in pick])
+                c = _codes([units[i] + _END for i in pick])
                 key = (c[:, at[:, 0]] << 10) + (c[:, at[:, 1]] << 5) + c[:, at[:, 2]]
                 w = np.where((c[:, at] == GAP).any(axis=2), 0.0, weight) if (c == GAP).any() else np.broadcast_to(weight, key.shape)
                 raw = (self.weights[key] * w).sum(axis=1)
@@ -275,7 +278,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
             if hard:
                 negative += hard
                 xn = np.concatenate([xn, embed(hard)])
-    # the curve must also place disguised units, of which the documents may hold none
+    # the curve's slope comes from disguised units, too, of which the documents may hold none; its middle from documents alone
     top = np.concatenate([kernel.documents(bags), kernel.fresh(positive)])
     kernel.memo.clear()
     y = np.concatenate([[t for _, t in rows], np.ones(len(positive))]).astype(float)
@@ -289,7 +292,28 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
         h = np.array([[(q * top * top).sum() + 0.01, (q * top).sum()], [(q * top).sum(), q.sum() + 1e-9]])
         move = np.clip(np.linalg.solve(h, g), -1, 1)
         slope, offset = slope - move[0], offset - move[1]
-    return Model(kernel, slope, offset)
+    return Model(kernel, slope, -slope * _cut(top[: len(rows)], y[: len(rows)]))
+
+
+def _cut(top: np.ndarray, y: np.ndarray, slack: float = 0.005) -> float:
+    """Where to part the scores ``top`` of documents: in the middle of the stretch around the best place that is as good within ``slack``.
+
+    Good is the share of toxic documents above plus the share of clean ones below, so a common clean word that scores near
+    the toxic ones moves the place, which the number of either kind does not.
+    """
+    order = np.argsort(top, kind="stable")
+    top, y = top[order], y[order]
+    below = np.cumsum(y == 0) / (y == 0).sum() - np.cumsum(y > 0) / (y > 0).sum()
+    ends = np.flatnonzero(top[1:] > top[:-1])  # the last row of each score but the highest
+    if not len(ends):
+        return float(top[0])
+    good = below[ends] >= below[ends].max() - slack
+    first = last = int(np.argmax(below[ends]))
+    while first > 0 and good[first - 1]:
+        first -= 1
+    while last + 1 < len(ends) and good[last + 1]:
+        last += 1
+    return float(top[ends[first]] + top[ends[last] + 1]) / 2
 
 
 def held_out(doc_id) -> F.Column:
