@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -80,7 +83,22 @@ def text_slices(batches: Iterable[pa.RecordBatch], most: int = 4_000_000) -> Ite
             yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker goes on to other tasks, and what one left would add to the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with this package on the executors."""
+    """``mapInArrow`` with this package on the executors; memory is given back when a task ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
