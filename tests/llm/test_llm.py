@@ -144,10 +144,31 @@ def test_shards(docs, empty, texts):
         total[r["shard"]] += r["size"]
     for s in total:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    heaviest = max(Counter({k: sum(r["size"] for r in rows if r["virtual_slot"] == k) for k in {r["virtual_slot"] for r in rows}}).values())
+    assert max(total.values()) - min(total[s] for s in range(8)) <= heaviest
     assert maps.groupBy("version").count().filter(f"count != {shards.SLOTS}").isEmpty()
     assert shards.shard_documents(empty)[0].count() == 0
 
 
+def test_stored_slot_map(spark, docs, tmp_path):
+    """Each run edits the newest stored version; a further shard takes slots from the others."""
+    path = f"file://{tmp_path}/map"
+    owner = lambda v: {r["virtual_slot"]: r["shard"] for r in spark.read.parquet(f"{path}/version={v}").collect()}
+    _, maps = shards.shard_documents(docs, stored=path)
+    assert [r[0] for r in maps.select("version").distinct().collect()] == [2] and owner(1) == {s: s % 8 for s in range(shards.SLOTS)}
+    rows, _ = shards.shard_documents(docs, stored=path)
+    assert owner(3) == owner(2) and {(r["virtual_slot"], r["shard"]) for r in rows.collect()} <= set(owner(3).items())  # the same sizes: nothing moves
+    more = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    shards.shard_documents(more, shards=9, stored=path)
+    before, after = owner(3), owner(4)
+    moved = {s for s, k in after.items() if before[s] != k}
+    assert moved and len(moved) < shards.SLOTS / 8 and set(after.values()) == set(range(9))
+    none = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert len({r["virtual_slot"] for r in shards.shard_documents(none)[0].collect()}) > 20
+    with pytest.raises(ValueError):
+        shards.edit_stored_map(spark, path, shards.slot_bytes(rows), 8, slots=16)
+
+
 def test_rebalance_evens_and_moves_little():
     rng = random.Random(3)
     weight = {s: rng.randrange(1, 1000) for s in range(512)}
@@ -429,6 +450,25 @@ def test_chat(spark):
     assert chat.render(df.limit(0), chat.maximal(df.limit(0))).count() == 0
 
 
+def test_chat_ties_null_and_clashes_equal_the_sql(spark, tmp_path):
+    """Turns with one number, repeated rows, nulls and further columns: the same as the query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rng, rows = random.Random(2), []
+    for c in range(60):
+        for k in range(rng.randrange(1, 4)):
+            rows += [(c, rng.choice([k, k, 0, None]), rng.choice(["user", "assistant", None]), rng.choice(["b", "a", "", None, "𠮷", "zz"]), "clash", 1, 2)] * rng.randrange(1, 3)
+    rows += [(100, 1, "user", "own b", "", 0, 0), (100, 1, "user", "own a", "", 0, 0), (101, 1, "user", "own a", "", 0, 0), (102, 1, "user", "own b", "", 0, 0)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, h string, k int, p int").repartition(5)
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op9_chat(spark, str(tmp_path))
+    columns = got.columns
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = db.execute(f"SELECT {', '.join(columns)} FROM ({chat.SQL})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want))
+    assert {100, 102} <= {r[columns.index("conv_id")] for r in want} and 101 not in {r[columns.index("conv_id")] for r in want}
+
+
 def brute_copies(pictures, asks):
     """Pairs (query, picture) by all pairs of descriptors, with the votes of the operator."""
     found = {i: media.describe(media.read_image(raw)) for i, raw in pictures.items()}

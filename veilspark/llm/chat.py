@@ -8,7 +8,7 @@ The rolling hash is the xor of hashes of (position, role, text), two of 64 bits,
 CHUNK turns and a conversation that holds a large share of all turns is no single task. Prefix digests are made
 distinct with partial aggregation before the join, so a very common first turn is one row for each task.
 
-Order of turns: turn, then role, then a hash of the text; null turns first. Exactly repeated rows count once.
+Order of turns: turn, then role, then text; null turns first. Exactly repeated rows count once.
 Edge cases: null role and null text count as empty; a null conv_id is a conversation of its own; an empty table gives
 no rows; other columns are ignored. Rendering makes one string of one conversation, which is what the operator returns.
 """
@@ -33,10 +33,11 @@ def _clean(conversations: DataFrame) -> DataFrame:
 def turn_prefixes(conversations: DataFrame) -> DataFrame:
     """(conv_id, k, p, q): digest (p, q) of the first k turns of each conversation."""
     rows = _clean(conversations)
-    slim = rows.select("conv_id", "turn", "role", "h", F.xxhash64(F.lit("second"), "text").alias("g")).distinct()
-    slim = slim.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 60))))
-    inside = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "h", "g")
-    slim = staged(slim.withColumn("rn", F.row_number().over(inside)), "turns")
+    rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 60))))
+    inside = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    # repeated rows get one place and then meet where they are: texts are moved once, and not stored
+    slim = rows.withColumn("rn", F.dense_rank().over(inside)).select("conv_id", "chunk", "turn", "role", "rn", "h", F.xxhash64(F.lit("second"), "text").alias("g")).distinct()
+    slim = staged(slim, "turns")
     over = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = slim.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).select("conv_id", "chunk", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
     firsts = firsts.select(F.col("conv_id").alias("c"), F.col("chunk").alias("d"), "base")
@@ -67,7 +68,7 @@ def render(conversations: DataFrame, kept: DataFrame, template: str = TEMPLATE)
     """(conv_id, n_turns, n_equal, rendered): the kept conversations, each turn through ``template``."""
     rows = _clean(conversations)
     chosen = rows.join(kept.select(F.col("conv_id").alias("keep_id"), "n_turns", "n_equal"), rows["conv_id"].eqNullSafe(F.col("keep_id")))
-    turn = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "h", "text")
+    turn = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text")
     head, mid, tail = template.partition("{role}")[0], template.partition("{role}")[2].partition("{text}")[0], template.partition("{text}")[2]
     one: Column = F.array_join(F.transform(F.array_sort(F.collect_set(turn)), lambda t: F.concat(F.lit(head), t["role"], F.lit(mid), t["text"], F.lit(tail))), "")
     return chosen.groupBy("conv_id", "n_turns", "n_equal").agg(one.alias("rendered"))

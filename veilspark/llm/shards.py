@@ -9,7 +9,7 @@ Law: ``bytes`` (shard sizes near equal). ``slot`` is the row's gapless position
 hash slot. Positions are numbered within a virtual slot and shifted by the slots before it in the shard, so no task
 sees a whole shard; hot sources and groups of copies have different doc_ids and spread over all slots.
 
-Edge cases: null text has size 1 and checksum 0; null doc_ids share a slot; repeated rows stay, each with its own
+Edge cases: null text has size 1 and checksum 0; rows without a doc_id go by a hash of their text; repeated rows stay, each with its own
 position; an empty table gives no rows; other columns are ignored.
 """
 
@@ -66,24 +66,49 @@ def rebalance(current: dict[int, int], weight: dict[int, int], shards: int) -> d
                 total[b] += item[0]
 
 
-def slot_map(spark: SparkSession, sums: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """(version, virtual_slot, shard): version 1 in turn, version 2 edited to the byte sums. At most 2 * slots rows."""
+def slot_map(spark: SparkSession, sums: DataFrame, shards: int, slots: int = SLOTS, kept: dict[int, int] | None = None, version: int = 1) -> DataFrame:
+    """(version, virtual_slot, shard): ``kept`` (by default the slots dealt in turn) as ``version``, and the next one, edited to the byte sums. At most 2 * slots rows."""
     weight = {r["virtual_slot"]: r["bytes"] for r in sums.collect()}
-    first = {s: s % shards for s in range(slots)}
+    first = kept or {s: s % shards for s in range(slots)}
     second = rebalance(first, weight, shards)
-    rows = [(v, s, m[s]) for v, m in ((1, first), (2, second)) for s in range(slots)]
+    rows = [(v, s, m[s]) for v, m in ((version, first), (version + 1, second)) for s in range(slots)]
     return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(rows with size, text_crc32, virtual_slot, shard and slot; the stored slot map)."""
+def edit_stored_map(spark: SparkSession, path: str, sums: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Read the newest version of the map stored at ``path``, edit it to the byte sums, store the next one beside it; gives that.
+
+    Every version is a folder of its own and never written again, so what a version dealt out can be looked up later.
+    The first call stores version 1, slots dealt in turn, and its edit. ``shards`` may be larger than before.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    version = max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=0)
+    kept = {r["virtual_slot"]: r["shard"] for r in spark.read.parquet(f"{path}/version={version}").collect()} if version else None
+    if kept is not None and len(kept) != slots:
+        raise ValueError(f"the stored map has {len(kept)} slots, not {slots}")
+    maps = slot_map(spark, sums, shards, slots, kept, max(version, 1))
+    for v in range(version + 1, max(version, 1) + 2):
+        maps.filter(F.col("version") == v).drop("version").coalesce(1).write.parquet(f"{path}/version={v}")
+    return maps.filter(F.col("version") == max(version, 1) + 1)
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, stored: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with size, text_crc32, virtual_slot, shard and slot; the slot map).
+
+    ``stored``: the folder of a map that earlier runs left and this one edits; else the map starts anew.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = staged(slim.withColumn("virtual_slot", virtual_slot(F.col("doc_id"))), "shard-rows")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    # rows without an id go by their text
+    key = F.when(F.col("doc_id").isNull(), virtual_slot(F.col("h"))).otherwise(virtual_slot(F.col("doc_id")))
+    rows = staged(slim.select("doc_id", "size", "text_crc32", key.alias("virtual_slot")), "shard-rows")
     sums = staged(slot_bytes(rows), "slot-bytes")
-    maps = staged(slot_map(spark, sums, shards), "slot-map")
-    latest = maps.filter("version = 2")
+    maps = edit_stored_map(spark, stored, sums, shards) if stored else slot_map(spark, sums, shards)
+    maps = staged(maps, "slot-map")
+    latest = maps.filter(F.col("version") == maps.agg(F.max("version")).first()[0])
     # SLOTS rows at most: the base of each slot's positions within its shard
     order = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = latest.join(sums, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
