@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -433,6 +434,51 @@ def test_html():
     assert html.extract("<p style='visibility:hidden'>a<span style='visibility:visible'>b</span></p><details><summary>s</summary>h</details>") == "b\n\ns"
 
 
+def test_html_visibility_against_rules():
+    """Random trees: a word shows unless an ancestor has no display, by the nearest ancestor that says so."""
+    rng = random.Random(11)
+    inner = {"ul": ["li"], "ol": ["li"], "table": ["tr", "tbody"], "tbody": ["tr"], "tr": ["td", "th"], "pre": ["i", "b"], "select": []}
+    n = 0
+    for _ in range(400):
+        want = []
+
+        def tree(tag, shown, there, depth, pre):
+            nonlocal n
+            style = rng.choice(["", "", "", "visibility:hidden", "visibility: visible", "display:none", "visibility:collapse"])
+            shown = "visible" in style if style.startswith("visibility") else shown
+            there = there and style != "display:none"
+            out = f'<{tag} style="{style}">'
+            for _ in range(rng.randrange(1, 4)):
+                if rng.random() < 0.5 and tag not in ("table", "tbody", "tr", "ul", "ol") or depth > 5:
+                    if tag in ("table", "tbody", "tr", "ul", "ol"):
+                        continue
+                    n += 1
+                    out += f" w{n} "
+                    want.extend([f"w{n}"] if shown and there else [])
+                elif depth <= 5:
+                    out += tree(rng.choice(inner.get(tag) or (["i", "b"] if pre else ["i", "b", "div", "p", "ul", "ol", "table", "pre"] if tag in ("div", "li", "td", "th", "body") else ["i", "b"])), shown, there, depth + 1, pre or tag == "pre")
+            return out + f"</{tag}>"
+
+        page = tree("div", True, True, 0, False)
+        assert sorted(re.findall(r"w\d+", html.extract(page))) == sorted(want), page
+
+
+def test_html_odd_parts():
+    assert html.extract("<ul>foo <b>bar</b> baz<li>x</ul>") == "  foo bar baz\n- x"
+    assert html.extract("<select><option>a<option selected>b</select> <select multiple><optgroup><option>c</optgroup><option>d</select>") == "b\nc\nd"
+    assert html.extract("<select><option>a<option>b</select>") == "a"
+    assert html.extract("<svg><title>no</title><defs><text>no</text></defs><text>drawn</text></svg><math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>") == "drawn\nx=2"
+    assert html.extract("<object data=x>instead</object>") == "instead"
+    assert html.extract('a<b <i class="x>y</i> z') is not None and "z" in html.extract('a<b <i class="x>y</i> z')
+    for piece in ('<a "', '<a b="', "<", "<p", "<p>x", "<!", "<i>x</i>y ", '<a b="x>'):
+        times = []
+        for k in (4000, 16000):
+            start = time.perf_counter()
+            html.extract(piece * k)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 10 * times[0] + 0.5, piece
+
+
 def test_html_table(spark):
     rows = html.extract_pages(spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (2, None, None)], "page_id long, url string, html string")).collect()
     assert sorted((r["page_id"], r["text"]) for r in rows if r["text"]) == [(1, "x"), (1, "x")] and len(rows) == 3

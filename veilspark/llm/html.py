@@ -6,7 +6,8 @@ out, white space collapses except in preformatted text, blocks stand on own line
 give them margins, list items get markers and indents, and table cells are padded to the width of their columns.
 
 Visibility: elements without display (script, style, head, template and the like), ``hidden``, inline styles with
-``display:none`` or ``visibility:hidden`` (undone below by ``visibility:visible``), closed details and dialogs.
+``display:none`` or ``visibility:hidden`` (undone below by ``visibility:visible``), closed details and dialogs. A closed
+``select`` shows its chosen option; text of drawings and formulas and what stands in for an ``object`` is text.
 
 Edge cases: null html gives null text; empty html or html without visible text gives an empty text; repeated rows stay;
 an empty table gives no rows; other columns are dropped. Trees deeper than DEPTH hang further elements at that depth,
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 DEPTH = 400
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")  # quotes are nothing special
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-GONE = frozenset("head script style template title noscript iframe object audio video canvas svg math datalist noembed noframes select".split())
+GONE = frozenset("head script style template title noscript iframe audio video canvas datalist noembed noframes desc metadata defs symbol clippath mask marker annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure hr".split())
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup html body".split())
@@ -66,7 +68,7 @@ def parse(source: str) -> Node:
                 return False
         return False
 
-    at, end = 0, len(source)
+    at, end, find, over = 0, len(source), _TAG, False
     while at < end:
         lt = source.find("<", at)
         if lt < 0:
@@ -83,7 +85,12 @@ def parse(source: str) -> Node:
             stop = source.find(">", lt)
             at = end if stop < 0 else stop + 1
             continue
-        m = _TAG.match(source, lt)
+        m = None if over else find.match(source, lt)
+        if not m and not over and source[lt + 1 : lt + 3].lstrip("/")[:1].isalpha():
+            # a tag that does not end: from here on quotes do not count, and if no tag ends at all, all is text; so no
+            # part of a page is read again for each of its tags
+            find, over = _PLAIN_TAG, source.find(">", lt) < 0
+            m = None if over else find.match(source, lt)
         if not m:
             stack[-1].children.append("<")
             at = lt + 1
@@ -124,23 +131,25 @@ def width(text: str) -> int:
 
 
 class Lines:
-    """Output under construction: lines, the open line and the margin wanted before the next one."""
+    """Output under construction: lines, the parts of the open line and the margin wanted before the next one."""
 
     def __init__(self):
-        self.done, self.open, self.margin, self.space = [], "", 0, False
+        self.done, self.open, self.margin, self.space = [], [], 0, False
 
     def text(self, s: str) -> None:
         if s[:1].isspace():
             self.space = True
         words = s.split()
         if words:
-            self.open += (" " if self.open and self.space else "") + " ".join(words)
+            if self.open and self.space:
+                self.open.append(" ")
+            self.open.append(" ".join(words))
             self.space = s[-1:].isspace()
 
     def flush(self) -> None:
         if self.open:
-            self.line(self.open)
-        self.open, self.space = "", False
+            self.line("".join(self.open))
+        self.open, self.space = [], False
 
     def line(self, s: str) -> None:
         if self.done:
@@ -163,6 +172,22 @@ def _skipped(node: Node) -> bool:
     return node.tag == "dialog" and "open" not in node.attrs or node.tag == "input" and node.attrs.get("type", "").lower() not in ("submit", "button", "reset")
 
 
+def _shown(node: Node, seen: bool) -> bool:
+    """Whether a node's own text is visible, in a parent whose text is (or is not)."""
+    style = _style(node)
+    if "visibility:hidden" in style or "visibility:collapse" in style:
+        return False
+    return seen or "visibility:visible" in style
+
+
+def _chosen(select: Node) -> list[Node]:
+    """The options that a closed list shows: the last selected one, or the first; all of an open list."""
+    options = [o for c in select.children if isinstance(c, Node) for o in ([c] if c.tag == "option" else c.children if c.tag == "optgroup" and not _skipped(c) else []) if isinstance(o, Node) and o.tag == "option" and not _skipped(o)]
+    if "multiple" in select.attrs or select.attrs.get("size", "1") not in ("", "0", "1"):
+        return options
+    return [o for o in options if "selected" in o.attrs][-1:] or options[:1]
+
+
 def _walk(node: Node, out: Lines, seen: bool) -> None:
     shut = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
@@ -173,15 +198,11 @@ def _walk(node: Node, out: Lines, seen: bool) -> None:
         tag = child.tag
         if _skipped(child) or shut and tag != "summary":
             continue
-        style, shown = _style(child), seen
-        if "visibility:hidden" in style or "visibility:collapse" in style:
-            shown = False
-        elif "visibility:visible" in style:
-            shown = True
+        shown = _shown(child, seen)
         if tag == "br":
             if seen:
-                out.line(out.open)
-                out.open, out.space = "", False
+                out.line("".join(out.open))
+                out.open, out.space = [], False
         elif tag == "input":
             if shown:
                 out.text(child.attrs.get("value", ""))
@@ -192,10 +213,19 @@ def _walk(node: Node, out: Lines, seen: bool) -> None:
             out.block(1)
         elif tag in ("pre", "xmp", "textarea", "listing"):
             out.block(1)
-            if shown:
-                for s in _plain(child).strip("\n").split("\n"):
+            text = _plain(child, shown).strip("\n")
+            if shown or text.strip():
+                for s in text.split("\n"):
                     out.line(s.rstrip())
             out.block(1)
+        elif tag == "select":
+            box = Node("span", {})
+            box.children = _chosen(child)
+            _walk(box, out, shown)
+        elif tag == "text":  # of a drawing
+            out.block(0)
+            _walk(child, out, shown)
+            out.block(0)
         elif tag in ("ul", "ol", "menu", "dir"):
             _list(child, out, shown)
         elif tag == "table":
@@ -215,9 +245,17 @@ def _walk(node: Node, out: Lines, seen: bool) -> None:
             _walk(child, out, shown)
 
 
-def _plain(node: Node) -> str:
-    """Text of preformatted content."""
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if _skipped(c) or "visibility:hidden" in _style(c) else _plain(c) for c in node.children)
+def _plain(node: Node, seen: bool) -> str:
+    """Text of preformatted content; line ends count whether they are visible or not."""
+    parts = []
+    for c in node.children:
+        if isinstance(c, str):
+            parts.append(c if seen else re.sub(r"[^\n]+", "", c))
+        elif c.tag == "br":
+            parts.append("\n")
+        elif not _skipped(c):
+            parts.append(_plain(c, _shown(c, seen)))
+    return "".join(parts)
 
 
 def _inner(node: Node, seen: bool) -> list[str]:
@@ -233,14 +271,19 @@ def _list(node: Node, out: Lines, seen: bool) -> None:
     start = node.attrs.get("start", "1")
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     loose = Node("div", {})
-    for child in node.children:
-        if isinstance(child, str) or child.tag != "li":
-            if isinstance(child, Node) or child.strip():
-                loose.children = [child]
-                for s in _inner(loose, seen):
-                    out.line(f"  {s}")
+
+    def stray() -> None:  # what stands between items is one flow
+        for s in _inner(loose, seen):
+            out.line(f"  {s}" if s else "")
+        loose.children = []
+
+    for child in [*node.children, None]:
+        if child is not None and (isinstance(child, str) or child.tag != "li"):
+            loose.children.append(child)
             continue
-        if _skipped(child):
+        if loose.children:
+            stray()
+        if child is None or _skipped(child):
             continue
         if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")):
             number = int(child.attrs["value"])
@@ -249,19 +292,19 @@ def _list(node: Node, out: Lines, seen: bool) -> None:
         for c in child.children:
             if isinstance(c, Node) and c.tag in ("ul", "ol", "menu", "dir"):
                 c.attrs["\x00nested"] = "1"
-        hide = "visibility:hidden" in _style(child)
-        for i, s in enumerate(_inner(child, seen and not hide)):
+        for i, s in enumerate(_inner(child, _shown(child, seen))):
             out.line((mark if i == 0 else " " * len(mark)) + s if s else "")
     out.block(0 if nested else 1)
 
 
-def _rows(node: Node) -> Iterable[Node]:
+def _rows(node: Node, seen: bool) -> Iterable[tuple[Node, bool]]:
+    """The rows of a table, each with whether its text is visible unless a cell says otherwise."""
     for child in node.children:
         if isinstance(child, Node) and not _skipped(child):
             if child.tag == "tr":
-                yield child
+                yield child, _shown(child, seen)
             elif child.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(child)
+                yield from _rows(child, _shown(child, seen))
 
 
 def _span(node: Node, name: str) -> int:
@@ -275,17 +318,19 @@ def _table(node: Node, seen: bool) -> list[str]:
     stray = Node("div", {})
     stray.children = [c for c in node.children if isinstance(c, str) or c.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col")]
     for part in node.children:
-        if isinstance(part, Node) and part.tag in ("tbody", "thead", "tfoot"):
-            stray.children += [c for c in part.children if isinstance(c, str) or c.tag not in ("tr",)]
+        if isinstance(part, Node) and part.tag in ("tbody", "thead", "tfoot") and not _skipped(part):
+            between = Node("span", {k: v for k, v in part.attrs.items() if k == "style"})
+            between.children = [c for c in part.children if isinstance(c, str) or c.tag not in ("tr",)]
+            stray.children.append(between)
     out += _inner(stray, seen)
     grid: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}
-    for row in _rows(node):
+    for row, row_seen in _rows(node, seen):
         col, cells = 0, []
         loose = [c for c in row.children if (isinstance(c, str) and c.strip()) or (isinstance(c, Node) and c.tag not in ("td", "th"))]
         if loose:
             stray.children = loose
-            out += _inner(stray, seen)
+            out += _inner(stray, row_seen)
         held = dict(taken)
         for cell in row.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th") or _skipped(cell):
@@ -293,8 +338,7 @@ def _table(node: Node, seen: bool) -> list[str]:
             while held.get(col, 0) > 0:
                 col += 1
             wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
-            shown = seen and "visibility:hidden" not in _style(cell) and "visibility:hidden" not in _style(row)
-            cells.append((col, wide, [s for s in _inner(cell, shown) if s]))
+            cells.append((col, wide, [s for s in _inner(cell, _shown(cell, row_seen)) if s]))
             for k in range(col, col + wide):
                 taken[k] = max(taken.get(k, 0), high)
             col += wide
@@ -334,7 +378,7 @@ def extract(source: str | None) -> str | None:
     root = parse(source)
     if _skipped(root):
         return ""
-    return "\n".join(_inner(root, "visibility:hidden" not in _style(root))).strip("\n")
+    return "\n".join(_inner(root, _shown(root, True))).strip("\n")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
