@@ -28,6 +28,7 @@ from .tokens import encoder
 
 BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFR1"
 SEGMENT_IDS = 1 << 18
+REMEMBERED = 1_500_000  # chunks of text in a Python worker, 300 MB
 SEGMENTS = "part long, first long, doc_ids array<long>, lengths array<long>, ids long, payload binary"
 
 
@@ -128,7 +129,7 @@ def decode_segment(payload: bytes, first: int = 0, last: int | None = None) -> n
 
 def _writer(path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        enc, part, done = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, done = encoder(path, REMEMBERED), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], "<u4").tobytes()
         docs, sizes, held = [], [], []
 

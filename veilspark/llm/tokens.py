@@ -184,6 +184,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    return Encoder(path)
+def encoder(path: str, capacity: int = 600_000) -> Encoder:
+    """One encoder for each file and Python worker; a remembered chunk takes some 200 bytes."""
+    return Encoder(path, capacity)
