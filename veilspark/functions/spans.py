@@ -17,7 +17,7 @@ SPAN = "struct<entity_type:string,start:int,end:int,score:double>"
 SPANS = f"array<{SPAN}>"
 HIT = "struct<r:int,start:int,end:int,value:string>"
 _MATCH = "struct<r:int,g:string,m:string,v:string>"
-CHUNK = 64  # elements that a scan gathers before it adds them to its result
+CHUNK = 16  # elements that a scan gathers before it adds them to its result
 PIECE = 256  # code points
 _numbers = itertools.count()
 
@@ -33,9 +33,12 @@ def var() -> str:
 
 
 def let(value: str, body: Callable[[str], str]) -> str:
-    """``body`` with a name for ``value``, which is computed once."""
-    v = var()
-    return f"transform(array({value}), {v} -> {body(v)})[0]"
+    """``body`` with a name for ``value``, which is computed once.
+
+    An aggregate of nothing, of which ``value`` is the start and ``body`` the end: unlike ``transform`` it copies no result.
+    """
+    v, same, x = var(), var(), var()
+    return f"aggregate(array(), {value}, ({same}, {x}) -> {same}, {v} -> {body(v)})"
 
 
 def each(rows: str, body: Callable[[str], str]) -> str:
@@ -55,36 +58,47 @@ def none(kind: str) -> str:
     return f"cast(array() as array<{kind}>)"
 
 
-def scan(rows: str, first: str, kind: str, step: Callable[[str, str], tuple[str, str]]) -> str:
-    """Go through ``rows`` with a carried value: ``step`` of it and a row gives the next and an array of results.
+def scan(rows: str, first: str, kind: str, step: Callable[[str, str], tuple[str, str | None]]) -> str:
+    """Go through ``rows`` with a carried value: ``step`` of it and a row gives the next and a result, which may be null.
 
-    Gives (c, o): the last carried value and all results. Adding to an array copies it, so results are gathered CHUNK rows
-    at a time, and the chunks as an array of arrays; rows are taken by place, as ``slice`` copies, too. So a row costs the
-    same however many there are.
+    Gives (c, o): the last carried value and all results but nulls; None for a result is the carried value itself. Adding to
+    an array copies it, so results are gathered CHUNK rows at a time, and the chunks as an array of arrays; rows are taken by
+    place, as ``slice`` copies, too. So a row costs the same however many there are. Up to CHUNK rows are one chunk.
     """
 
     def run(all_rows: str) -> str:
-        done, k, acc, i = var(), var(), var(), var()
-        carry, out = step(f"{acc}.c", f"{all_rows}[{i}]")
+        def part(places: str, start: str, by_place: bool) -> str:
+            acc, i = var(), var()
+
+            def moved(x: str) -> str:
+                carry, out = step(f"{acc}.c", x)
+                if out is None:
+                    return let(carry, lambda c: f"named_struct('c', {c}, 'o', array_append({acc}.o, {c}))")
+                added = let(out, lambda o: f"CASE WHEN {o} IS NULL THEN {acc}.o ELSE array_append({acc}.o, {o}) END")
+                return f"named_struct('c', {carry}, 'o', {added})"
+
+            body = let(f"{all_rows}[{i}]", moved) if by_place else moved(i)
+            return f"aggregate({places}, named_struct('c', {start}, 'o', {none(kind)}), ({acc}, {i}) -> {body})"
+
+        done, k = var(), var()
         places = f"sequence({k} * {CHUNK}, least({k} * {CHUNK} + {CHUNK - 1}, size({all_rows}) - 1))"
-        part = f"aggregate({places}, named_struct('c', {done}.c, 'o', {none(kind)}), ({acc}, {i}) -> named_struct('c', {carry}, 'o', concat({acc}.o, {out})))"
-        both = let(part, lambda p: f"named_struct('c', {p}.c, 'o', concat({done}.o, array({p}.o)))")
+        both = let(part(places, f"{done}.c", True), lambda p: f"named_struct('c', {p}.c, 'o', array_append({done}.o, {p}.o))")
         end = f"{done} -> named_struct('c', {done}.c, 'o', flatten({done}.o))"
         chunks = f"sequence(0, cast((size({all_rows}) - 1) div {CHUNK} as int))"
         whole = f"aggregate({chunks}, named_struct('c', {first}, 'o', {none(f'array<{kind}>')}), ({done}, {k}) -> {both}, {end})"
-        return f"CASE WHEN size({all_rows}) > 0 THEN {whole} ELSE named_struct('c', {first}, 'o', {none(kind)}) END"
+        return f"CASE WHEN size({all_rows}) > {CHUNK} THEN {whole} ELSE {part(all_rows, first, False)} END"
 
     return let(rows, run)
 
 
 def joined(rows: str, kind: str, step: Callable[[str, str], tuple[str, str]]) -> str:
-    """Scan with the last element open: ``step`` of it and the next gives a new open one and an array of closed ones."""
+    """Scan with the last element open: ``step`` of it and the next gives a new open one and a closed one, which may be null."""
 
     def start(open_: str, x: str) -> tuple[str, str]:
         carry, closed = step(open_, x)
-        return f"CASE WHEN {open_} IS NULL THEN {x} ELSE {carry} END", f"CASE WHEN {open_} IS NULL THEN {none(kind)} ELSE {closed} END"
+        return f"CASE WHEN {open_} IS NULL THEN {x} ELSE {carry} END", f"CASE WHEN {open_} IS NOT NULL THEN {closed} END"
 
-    return let(scan(rows, f"cast(null as {kind})", kind, start), lambda r: f"CASE WHEN {r}.c IS NULL THEN {r}.o ELSE concat({r}.o, array({r}.c)) END")
+    return let(scan(rows, f"cast(null as {kind})", kind, start), lambda r: f"CASE WHEN {r}.c IS NULL THEN {r}.o ELSE array_append({r}.o, {r}.c) END")
 
 
 def pin(df: DataFrame, name: str, value: str | Column) -> DataFrame:
@@ -98,6 +112,15 @@ def pin(df: DataFrame, name: str, value: str | Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in rest], F.explode_outer(F.array(value)).alias(name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores: for rows of few bytes and much work, which a scan, cut by bytes, leaves in one task.
+
+    Put it below what adds columns, where rows are narrow. Filters above it still reach the scan.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def span(entity: str, start: str, end: str, score: str) -> str:
     """One span; ``entity`` is SQL text, too."""
     return f"named_struct('entity_type', {entity}, 'start', cast({start} as int), 'end', cast({end} as int), 'score', cast({score} as double))"
@@ -111,7 +134,8 @@ def pieces(text: str) -> str:
 def cut(parts: str, start: str, size: str) -> str:
     """``size`` code points from ``start`` of a text in ``pieces``."""
     first, last = f"cast(({start}) div {PIECE} as int)", f"cast(({start} + greatest({size}, 0)) div {PIECE} as int)"
-    return f"substring(array_join(transform(sequence({first}, {last}), k -> get({parts}, k)), ''), ({start}) % {PIECE} + 1, greatest({size}, 0))"
+    joint = f"CASE WHEN {first} = {last} THEN coalesce(get({parts}, {first}), '') ELSE array_join(transform(sequence({first}, {last}), k -> get({parts}, k)), '') END"
+    return f"substring({joint}, ({start}) % {PIECE} + 1, greatest({size}, 0))"
 
 
 def hits(text: str, patterns: list[tuple[str, int, str | None]]) -> str:
@@ -129,12 +153,12 @@ def hits(text: str, patterns: list[tuple[str, int, str | None]]) -> str:
             rows = f"zip_with({rows}, regexp_extract_all({text}, {p}, {group}), (x, v) -> named_struct('r', {r}, 'g', x.g, 'm', x.m, 'v', v))"
         parts.append(f"CASE WHEN {f'{when} AND ' if when else ''}{text} rlike {p} THEN {rows} ELSE {none(_MATCH)} END")
 
-    def step(c: str, x: str) -> tuple[str, str]:
-        end = f"CASE WHEN {c}.r = {x}.r THEN {c}.at ELSE 0 END + length({x}.g) + length({x}.m)"
-        return f"named_struct('r', {x}.r, 'at', {end})", let(end, lambda e: f"array(named_struct('r', {x}.r, 'start', {e} - length({x}.v), 'end', {e}, 'value', {x}.v))")
+    def step(c: str, x: str) -> tuple[str, None]:
+        end = f"CASE WHEN {c}.r = {x}.r THEN {c}.end ELSE 0 END + length({x}.g) + length({x}.m)"
+        return let(end, lambda e: f"named_struct('r', {x}.r, 'start', {e} - length({x}.v), 'end', {e}, 'value', {x}.v)"), None
 
     def some(rows: str) -> str:
-        return f"CASE WHEN size({rows}) > 0 THEN {scan(rows, "named_struct('r', -1, 'at', 0)", HIT, step)}.o ELSE {none(HIT)} END"
+        return f"CASE WHEN size({rows}) > 0 THEN {scan(rows, f"cast(null as {HIT})", HIT, step)}.o ELSE {none(HIT)} END"
 
     return let(keep(f"concat({', '.join(parts)})", lambda x: f"{x}.m IS NOT NULL"), some) if parts else none(HIT)
 
@@ -150,9 +174,13 @@ _WORD, _BETWEEN = r"(?:[\p{L}\p{Nd}&&[^\p{IsHan}]]++|\p{IsHan}{1,2}+)", r"[^\p{L
 
 
 def words_near(parts: str, hit: str, before: int, after: int, reach: int = 60) -> str:
-    """The last ``before`` words ahead of a hit and the first ``after`` behind it, within ``reach`` characters, lower-cased."""
+    """The last ``before`` words ahead of a hit and the first ``after`` behind it, within ``reach`` characters, lower-cased.
+
+    Those ahead are taken from the reversed text, so the pattern is tried at one place: runs of letters, and of Han characters
+    in twos, make as many words from either end.
+    """
     low = f"greatest({hit}.start - {reach}, 0)"
-    left = f"regexp_extract({cut(parts, low, f'{hit}.start - {low}')}, {lit(f'(?:{_WORD}{_BETWEEN}){{0,{before}}}\\z')}, 0)"
+    left = f"reverse(regexp_extract(reverse({cut(parts, low, f'{hit}.start - {low}')}), {lit(f'^(?:{_BETWEEN}{_WORD}){{0,{before}}}')}, 0))"
     right = f"regexp_extract({cut(parts, f'{hit}.end', str(reach))}, {lit(f'^(?:{_BETWEEN}{_WORD}){{0,{after}}}')}, 0)"
     return f"lower(concat({left if before else lit('')}, '\\n', {right if after else lit('')}))"
 

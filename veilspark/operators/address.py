@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.spans import SPAN, cut, each, hits, joined, keep, let, lit, none, pieces, span
-from .rules import ADDRESS_GAP, ADDRESS_JOINTS, ADDRESS_SCORE, TIERS
+from .rules import ADDRESS_GAP, ADDRESS_JOINTS, ADDRESS_SCORE, TIER_SIGNS, TIERS
 
 _RUN = "struct<start:int,end:int,tier:int,many:boolean>"
 
@@ -11,8 +11,8 @@ _RUN = "struct<start:int,end:int,tier:int,many:boolean>"
 def address_tokens(text: str, han: str) -> str:
     """(start, -end, tier) of all tokens, in order. ``han``: whether the text has Han characters; others are not searched."""
     tiers = f"array({', '.join(str(tier) for tier, _ in TIERS)})"
-    rows = hits(text, [(p, 0, han) for _, p in TIERS])
-    return f"array_sort({each(rows, lambda h: f"named_struct('start', {h}.start, 'back', -{h}.end, 'tier', {tiers}[{h}.r])")})"
+    rows = hits(text, [(p, 0, f"{han} AND {text} rlike {lit(TIER_SIGNS[tier])}") for tier, p in TIERS])
+    return f"sort_array({each(rows, lambda h: f"named_struct('start', {h}.start, 'back', -{h}.end, 'tier', {tiers}[{h}.r])")})"
 
 
 def address_spans(text: str, han: str) -> str:
@@ -27,7 +27,7 @@ def address_spans(text: str, han: str) -> str:
             falls = f"{t}.tier < {last}.tier AND {gap} <= {ADDRESS_GAP} AND {cut(parts, f'{last}.end', gap)} rlike {lit(ADDRESS_JOINTS)}"
             longer = run(f"{last}.start", f"{t}.end", f"{t}.tier", "true")
             carry = f"CASE WHEN {t}.start < {last}.end THEN {last} WHEN {falls} THEN {longer} ELSE {t} END"
-            return carry, f"CASE WHEN {t}.start < {last}.end OR {falls} THEN {none(_RUN)} ELSE array({last}) END"
+            return carry, f"CASE WHEN {t}.start < {last}.end OR {falls} THEN null ELSE {last} END"
 
         return each(keep(joined(every, _RUN, step), lambda r: f"{r}.many"), lambda r: span(lit("TW_ADDRESS"), f"{r}.start", f"{r}.end", str(ADDRESS_SCORE)))
 

@@ -50,7 +50,7 @@ class ModelNames:
         """SQL text: (start, first, last, text, cuts) of a text's windows; cuts are the places in it where a space was taken out."""
 
         def padded(raw: str, rest: str) -> str:
-            parts = lambda segments: scan(segments, "0", "int", lambda at, x: (f"{at} + length({x})", f"array({at} + length({x}))"))
+            parts = lambda segments: scan(segments, "0", "int", lambda at, x: (f"{at} + length({x})", None))
             cuts = lambda segments: f"named_struct({rest}, 'text', array_join({segments}, ''), 'cuts', slice({parts(segments)}.o, 1, size({segments}) - 1))"
             return f"CASE WHEN contains({raw}, '　') THEN {let(f'split({raw}, {lit(PAD)}, -1)', cuts)} ELSE named_struct({rest}, 'text', {raw}, 'cuts', {none('int')}) END"
 

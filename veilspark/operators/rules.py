@@ -185,4 +185,6 @@ TIERS: list[tuple[int, str]] = [
     (2, rf"{N}+(?:樓|層)|[Ff]{N}+"),
     (1, rf"{N}+(?:室|房)|第?[一二三四五六七八九十\p{{Nd}}]+單元"),
 ]
+#: Characters of which each token of a tier has one: a text without them is not searched for it.
+TIER_SIGNS = {9: "[市縣]", 8: "[鄉鎮區]", 7: "[路街道]", 6: "[巷弄]", 5: "號", 4: "[樓廈區心場]", 3: "[棟幢座館]", 2: "[樓層Ff]", 1: "[室房元]"}
 ADDRESS_SCORE, ADDRESS_GAP, ADDRESS_JOINTS = 0.85, 4, rf"^(?:{WS}|[,，、])*$"

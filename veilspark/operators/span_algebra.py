@@ -20,9 +20,9 @@ def merge_touching(spans: str) -> str:
     def step(p: str, s: str) -> tuple[str, str]:
         joins = f"{p}.entity_type = {s}.entity_type AND {s}.start <= {p}.end"
         both = span(f"{p}.entity_type", f"{p}.start", f"greatest({p}.end, {s}.end)", f"greatest({p}.score, {s}.score)")
-        return f"CASE WHEN {joins} THEN {both} ELSE {s} END", f"CASE WHEN {joins} THEN {none(SPAN)} ELSE array({p}) END"
+        return f"CASE WHEN {joins} THEN {both} ELSE {s} END", f"CASE WHEN {joins} THEN null ELSE {p} END"
 
-    return joined(f"array_sort({spans})", SPAN, step)
+    return joined(f"sort_array({spans})", SPAN, step)
 
 
 def drop_persons_in_dates(spans: str) -> str:
@@ -41,25 +41,26 @@ def drop_contained(spans: str) -> str:
     From left to right, wider and better spans first, a span is inside another if an earlier one ends no sooner: one
     running maximum, no pairs.
     """
-    order = " ".join(f"WHEN x.{n} {a} y.{n} THEN -1 WHEN x.{n} {b} y.{n} THEN 1" for n, a, b in (("start", "<", ">"), ("end", ">", "<"), ("score", ">", "<"), ("entity_type", ">", "<")))
+    order = f"sort_array({each(spans, lambda s: f"named_struct('back', -{s}.start, 'end', {s}.end, 'score', {s}.score, 'entity_type', {s}.entity_type)")}, false)"
+    rows = each(order, lambda s: span(f"{s}.entity_type", f"-{s}.back", f"{s}.end", f"{s}.score"))
 
     def step(p: str, s: str) -> tuple[str, str]:  # p: of all before, the one that ends last
         new = f"({p} IS NULL OR {s}.end > {p}.end OR {s} = {p})"
-        return f"CASE WHEN {new} THEN {s} ELSE {p} END", f"CASE WHEN {new} THEN array({s}) ELSE {none(SPAN)} END"
+        return f"CASE WHEN {new} THEN {s} ELSE {p} END", f"CASE WHEN {new} THEN {s} END"
 
-    return f"array_sort({scan(f'array_sort({spans}, (x, y) -> CASE {order} ELSE 0 END)', f'cast(null as {SPAN})', SPAN, step)}.o)"
+    return f"sort_array({scan(rows, f'cast(null as {SPAN})', SPAN, step)}.o)"
 
 
 def clip_overlaps(spans: str) -> str:
     """Left to right, cut the lower score of two overlapping spans; what becomes empty goes."""
-    order = f"array_sort({each(spans, lambda s: f"named_struct('start', {s}.start, 'end', {s}.end, 'entity_type', {s}.entity_type, 'score', {s}.score)")})"
+    order = f"sort_array({each(spans, lambda s: f"named_struct('start', {s}.start, 'end', {s}.end, 'entity_type', {s}.entity_type, 'score', {s}.score)")})"
     rows = each(order, lambda s: span(f"{s}.entity_type", f"{s}.start", f"{s}.end", f"{s}.score"))
 
     def step(p: str, s: str) -> tuple[str, str]:
         later = span(f"{s}.entity_type", f"greatest({p}.end, {s}.start)", f"{s}.end", f"{s}.score")
         shorter = span(f"{p}.entity_type", f"{p}.start", f"least({p}.end, {s}.start)", f"{p}.score")
         overlap = f"{s}.start < {p}.end"
-        return f"CASE WHEN {overlap} AND {p}.score >= {s}.score THEN {later} ELSE {s} END", f"CASE WHEN {overlap} AND {p}.score < {s}.score THEN array({shorter}) ELSE array({p}) END"
+        return f"CASE WHEN {overlap} AND {p}.score >= {s}.score THEN {later} ELSE {s} END", f"CASE WHEN {overlap} AND {p}.score < {s}.score THEN {shorter} ELSE {p} END"
 
     return keep(joined(rows, SPAN, step), lambda s: f"{s}.start < {s}.end")
 
@@ -70,7 +71,7 @@ def merge_over_spaces(parts: str, spans: str) -> str:
     def step(p: str, s: str) -> tuple[str, str]:
         joins = f"{p}.entity_type = {s}.entity_type AND {cut(parts, f'{p}.end', f'{s}.start - {p}.end')} rlike '^ +$'"
         both = span(f"{p}.entity_type", f"{p}.start", f"{s}.end", f"greatest({p}.score, {s}.score)")
-        return f"CASE WHEN {joins} THEN {both} ELSE {s} END", f"CASE WHEN {joins} THEN {none(SPAN)} ELSE array({p}) END"
+        return f"CASE WHEN {joins} THEN {both} ELSE {s} END", f"CASE WHEN {joins} THEN null ELSE {p} END"
 
     return joined(spans, SPAN, step)
 
@@ -92,23 +93,23 @@ def numbered(values: str) -> str:
     A value has the type of its first place and is numbered among the values of that type in order of first places. Equal
     values meet by a sort; a second one, by type and first place, numbers them.
     """
-    by_value = f"array_sort(transform({values}, (x, i) -> named_struct('value', x.value, 'i', i, 'entity_type', x.entity_type)))"
+    by_value = f"sort_array(transform({values}, (x, i) -> named_struct('value', x.value, 'i', i, 'entity_type', x.entity_type)))"
 
-    def first(c: str, x: str) -> tuple[str, str]:
+    def first(c: str, x: str) -> tuple[str, None]:
         known = f"({c}.value <=> {x}.value)"
         mine = f"named_struct('i', {x}.i, 'value', {x}.value, 'entity_type', CASE WHEN {known} THEN {c}.entity_type ELSE {x}.entity_type END, 'first', CASE WHEN {known} THEN {c}.first ELSE {x}.i END)"
-        return mine, f"array({mine})"
+        return mine, None
 
     placed = f"{scan(by_value, f'cast(null as {_VALUE})', _VALUE, first)}.o"
-    by_type = f"array_sort({each(placed, lambda x: f"named_struct('entity_type', {x}.entity_type, 'first', {x}.first, 'i', {x}.i, 'value', {x}.value)")})"
+    by_type = f"sort_array({each(placed, lambda x: f"named_struct('entity_type', {x}.entity_type, 'first', {x}.first, 'i', {x}.i, 'value', {x}.value)")})"
 
-    def ordinal(c: str, x: str) -> tuple[str, str]:
+    def ordinal(c: str, x: str) -> tuple[str, None]:
         new = f"({x}.i = {x}.first)"
         n = f"CASE WHEN {c}.entity_type <=> {x}.entity_type THEN {c}.ordinal + cast({new} as int) ELSE 1 END"
         mine = f"named_struct('i', {x}.i, 'value', {x}.value, 'entity_type', {x}.entity_type, 'ordinal', {n}, 'new', {new})"
-        return mine, f"array({mine})"
+        return mine, None
 
-    return f"array_sort({scan(by_type, f'cast(null as {_NUMBERED})', _NUMBERED, ordinal)}.o)"
+    return f"sort_array({scan(by_type, f'cast(null as {_NUMBERED})', _NUMBERED, ordinal)}.o)"
 
 
 def _mark(x: str) -> str:
@@ -154,9 +155,9 @@ def restore_once(text: str, entries: str) -> str:
 
         def look(c: str, x: str) -> tuple[str, str]:
             known = f"{c}.token <=> {x}.token"
-            return f"CASE WHEN {x}.i < 0 THEN named_struct('token', {x}.token, 'value', {x}.value) ELSE {c} END", f"CASE WHEN {x}.i < 0 THEN {none(_PLACED)} ELSE array(named_struct('i', {x}.i, 'value', CASE WHEN {known} THEN coalesce({c}.value, {x}.token) ELSE {x}.token END)) END"
+            return f"CASE WHEN {x}.i < 0 THEN named_struct('token', {x}.token, 'value', {x}.value) ELSE {c} END", f"CASE WHEN {x}.i >= 0 THEN named_struct('i', {x}.i, 'value', CASE WHEN {known} THEN coalesce({c}.value, {x}.token) ELSE {x}.token END) END"
 
-        found = f"array_sort({scan(f'array_sort({rows})', "cast(null as struct<token:string,value:string>)", _PLACED, look)}.o)"
+        found = f"sort_array({scan(f'sort_array({rows})', "cast(null as struct<token:string,value:string>)", _PLACED, look)}.o)"
         return f"array_join(zip_with(split({text}, '{TOKEN}', -1), {found}, (g, f) -> concat(g, coalesce(f.value, ''))), '')"
 
     return f"CASE WHEN {text} rlike '{TOKEN}' THEN {let(f"regexp_extract_all({text}, '{TOKEN}', 0)", run)} ELSE {text} END"

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import spread
 from ..operators import span_algebra as A
 from ..operators.engine import DeidEngine, allowed, decision, gazetteer, mapping_rows, mask_terms, report, restore, span_rows
 from ..operators.evaluate import align, gate, metrics
@@ -58,9 +59,14 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
 
 
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' keys, over all cores: millions of them fit one split of the scan, and each becomes a text to search."""
+    return spread(spark.read.parquet(f"{d}/customer.parquet").select(K))
+
+
 def _made(spark: SparkSession, d: str, text: str) -> DataFrame:
     """(doc_id, text) from customers' keys."""
-    return spark.read.parquet(f"{d}/customer.parquet").select(K, F.expr(f"{_P8} AS p")).select(F.col(K).alias("doc_id"), F.expr(f"{text} AS text"))
+    return _keys(spark, d).select(K, F.expr(f"{_P8} AS p")).select(F.col(K).alias("doc_id"), F.expr(f"{text} AS text"))
 
 
 def _case(name: str) -> tuple[Query, str]:
@@ -123,7 +129,7 @@ def restore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
     """Touching spans of one type join; others stay."""
     span = lambda kind, a, b: f"named_struct('entity_type', '{kind}', 'start', cast({a} as int), 'end', cast({b} as int), 'score', 0.5D)"
-    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col(K).alias("doc_id"), F.expr(f"array({span('B', 0, 5)}, {span('B', f'5 + {K} % 3', 9)}, {span('A', 2, 4)}) AS s"))
+    rows = _keys(spark, d).select(F.col(K).alias("doc_id"), F.expr(f"array({span('B', 0, 5)}, {span('B', f'5 + {K} % 3', 9)}, {span('A', 2, 4)}) AS s"))
     return rows.select("doc_id", F.explode(F.expr(A.merge_touching("s"))).alias("s")).select("doc_id", "s.entity_type", "s.start", "s.end")
 
 
@@ -136,7 +142,7 @@ def person_over_date_antijoin(spark: SparkSession, d: str) -> DataFrame:
 def resolve_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps of different types: contained spans go, partial ones are cut at the lower score."""
     span = lambda kind, a, b, s: f"named_struct('entity_type', '{kind}', 'start', cast({a} as int), 'end', cast({b} as int), 'score', {s}D)"
-    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col(K).alias("doc_id"), F.lit("x" * 30).alias("text"), F.expr(f"array({span('A', 0, 10, 0.9)}, {span('B', f'4 + {K} % 10', 14, 0.5)}, {span('C', 2, 5, 0.95)}) AS spans"))
+    rows = _keys(spark, d).select(F.col(K).alias("doc_id"), F.lit("x" * 30).alias("text"), F.expr(f"array({span('A', 0, 10, 0.9)}, {span('B', f'4 + {K} % 10', 14, 0.5)}, {span('C', 2, 5, 0.95)}) AS spans"))
     out = DeidEngine().resolve(rows)
     return out.select("doc_id", F.explode("resolved").alias("s")).select("doc_id", "s.entity_type", "s.start", "s.end")
 
