@@ -62,3 +62,13 @@ def test_signs_lose_no_token(spark):
 @pytest.mark.parametrize("n", [1, 40])
 def test_spread_keeps_rows(spark, n):
     assert sorted(r[0] for r in spread(spark.range(n).coalesce(1)).collect()) == list(range(n))
+
+
+def test_addresses_before_a_full_stop(spark):
+    """E-mail addresses are those that a search without look-around finds, in time that grows with the text."""
+    from veilspark.operators.engine import DeidEngine, span_rows
+
+    texts = ["write to ann@example.com.", "ann@mail7.example.</p>", "ann@example.com1", "ann@example.com@x.org", "@ann@example.com", "no@valid", "a" * 300000, "x@y.org..z@y.org, q@y.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = span_rows(DeidEngine(entities=["EMAIL_ADDRESS"]).detect(df), "doc_id").orderBy("doc_id", "start").collect()
+    assert [(r["doc_id"], r["value"]) for r in rows] == [(0, "ann@example.com"), (1, "ann@mail7.example"), (2, "ann@example.com"), (3, "ann@example.com"), (4, "ann@example.com"), (7, "x@y.org..z@y.org"), (7, "q@y.org")]

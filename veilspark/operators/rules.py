@@ -152,7 +152,8 @@ RULES: list[Rule] = [
     Rule("TW_LANDLINE", "landline in brackets", rf"\(0[2-8]\){WS}*{N}{{4}}(?:-|{WS})?{N}{{4}}", 0.85, hint=_contains("(0")),
     Rule("TW_LANDLINE", "landline with hyphen", rf"(?<!{N})0[2-8]-{N}{{7,8}}(?!{N})", 0.85, hint=_eight),
     Rule("TW_BUSINESS_ID", "business number", rf"(?<!{N}){N}{{8}}(?!{N})", 0.85, keywords=BUSINESS_WORDS, check=_mof, hint=_eight),
-    Rule("EMAIL_ADDRESS", "e-mail", r"(?<![A-Za-z0-9.@])[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}(?![A-Za-z0-9.@])", 0.85, hint=_contains("@"), soft=("信箱", "電郵", "email", "e-mail", "郵件", "寄信")),
+    # any maximal address, also before a full stop or a digit; \G: right after another one
+    Rule("EMAIL_ADDRESS", "e-mail", r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", 0.85, hint=_contains("@"), soft=("信箱", "電郵", "email", "e-mail", "郵件", "寄信")),
     Rule("CREDIT_CARD", "card", r"(?<!\d)(?!1\d{12}(?!\d))(?:4\d{3}|5[0-5]\d{2}|6\d{3}|1\d{3}|3\d{3})[- ]?\d{3,4}[- ]?\d{3,4}[- ]?\d{3,5}(?!\d)", 1.0, check=_luhn, hint=_four),
     Rule("TW_LICENSE_PLATE", "plate", r"(?<![A-Za-z0-9])[A-Z]{2,3}-[0-9]{4}(?![A-Za-z0-9])", 0.85, keywords=PLATE_WORDS),
     Rule("TW_LICENSE_PLATE", "plate, number first", r"(?<![0-9])[0-9]{3,4}-[A-Z]{2}(?![A-Za-z0-9])", 0.85, keywords=PLATE_WORDS),
