@@ -72,3 +72,33 @@ def test_addresses_before_a_full_stop(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = span_rows(DeidEngine(entities=["EMAIL_ADDRESS"]).detect(df), "doc_id").orderBy("doc_id", "start").collect()
     assert [(r["doc_id"], r["value"]) for r in rows] == [(0, "ann@example.com"), (1, "ann@mail7.example"), (2, "ann@example.com"), (3, "ann@example.com"), (4, "ann@example.com"), (7, "x@y.org..z@y.org"), (7, "q@y.org")]
+
+
+def test_shortcuts_of_disjoint_spans(spark):
+    """Spans that are apart keep their places in order; those that meet, are empty or lie in another are resolved as ever."""
+    from veilspark.functions.spans import SPANS
+    from veilspark.operators import span_algebra as A
+
+    rng, text, rows = random.Random(11), "ab  cd ef   gh", []
+    for _ in range(600):
+        starts = [rng.randrange(len(text)) for _ in range(rng.randrange(6))]
+        rows.append(([(rng.choice("AB"), a, min(a + rng.randrange(4), len(text)), rng.choice([0.5, 0.9])) for a in starts],))
+    df = spark.createDataFrame(rows, f"s {SPANS}")
+    whole = lambda s: A.clip_overlaps(A.drop_contained(s))
+    got = df.select("s", F.expr(A.resolve(lit(text), "s")).alias("r"), F.expr(whole("s")).alias("w"), F.expr(A.merge_touching("s")).alias("m")).collect()
+    for r in got:
+        want = []
+        for x in map(tuple, r["w"]):
+            gap = text[want[-1][2] : x[1]] if want else ""
+            if want and want[-1][0] == x[0] and gap and not gap.strip(" "):
+                want[-1] = (x[0], want[-1][1], x[2], max(want[-1][3], x[3]))
+            else:
+                want.append(x)
+        assert [tuple(x) for x in r["r"]] == want
+        merged = []
+        for x in sorted(map(tuple, r["s"])):
+            if merged and merged[-1][0] == x[0] and x[1] <= merged[-1][2]:
+                merged[-1] = (x[0], merged[-1][1], max(merged[-1][2], x[2]), max(merged[-1][3], x[3]))
+            else:
+                merged.append(x)
+        assert [tuple(x) for x in r["m"]] == merged

@@ -5,6 +5,8 @@ All are sorts and scans, so a text's cost grows with the number of its spans (ti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from ..functions.spans import SPAN, cut, each, joined, keep, let, none, pieces, scan, span
 
 DICT = "array<struct<original:string,entity_type:string,ordinal:int,placeholder:string>>"
@@ -22,7 +24,13 @@ def merge_touching(spans: str) -> str:
         both = span(f"{p}.entity_type", f"{p}.start", f"greatest({p}.end, {s}.end)", f"greatest({p}.score, {s}.score)")
         return f"CASE WHEN {joins} THEN {both} ELSE {s} END", f"CASE WHEN {joins} THEN null ELSE {p} END"
 
-    return joined(f"sort_array({spans})", SPAN, step)
+    meet = lambda a, b: f"{a}.entity_type = {b}.entity_type AND {b}.start <= {a}.end"
+    return let(f"sort_array({spans})", lambda rows: f"CASE WHEN {_some_pair(rows, meet)} THEN {joined(rows, SPAN, step)} ELSE {rows} END")
+
+
+def _some_pair(rows: str, holds: Callable[[str, str], str]) -> str:
+    """Whether a condition holds for any two neighbours."""
+    return f"size({rows}) > 1 AND exists(sequence(1, size({rows}) - 1), i -> {holds(f'{rows}[i - 1]', f'{rows}[i]')})"
 
 
 def drop_persons_in_dates(spans: str) -> str:
@@ -73,12 +81,20 @@ def merge_over_spaces(parts: str, spans: str) -> str:
         both = span(f"{p}.entity_type", f"{p}.start", f"{s}.end", f"greatest({p}.score, {s}.score)")
         return f"CASE WHEN {joins} THEN {both} ELSE {s} END", f"CASE WHEN {joins} THEN null ELSE {p} END"
 
-    return joined(spans, SPAN, step)
+    near = lambda a, b: f"{a}.entity_type = {b}.entity_type AND {b}.start > {a}.end"
+    return let(spans, lambda rows: f"CASE WHEN {_some_pair(rows, near)} THEN {joined(rows, SPAN, step)} ELSE {rows} END")
 
 
 def resolve(text: str, spans: str) -> str:
     """The disjoint spans that replacement uses, in order of place."""
-    some = lambda s: let(pieces(text), lambda parts: merge_over_spaces(parts, clip_overlaps(drop_contained(s))))
+
+    def disjoint(s: str) -> str:
+        """Spans that are disjoint as they are only need their order."""
+        order = each(f"sort_array({each(s, lambda x: f"named_struct('start', {x}.start, 'span', {x})")})", lambda x: f"{x}.span")
+        apart = lambda rows: f"forall({rows}, s -> s.start < s.end) AND NOT ({_some_pair(rows, lambda a, b: f'{b}.start < {a}.end')})"
+        return let(order, lambda rows: f"CASE WHEN {apart(rows)} THEN {rows} ELSE {clip_overlaps(drop_contained(s))} END")
+
+    some = lambda s: let(pieces(text), lambda parts: let(disjoint(s), lambda rows: merge_over_spaces(parts, rows)))
     return let(spans, lambda s: f"CASE WHEN size({s}) > 0 THEN {some(s)} ELSE {s} END")
 
 
