@@ -102,3 +102,77 @@ def test_shortcuts_of_disjoint_spans(spark):
             else:
                 merged.append(x)
         assert [tuple(x) for x in r["m"]] == merged
+
+
+def test_scan_over_levels(spark):
+    """Running sums at sizes around the bounds of blocks of chunks."""
+    sizes = [b + k for b in (CHUNK**2, 2 * CHUNK**2) for k in (-CHUNK, -1, 0, 1, CHUNK + 1)] + [5000]
+    df = spark.createDataFrame([([*range(n)],) for n in sizes], "a array<int>")
+    third = scan("a", "0L", "bigint", lambda c, x: (f"{c} + {x}", f"CASE WHEN {x} % 3 = 0 THEN {c} + {x} END"))
+    for a, t in df.select("a", F.expr(third)).collect():
+        sums = [i * (i + 1) // 2 for i in a]
+        assert (t["c"], t["o"]) == (sums[-1], sums[::3])
+
+
+def test_long_texts_grow_with_their_values(spark):
+    """Carried results are not copied at each chunk: four times the elements take much less than sixteen times as long."""
+    import time
+
+    def took(n: int) -> float:
+        df = spark.range(1).selectExpr(f"transform(sequence(1, {n}), x -> repeat('x', 20 + cast(x % 7 as int))) AS a")
+        out = df.select(F.expr(scan("a", "cast(null as string)", "string", lambda c, x: (x, x))).alias("s")).select(F.size("s.o"))
+        begin = time.perf_counter()
+        assert out.collect() == [(n,)]
+        return time.perf_counter() - begin
+
+    took(1000)
+    assert took(64000) < 9 * max(took(16000), 0.05)
+
+
+def test_numbers_of_few_and_many_values(spark):
+    """Looking values up and sorting them give the same numbers."""
+    from veilspark.operators import span_algebra as A
+
+    rng = random.Random(13)
+    rows = [([(rng.choice("abcdé𠮷") * rng.randrange(1, 3), rng.choice("XYZ")) for _ in range(rng.randrange(40))],) for _ in range(300)]
+    df = spark.createDataFrame(rows, "v array<struct<value:string,entity_type:string>>")
+    for v, few, many in df.select("v", F.expr(A.numbered_few("v")), F.expr(A.numbered_many("v"))).collect():
+        kinds, numbers, counts, want = {}, {}, {}, []
+        for i, (value, kind) in enumerate(map(tuple, v)):
+            new = value not in kinds
+            if new:
+                kinds[value] = kind
+                numbers[value] = counts[kind] = counts.get(kind, 0) + 1
+            want.append((i, value, kinds[value], numbers[value], new))
+        assert [tuple(x) for x in few] == [tuple(x) for x in many] == want
+
+
+def test_originals_of_few_and_many_entries(spark):
+    """Marks without an entry stay, of two values for a mark the last counts, a null value counts as none."""
+    from veilspark.operators import span_algebra as A
+
+    rng = random.Random(17)
+    entries = [[(f"<A_{rng.randrange(6)}>" if rng.random() < 0.95 else None, rng.choice(["x", "y", None, "<A_1>"])) for _ in range(rng.randrange(8))] for _ in range(300)]
+    rows = [([f"<A_{rng.randrange(8)}>" for _ in range(rng.randrange(6))], e) for e in entries]
+    df = spark.createDataFrame(rows, "m array<string>, e array<struct<key:string,value:string>>")
+    for m, e, few, many in df.select("m", "e", F.expr(A.originals_few("m", "e")), F.expr(A.originals_many("m", "e"))).collect():
+        last = {k: max((v for q, v in map(tuple, e) if q == k and v is not None), default=k) for k, _ in map(tuple, e)}
+        assert few == many == [last.get(x, x) for x in m]
+
+
+def test_offsets_of_several_patterns(spark):
+    """Each pattern's places count from the text's begin, also with groups, over chunks, and after patterns that do not end it."""
+    import re
+
+    from veilspark.functions.spans import hits
+
+    text = "".join(f"k{i}={i * 7},字𠮷" for i in range(60))
+    own = [(r"k[0-9]+", 0), (r"=([0-9]+)", 1), (r"nothing", 0), (r"𠮷", 0)]
+    got = spark.createDataFrame([(text,)], "t string").select(F.explode(F.expr(hits("t", [(p, g, None) for p, g in own])))).select("col.*").collect()
+    assert [tuple(r) for r in got] == [(r, m.start(g), m.end(g), m[g]) for r, (p, g) in enumerate(own) for m in re.finditer(p, text)]
+
+
+def test_words_that_hold_others_are_not_looked_for():
+    from veilspark.functions.spans import has_any, shortest
+
+    assert shortest(("車牌", "牌照", "車", "車號", "車")) == ("牌照", "車") and has_any("t", ("ab", "b")).count("contains") == 1

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 SPAN = "struct<entity_type:string,start:int,end:int,score:double>"
 SPANS = f"array<{SPAN}>"
 HIT = "struct<r:int,start:int,end:int,value:string>"
-_MATCH = "struct<r:int,g:string,m:string,v:string>"
-CHUNK = 16  # elements that a scan gathers before it adds them to its result
+_MATCH = "struct<r:int,n:int,v:string>"
+CHUNK = 16  # elements that a scan gathers before it adds them to the next level, and of these to its result
 PIECE = 256  # code points
 _numbers = itertools.count()
 
@@ -61,9 +61,10 @@ def none(kind: str) -> str:
 def scan(rows: str, first: str, kind: str, step: Callable[[str, str], tuple[str, str | None]]) -> str:
     """Go through ``rows`` with a carried value: ``step`` of it and a row gives the next and a result, which may be null.
 
-    Gives (c, o): the last carried value and all results but nulls; None for a result is the carried value itself. Adding to
-    an array copies it, so results are gathered CHUNK rows at a time, and the chunks as an array of arrays; rows are taken by
-    place, as ``slice`` copies, too. So a row costs the same however many there are. Up to CHUNK rows are one chunk.
+    Gives (c, o): the last carried value and all results but nulls; None for a result is the carried value itself. A fold
+    copies all it carries at each step, so results are gathered in three levels: CHUNK rows, CHUNK of these, and all, as
+    arrays of arrays; rows are taken by place, as ``slice`` copies, too. A result is so copied CHUNK times or so, and once
+    more for each 2 * CHUNK * CHUNK rows. Up to CHUNK rows are one chunk. Keep results slim.
     """
 
     def run(all_rows: str) -> str:
@@ -80,12 +81,19 @@ def scan(rows: str, first: str, kind: str, step: Callable[[str, str], tuple[str,
             body = let(f"{all_rows}[{i}]", moved) if by_place else moved(i)
             return f"aggregate({places}, named_struct('c', {start}, 'o', {none(kind)}), ({acc}, {i}) -> {body})"
 
-        done, k = var(), var()
-        places = f"sequence({k} * {CHUNK}, least({k} * {CHUNK} + {CHUNK - 1}, size({all_rows}) - 1))"
-        both = let(part(places, f"{done}.c", True), lambda p: f"named_struct('c', {p}.c, 'o', array_append({done}.o, {p}.o))")
-        end = f"{done} -> named_struct('c', {done}.c, 'o', flatten({done}.o))"
-        chunks = f"sequence(0, cast((size({all_rows}) - 1) div {CHUNK} as int))"
-        whole = f"aggregate({chunks}, named_struct('c', {first}, 'o', {none(f'array<{kind}>')}), ({done}, {k}) -> {both}, {end})"
+        last = f"size({all_rows}) - 1"
+
+        def level(places: str, start: str, width: int) -> str:
+            """The blocks of ``width`` rows with these numbers, one after the other."""
+            done, k = var(), var()
+            within = lambda n: f"sequence({k} * {CHUNK}, least({k} * {CHUNK} + {CHUNK - 1}, cast(({last}) div {n} as int)))"
+            inner = part(within(1), f"{done}.c", True) if width == CHUNK else level(within(width // CHUNK), f"{done}.c", width // CHUNK)
+            both = let(inner, lambda p: f"named_struct('c', {p}.c, 'o', array_append({done}.o, {p}.o))")
+            end = f"{done} -> named_struct('c', {done}.c, 'o', flatten({done}.o))"
+            return f"aggregate({places}, named_struct('c', {start}, 'o', {none(f'array<{kind}>')}), ({done}, {k}) -> {both}, {end})"
+
+        block = CHUNK * CHUNK
+        whole = level(f"sequence(0, cast(({last}) div {block} as int))", first, block)
         return f"CASE WHEN size({all_rows}) > {CHUNK} THEN {whole} ELSE {part(all_rows, first, False)} END"
 
     return let(rows, run)
@@ -142,25 +150,25 @@ def hits(text: str, patterns: list[tuple[str, int, str | None]]) -> str:
     """All matches of Java patterns (pattern, group, condition), as (r, start, end, value): r is the pattern's place in the list.
 
     With a group, that group is the hit; it must end the match. A pattern is only tried where its condition holds. Gaps
-    (``split``) and matches alternate, so their lengths give exact code-point offsets; one scan does it for all patterns.
+    (``split``) and matches alternate, so their lengths give exact code-point offsets; one scan of lengths does it for all.
     """
     parts = []
     for r, (pattern, group, when) in enumerate(patterns):
         p = lit(pattern)
         found = f"regexp_extract_all({text}, {p}, 0)"
-        rows = f"zip_with(split({text}, {p}, -1), {found}, (g, m) -> named_struct('r', {r}, 'g', g, 'm', m, 'v', m))"
+        rows = f"zip_with(split({text}, {p}, -1), {found}, (g, m) -> named_struct('r', {r}, 'n', length(g) + length(m), 'v', m))"
         if group:
-            rows = f"zip_with({rows}, regexp_extract_all({text}, {p}, {group}), (x, v) -> named_struct('r', {r}, 'g', x.g, 'm', x.m, 'v', v))"
+            rows = f"zip_with({rows}, regexp_extract_all({text}, {p}, {group}), (x, v) -> named_struct('r', {r}, 'n', x.n, 'v', v))"
         parts.append(f"CASE WHEN {f'{when} AND ' if when else ''}{text} rlike {p} THEN {rows} ELSE {none(_MATCH)} END")
 
-    def step(c: str, x: str) -> tuple[str, None]:
-        end = f"CASE WHEN {c}.r = {x}.r THEN {c}.end ELSE 0 END + length({x}.g) + length({x}.m)"
-        return let(end, lambda e: f"named_struct('r', {x}.r, 'start', {e} - length({x}.v), 'end', {e}, 'value', {x}.v)"), None
-
     def some(rows: str) -> str:
-        return f"CASE WHEN size({rows}) > 0 THEN {scan(rows, f"cast(null as {HIT})", HIT, step)}.o ELSE {none(HIT)} END"
+        # a pattern's first length is written as -1 - n: there the sum begins anew
+        lengths = f"transform({rows}, (x, i) -> CASE WHEN i > 0 AND {rows}[greatest(i - 1, 0)].r = x.r THEN x.n ELSE -1 - x.n END)"
+        ends = f"{scan(lengths, '0', 'int', lambda c, n: (f'CASE WHEN {n} < 0 THEN -1 - {n} ELSE {c} + {n} END', None))}.o"
+        placed = lambda e: f"transform({rows}, (x, i) -> named_struct('r', x.r, 'start', {e}[i] - length(x.v), 'end', {e}[i], 'value', x.v))"
+        return f"CASE WHEN size({rows}) > 0 THEN {let(ends, placed)} ELSE {none(HIT)} END"
 
-    return let(keep(f"concat({', '.join(parts)})", lambda x: f"{x}.m IS NOT NULL"), some) if parts else none(HIT)
+    return let(keep(f"concat({', '.join(parts)})", lambda x: f"{x}.n IS NOT NULL"), some) if parts else none(HIT)
 
 
 def around(parts: str, hit: str, reach: int = 50) -> str:
@@ -185,8 +193,14 @@ def words_near(parts: str, hit: str, before: int, after: int, reach: int = 60) -
     return f"lower(concat({left if before else lit('')}, '\\n', {right if after else lit('')}))"
 
 
+def shortest(words: tuple[str, ...]) -> tuple[str, ...]:
+    """The words without those that hold another of them: a text with any of the ones has any of the others."""
+    return tuple(w for w in dict.fromkeys(words) if not any(o in w for o in words if o != w))
+
+
 def has_any(text: str, words: tuple[str, ...]) -> str:
-    """Whether any of the words is a substring."""
+    """Whether any of the words is a substring. A word that holds another needs no look of its own."""
+    words = shortest(words)
     return "(" + " OR ".join(f"contains({text}, {lit(w)})" for w in words) + ")" if words else "false"
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from ..functions.spans import SPAN, around, each, has_any, hits, keep, let, lit, mof_valid, none, pieces, span, words_near
+from ..functions.spans import SPAN, around, each, has_any, hits, keep, let, lit, mof_valid, none, pieces, shortest, span, words_near
 
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"
 N = r"\p{Nd}"
@@ -68,7 +68,7 @@ class Rule:
 
 
 def _words(words: tuple[str, ...]) -> str:
-    return f"array({', '.join(map(lit, words))})" if words else none("string")
+    return f"array({', '.join(map(lit, shortest(words)))})" if words else none("string")
 
 
 def rule_spans(rules: tuple[Rule, ...], text: str, facts: Facts, soft: Soft | None = None, threshold: float = 0.0) -> str:

@@ -1,6 +1,7 @@
 """Merging, conflicts, numbering, replacement and restoration of spans within a row, as SQL text.
 
 All are sorts and scans, so a text's cost grows with the number of its spans (times its logarithm), not with the square.
+Up to FEW spans are looked up in plain arrays instead, which gives the same at less cost.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from ..functions.spans import SPAN, cut, each, joined, keep, let, none, pieces,
 
 DICT = "array<struct<original:string,entity_type:string,ordinal:int,placeholder:string>>"
 TOKEN = "<[A-Z_]+_[0-9]+>"
+FEW = 128
 _VALUE = "struct<i:int,value:string,entity_type:string,first:int>"
 _NUMBERED = "struct<i:int,value:string,entity_type:string,ordinal:int,new:boolean>"
 _PLACED = "struct<i:int,value:string>"
@@ -106,9 +108,25 @@ def value_of(text: str, s: str) -> str:
 def numbered(values: str) -> str:
     """Each (value, entity_type) of a list with its number, in order: (i, value, entity_type, ordinal, new).
 
-    A value has the type of its first place and is numbered among the values of that type in order of first places. Equal
-    values meet by a sort; a second one, by type and first place, numbers them.
+    A value has the type of its first place and is numbered among the values of that type in order of first places.
     """
+    return let(values, lambda v: f"CASE WHEN size({v}) <= {FEW} THEN {numbered_few(v)} ELSE {numbered_many(v)} END")
+
+
+def numbered_few(values: str) -> str:
+    """``numbered`` for a short list: first places are looked up among the values, numbers among first places by type."""
+
+    def run(firsts: str) -> str:
+        heads = f"sort_array(transform(filter({firsts}, (f, i) -> f = i), f -> named_struct('entity_type', {values}[f].entity_type, 'first', f)))"
+        kind = f"{values}[{firsts}[i]].entity_type"
+        ordinal = lambda h: f"cast(array_position({h}.first, {firsts}[i]) - array_position({h}.entity_type, {kind}) + 1 as int)"
+        return let(heads, lambda h: f"transform({values}, (x, i) -> named_struct('i', i, 'value', x.value, 'entity_type', {kind}, 'ordinal', {ordinal(h)}, 'new', {firsts}[i] = i))")
+
+    return let(f"transform({values}, x -> cast(array_position({values}.value, x.value) - 1 as int))", run)
+
+
+def numbered_many(values: str) -> str:
+    """``numbered`` for any list: equal values meet by a sort; a second one, by type and first place, numbers them."""
     by_value = f"sort_array(transform({values}, (x, i) -> named_struct('value', x.value, 'i', i, 'entity_type', x.entity_type)))"
 
     def first(c: str, x: str) -> tuple[str, None]:
@@ -163,20 +181,30 @@ def replaced(text: str, spans: str, reverse: bool = True) -> str:
 def restore_once(text: str, entries: str) -> str:
     """Replace placeholders by ``entries`` (key: placeholder, value: original) in one pass: restored values are not read again.
 
-    Marks and entries meet by a sort. Of entries for one placeholder the last in order of values counts.
+    Of entries for one placeholder the last in order of values counts.
     """
 
     def run(marks: str) -> str:
-        rows = f"concat({each(entries, lambda e: f"named_struct('token', {e}.key, 'i', -1, 'value', {e}.value)")}, transform({marks}, (m, i) -> named_struct('token', m, 'i', i, 'value', cast(null as string))))"
+        either = lambda e: f"CASE WHEN size({e}) <= {FEW} THEN {originals_few(marks, e)} ELSE {originals_many(marks, e)} END"
+        return f"array_join(zip_with(split({text}, '{TOKEN}', -1), {let(entries, either)}, (g, o) -> concat(g, coalesce(o, ''))), '')"
 
-        def look(c: str, x: str) -> tuple[str, str]:
-            known = f"{c}.token <=> {x}.token"
-            return f"CASE WHEN {x}.i < 0 THEN named_struct('token', {x}.token, 'value', {x}.value) ELSE {c} END", f"CASE WHEN {x}.i >= 0 THEN named_struct('i', {x}.i, 'value', CASE WHEN {known} THEN coalesce({c}.value, {x}.token) ELSE {x}.token END) END"
+    return f"CASE WHEN {text} rlike '{TOKEN}' THEN {let(f"regexp_extract_all({text}, '{TOKEN}', 0)", run)} ELSE {text} END"
 
-        found = f"sort_array({scan(f'sort_array({rows})', "cast(null as struct<token:string,value:string>)", _PLACED, look)}.o)"
-        return f"array_join(zip_with(split({text}, '{TOKEN}', -1), {found}, (g, f) -> concat(g, coalesce(f.value, ''))), '')"
 
-    return f"CASE WHEN {text} rlike '{TOKEN}' THEN {let(f"regexp_extract_all({text}, '{TOKEN}', 0)", run)} ELSE {text} END"
+def originals_few(marks: str, entries: str) -> str:
+    """What stands for each mark, by looking it up among few entries; a mark without an entry stands for itself."""
+    return let(f"sort_array({entries}, false)", lambda e: f"transform({marks}, m -> coalesce(get({e}.value, cast(array_position({e}.key, m) as int) - 1), m))")
+
+
+def originals_many(marks: str, entries: str) -> str:
+    """The same for any number of entries: marks and entries meet by a sort."""
+    rows = f"concat({each(entries, lambda e: f"named_struct('token', {e}.key, 'i', -1, 'value', {e}.value)")}, transform({marks}, (m, i) -> named_struct('token', m, 'i', i, 'value', cast(null as string))))"
+
+    def look(c: str, x: str) -> tuple[str, str]:
+        known = f"{c}.token <=> {x}.token"
+        return f"CASE WHEN {x}.i < 0 THEN named_struct('token', {x}.token, 'value', {x}.value) ELSE {c} END", f"CASE WHEN {x}.i >= 0 THEN named_struct('i', {x}.i, 'value', CASE WHEN {known} THEN coalesce({c}.value, {x}.token) ELSE {x}.token END) END"
+
+    return f"sort_array({scan(f'sort_array({rows})', "cast(null as struct<token:string,value:string>)", _PLACED, look)}.o).value"
 
 
 def as_entries(rows: str) -> str:
