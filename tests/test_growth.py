@@ -176,3 +176,20 @@ def test_words_that_hold_others_are_not_looked_for():
     from veilspark.functions.spans import has_any, shortest
 
     assert shortest(("車牌", "牌照", "車", "車號", "車")) == ("牌照", "車") and has_any("t", ("ab", "b")).count("contains") == 1
+
+
+@pytest.mark.parametrize("name", ["allow_list"])
+def test_texts_are_searched_once(spark, tmp_path, name):
+    """What is joined with itself comes from stored rows: no plan holds the search for spans."""
+    spark.range(100).selectExpr("id AS c_custkey", "'x' AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    plan = Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(text" not in plan
+
+
+def test_allowed_with_a_null_key(spark):
+    """A row without a key keeps the spans that are not allowed."""
+    from veilspark.operators.engine import DeidEngine, allowed, span_rows
+
+    df = spark.createDataFrame([(1, "手機0911222333"), (None, "手機0911222333，手機0911222444")], "k int, text string")
+    values = spark.createDataFrame([("0911222333",)], "value string")
+    assert [tuple(r) for r in span_rows(allowed(DeidEngine().detect(df), values, "k"), "k").select("k", "value").collect()] == [(None, "0911222444")]

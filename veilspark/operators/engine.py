@@ -102,13 +102,13 @@ def span_rows(df: DataFrame, *keys: str, column: str = "spans", text: str = "tex
 def allowed(df: DataFrame, values: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Take the spans whose value is in a table (value) out of ``spans``, by an anti-join of span rows; other columns stay.
 
-    ``key`` tells rows apart. A hot value is no hot task: the table's side is distinct, and the rows stay where they are
-    if it is small enough to broadcast.
+    ``key`` tells rows apart; one of them may be null. A hot value is no hot task: the table's side is distinct, and the
+    rows stay where they are if it is small enough to broadcast. ``df`` is read twice: store what is costly first.
     """
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.explode("spans").alias("s"))
     rows = rows.select("_k", "s", F.expr(A.value_of("_t", "s")).alias("value")).join(values.select("value").distinct(), "value", "left_anti")
     kept = rows.groupBy("_k").agg(F.array_sort(F.collect_list("s")).alias("_spans"))
-    out = df.join(kept, F.col(key) == F.col("_k"), "left").withColumn("spans", F.when(F.col("spans").isNotNull(), F.coalesce("_spans", F.array().cast(SPANS))))
+    out = df.join(kept, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("spans", F.when(F.col("spans").isNotNull(), F.coalesce("_spans", F.array().cast(SPANS))))
     return out.drop("_k", "_spans")
 
 
