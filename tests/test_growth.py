@@ -178,7 +178,7 @@ def test_words_that_hold_others_are_not_looked_for():
     assert shortest(("車牌", "牌照", "車", "車號", "車")) == ("牌照", "車") and has_any("t", ("ab", "b")).count("contains") == 1
 
 
-@pytest.mark.parametrize("name", ["allow_list"])
+@pytest.mark.parametrize("name", ["allow_list", "partial_unmask", "unmask_audit"])
 def test_texts_are_searched_once(spark, tmp_path, name):
     """What is joined with itself comes from stored rows: no plan holds the search for spans."""
     spark.range(100).selectExpr("id AS c_custkey", "'x' AS c_name").write.parquet(f"{tmp_path}/customer.parquet")

@@ -249,7 +249,7 @@ def allow_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _redacted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    done = DeidEngine().anonymize(_made(spark, d, _MIX))
+    done = _kept(spark, DeidEngine().anonymize(_made(spark, d, _MIX)).select("doc_id", "anonymized", "entries"))
     return done.select("doc_id", "anonymized"), mapping_rows(done, "doc_id")
 
 
