@@ -186,6 +186,16 @@ def test_texts_are_searched_once(spark, tmp_path, name):
     assert "regexp_extract_all(text" not in plan
 
 
+def test_purge_searches_no_text(spark, tmp_path, monkeypatch):
+    from veilspark.operators.store import MappingStore
+
+    plans = []
+    monkeypatch.setattr(MappingStore, "purge", lambda self, s, purge=MappingStore.purge: (plans.append(s._jdf.queryExecution().optimizedPlan().toString()), purge(self, s))[1])
+    spark.range(100).selectExpr("id AS c_custkey", "'x' AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [tuple(r) for r in Q.session_store(spark, str(tmp_path)).collect()] == [(1, 50, 100), (2, 100, 200), (3, 80, 160)]
+    assert len(plans) == 1 and "regexp_extract_all" not in plans[0]
+
+
 def test_allowed_with_a_null_key(spark):
     """A row without a key keeps the spans that are not allowed."""
     from veilspark.operators.engine import DeidEngine, allowed, span_rows

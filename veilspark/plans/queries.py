@@ -274,11 +274,11 @@ def unmask_audit(spark: SparkSession, d: str) -> DataFrame:
 def session_store(spark: SparkSession, d: str) -> DataFrame:
     """Mappings of all customers in two appends, every fifth session purged, then counted as of each version."""
     store = MappingStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
-    done = DeidEngine(entities=["TW_MOBILE"]).anonymize(_made(spark, d, "concat('手機09', p, '，手機0911222333')").withColumn("session_id", F.concat(F.lit("s"), F.col("doc_id").cast("string"))))
-    rows = mapping_rows(done, "session_id", "doc_id")
+    texts = _made(spark, d, "concat('手機09', p, '，手機0911222333')").withColumn("session_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")))
+    rows = mapping_rows(DeidEngine(entities=["TW_MOBILE"]).anonymize(texts), "session_id", "doc_id")
     for part in (0, 1):
         store.append(rows.filter(f"doc_id % 2 = {part}"))
-    store.purge(done.filter("doc_id % 5 = 0").select("session_id"))
+    store.purge(texts.filter("doc_id % 5 = 0").select("session_id"))
     count = lambda v: store.snapshot(v).agg(F.lit(v).alias("version"), F.countDistinct("session_id").alias("sessions"), F.count("*").alias("markers"))
     return count(1).union(count(2)).union(count(3))
 
